@@ -31,22 +31,16 @@ def tokens(df: DataFrame, controller: str) -> DataFrame:
     )
 
 
+def _with_values(df: DataFrame, keep: list[str]) -> DataFrame:
+    """Add ``_names`` (all flags in order) and ``_m`` (value of the first use of each flag) to ``_p``."""
+    named = df.select(*keep, "_p", F.transform("_p", lambda p: p["flag"]).alias("_names"))
+    first = F.filter("_p", lambda p, i: F.array_position(F.col("_names"), p["flag"]) == i + 1)
+    return named.select(*keep, "_p", "_names", F.map_from_entries(first).alias("_m"))
+
+
 def nodes(df: DataFrame, key: str, controller: str, branches: int = 4) -> DataFrame:
     """One row per condition or action node, with its code and parameters."""
-    found = F.map_from_entries(
-        F.array_sort(
-            F.transform(
-                F.array_distinct(F.transform(F.col("_pairs"), lambda p: p["flag"])),
-                lambda f: F.struct(
-                    f.alias("flag"),
-                    F.filter(F.col("_pairs"), lambda p: p["flag"] == f)[0]["value"].alias("value"),
-                ),
-            )
-        )
-    )
-    mapped = df.select(key, pairs(F.col(controller)).alias("_pairs")).select(
-        key, found.alias("_m")
-    )
+    mapped = _with_values(df.select(key, pairs(F.col(controller)).alias("_p")), [key])
 
     def value(name: str) -> Column:
         return F.try_element_at(F.col("_m"), F.lit(name))
@@ -123,73 +117,63 @@ def grammar_violations(df: DataFrame, key: str, controller: str, grammar: DataFr
     The grammar has a few dozen rows by nature; it is packed into one array, so every
     controller is checked in place and nothing is shuffled or multiplied.
     """
-    packed = grammar.agg(F.collect_list(F.struct(*grammar.columns)).alias("_rules"))
-    rules = packed.scalar()
-    listed = F.array_distinct(F.transform(F.col("_rules"), lambda r: r["flag"]))
-    base = df.select(key, pairs(F.col(controller)).alias("_p"), rules.alias("_rules"))
-    names = F.transform(F.col("_p"), lambda p: p["flag"])
+    rules = grammar.agg(F.collect_list(F.struct(*grammar.columns)).alias("_rules")).scalar()
+    text = F.col(controller)
+    paired = df.select(key, pairs(text).alias("_p"), F.size(argv(text)).alias("_words"))
+    base = _with_values(paired, [key, "_words"]).withColumn("_rules", rules)
 
-    def lookup(flag: Column) -> Column:
-        hits = F.filter(F.col("_p"), lambda p: p["flag"] == flag)
-        return F.try_element_at(hits, F.lit(1))["value"]
+    def value(flag: Column) -> Column:
+        return F.try_element_at(F.col("_m"), flag)
 
     def applies(r: Column) -> Column:
-        parent = lookup(r["parent"])
-        test = (
-            F.when(r["parent_op"] == ">", parent > r["parent_values"][0])
-            .otherwise(F.array_contains(r["parent_values"], parent))
+        parent = value(r["parent"])
+        test = F.when(r["parent_op"] == ">", parent > r["parent_values"][0]).otherwise(
+            F.array_contains(r["parent_values"], parent)
         )
         return r["parent"].isNull() | F.coalesce(test, F.lit(False))
 
-    def in_domain(r: Column, v: Column) -> Column:
+    def broken(r: Column) -> Column:
+        v = value(r["flag"])
         span = (v >= r["domain"][0]) & (v <= F.try_element_at(r["domain"], F.lit(2)))
-        whole = v == F.floor(v)
-        return (
+        fits = (
             F.when(r["kind"] == "c", F.array_contains(r["domain"], v))
-            .when(r["kind"] == "i", span & whole)
+            .when(r["kind"] == "i", span & (v == F.floor(v)))
             .otherwise(span)
         )
-
-    active = F.filter(F.col("_rules"), applies)
-
-    def problem(r: Column) -> Column:
-        v = lookup(r["flag"])
-        present = F.array_contains(names, r["flag"])
-        return (
-            F.when(~present, "missing")
-            .when(~F.coalesce(in_domain(r, v), F.lit(False)), "out of range")
+        problem = F.when(~F.array_contains("_names", r["flag"]), "missing").when(
+            ~F.coalesce(fits, F.lit(False)), "out of range"
         )
-
-    broken = F.filter(
-        F.transform(active, lambda r: F.struct(r["flag"].alias("flag"), problem(r).alias("problem"))),
-        lambda s: s["problem"].isNotNull(),
+        return F.struct(r["flag"].alias("flag"), problem.alias("problem"))
+
+    active = base.withColumn("_active", F.filter("_rules", applies)).withColumns(
+        {
+            "_allowed": F.transform("_active", lambda r: r["flag"]),
+            "_listed": F.transform("_rules", lambda r: r["flag"]),
+            "_distinct": F.array_distinct("_names"),
+        }
     )
-    allowed = F.transform(active, lambda r: r["flag"])
 
-    def stray(p: Column) -> Column:
-        known = F.array_contains(listed, p["flag"])
-        return F.struct(
-            p["flag"].alias("flag"),
-            F.when(known, "not applicable").otherwise("unknown").alias("problem"),
-        )
+    def stray(flag: Column) -> Column:
+        known = F.array_contains("_listed", flag)
+        problem = F.when(known, "not applicable").otherwise("unknown")
+        return F.struct(flag.alias("flag"), problem.alias("problem"))
 
-    extra = F.transform(
-        F.filter(F.col("_p"), lambda p: ~F.array_contains(allowed, p["flag"])), stray
-    )
-    counted = F.transform(
-        F.filter(
-            F.array_distinct(names),
-            lambda f: F.size(F.filter(names, lambda x: x == f)) > 1,
-        ),
-        lambda f: F.struct(f.alias("flag"), F.lit("repeated").alias("problem")),
-    )
-    # words that are no flag/value pair at all leave the string malformed
-    count_words = F.size(argv(F.col(controller)))
-    odd = df.select(key, (count_words != 2 * F.size(pairs(F.col(controller)))).alias("_odd"))
-    found = base.select(
-        key, F.explode(F.array_distinct(F.concat(broken, extra, counted))).alias("_v")
+    def again(flag: Column) -> Column:
+        return F.struct(flag.alias("flag"), F.lit("repeated").alias("problem"))
+
+    def uses(flag: Column) -> Column:
+        return F.size(F.filter("_names", lambda n: n == flag))
+
+    # words that are no flag/value pair leave the string malformed
+    malformed = F.when(
+        F.col("_words") != 2 * F.size("_p"),
+        F.array(F.struct(F.lit(None).cast("string").alias("flag"), F.lit("malformed").alias("problem"))),
     )
-    malformed = odd.filter("_odd").select(
-        key, F.lit(None).cast("string").alias("flag"), F.lit("malformed").alias("problem")
+    problems = F.concat(
+        F.filter(F.transform("_active", broken), lambda s: s["problem"].isNotNull()),
+        F.transform(F.filter("_distinct", lambda f: ~F.array_contains("_allowed", f)), stray),
+        F.transform(F.filter("_distinct", lambda f: uses(f) > 1), again),
+        F.coalesce(malformed, F.array().cast("array<struct<flag:string,problem:string>>")),
     )
-    return found.select(key, "_v.flag", "_v.problem").unionByName(malformed)
+    found = active.select(key, F.explode(problems).alias("_v"))
+    return found.select(key, "_v.flag", "_v.problem")

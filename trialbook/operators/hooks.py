@@ -48,7 +48,7 @@ def map_score(
     ``skip_empty`` column is missing or empty are not scored.
     """
     kept = df if skip_empty is None else df.filter(F.length(F.col(skip_empty)) > 0)
-    runs = kept.select(key, *inputs).withColumn(
+    runs = kept.select(*dict.fromkeys([key, *inputs])).withColumn(
         "repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))
     )
     if partitions:

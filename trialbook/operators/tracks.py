@@ -52,19 +52,22 @@ def link_tracks(
     det: str = "det",
     index: int = 0,
     max_dist: float = 50.0,
+    start: str | None = None,
 ) -> DataFrame:
     """Greedy track of one object per clip: the detections it moves to, frame by frame.
 
-    A track starts at detection ``index`` of frame 0, goes to the nearest detection closer
+    A track starts at detection ``index`` of frame 0, or at the rows a boolean column
+    ``start`` marks there (one per clip), goes to the nearest detection closer
     than ``max_dist`` in the next frame, and ends at the first frame without one. The
     step a track takes depends only on the detection it is at, so all steps are found at
     once by a grid join of neighbouring frames, and the path is then followed by joining
     the step table with itself: after k rounds it holds jumps over 2**k frames. No task
     walks a clip frame by frame.
     """
+    begins = F.col(start) if start else F.col(det) == index
     base = pin(
         df.select(F.col(clip).alias("_c"), F.col(frame).cast("long").alias("_f"),
-                  F.col(det).alias("_d"), "x", "y")
+                  F.col(det).alias("_d"), "x", "y", begins.alias("_s"))
     )
     cell = float(max_dist)
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
@@ -94,8 +97,7 @@ def link_tracks(
         .select("_c", "_f", "_d", (F.col("_f") + 1).alias("_tf"), F.col("_b._d2").alias("_td"))
     )
     jumps = pin(steps)
-    start = base.filter((F.col("_f") == 0) & (F.col("_d") == index)).select("_c", "_f", "_d")
-    reached = pin(start)
+    reached = pin(base.filter((F.col("_f") == 0) & F.col("_s")).select("_c", "_f", "_d"))
     while True:
         hop = pin(
             reached.join(jumps, ["_c", "_f", "_d"]).select(
