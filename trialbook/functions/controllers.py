@@ -111,16 +111,16 @@ def default_grammar(spark: SparkSession, branches: int = MAX_BRANCHES) -> DataFr
     return spark.createDataFrame(rows, GRAMMAR_SCHEMA)
 
 
-def grammar_violations(df: DataFrame, key: str, controller: str, grammar: DataFrame) -> DataFrame:
-    """Rows (key, flag, problem) for every rule a controller breaks.
+def grammar_problems(df: DataFrame, controller: str, grammar: DataFrame) -> DataFrame:
+    """Add ``problems``, an array of (flag, problem) with every rule a controller breaks.
 
     The grammar has a few dozen rows by nature; it is packed into one array, so every
     controller is checked in place and nothing is shuffled or multiplied.
     """
     rules = grammar.agg(F.collect_list(F.struct(*grammar.columns)).alias("_rules")).scalar()
-    text = F.col(controller)
-    paired = df.select(key, pairs(text).alias("_p"), F.size(argv(text)).alias("_words"))
-    base = _with_values(paired, [key, "_words"]).withColumn("_rules", rules)
+    text = F.coalesce(F.col(controller), F.lit(""))
+    paired = df.select("*", pairs(text).alias("_p"), F.size(argv(text)).alias("_words"))
+    base = _with_values(paired, [*df.columns, "_words"]).withColumn("_rules", rules)
 
     def value(flag: Column) -> Column:
         return F.try_element_at(F.col("_m"), flag)
@@ -175,5 +175,11 @@ def grammar_violations(df: DataFrame, key: str, controller: str, grammar: DataFr
         F.transform(F.filter("_distinct", lambda f: uses(f) > 1), again),
         F.coalesce(malformed, F.array().cast("array<struct<flag:string,problem:string>>")),
     )
-    found = active.select(key, F.explode(problems).alias("_v"))
+    # no controller at all has every mandatory flag missing
+    return active.select(*df.columns, problems.alias("problems"))
+
+
+def grammar_violations(df: DataFrame, key: str, controller: str, grammar: DataFrame) -> DataFrame:
+    """The problems of all controllers as rows (key, flag, problem)."""
+    found = grammar_problems(df, controller, grammar).select(key, F.explode("problems").alias("_v"))
     return found.select(key, "_v.flag", "_v.problem")

@@ -11,6 +11,9 @@ data is then spread over as many tasks as its share asks for.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,13 +147,11 @@ def percentiles_of(
     return grouped.select(*by, F.col("total").alias("n"), *results)
 
 
-def hash_positions(
-    df: DataFrame, key: str, seed: int = 42, digits: int = 4, out: str = "pos"
-) -> DataFrame:
-    """Seeded shuffle: 1-based position of each row in the order of md5(seed:key).
+def _hashed(df: DataFrame, key: str, seed: int, digits: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with md5(seed:key) and its prefix, and the prefix table: count, rows before it, total.
 
-    The leading hex digits split the rows evenly whatever the keys are, so no sampling is
-    needed; there are 16**digits prefix counts at most, which bounds what is broadcast.
+    The prefixes split the rows evenly whatever the keys are, so no sampling is needed;
+    there are 16**digits of them at most, which bounds the table.
     """
     hashed = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
     hashed = hashed.withColumn("_hp", F.substring("_h", 1, digits))
@@ -160,19 +161,60 @@ def hash_positions(
         .agg(F.count(F.lit(1)).alias("_c"))
         .select(
             "_hp",
+            "_c",
             F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_base"),
-            F.sum("_c").over(Window.partitionBy(F.lit(1))).alias(f"{out}_total"),
+            F.sum("_c").over(Window.partitionBy(F.lit(1))).alias("_total"),
         )
     )
+    return hashed, offsets
+
+
+def hash_positions(
+    df: DataFrame, key: str, seed: int = 42, digits: int = 4, out: str = "pos"
+) -> DataFrame:
+    """Seeded shuffle: 1-based position of each row in the order of md5(seed:key)."""
+    hashed, offsets = _hashed(df, key, seed, digits)
     inside = Window.partitionBy("_hp").orderBy("_h", key)
     return (
         hashed.withColumn("_rn", F.row_number().over(inside))
-        .join(F.broadcast(offsets), "_hp")
+        .join(F.broadcast(offsets.drop("_c")), "_hp")
         .withColumn(out, F.col("_rn") + F.col("_base"))
+        .withColumnRenamed("_total", f"{out}_total")
         .drop("_h", "_hp", "_rn", "_base")
     )
 
 
+def hash_intervals(
+    df: DataFrame,
+    key: str,
+    cuts: Callable[[Column], list[Column]],
+    seed: int = 42,
+    digits: int = 4,
+    out: str = "interval",
+) -> DataFrame:
+    """Cut the seeded shuffle at given positions; ``out`` counts the cuts a row lies beyond.
+
+    ``cuts`` gets the number of rows and returns rising positions. Only rows whose hash
+    prefix holds a cut are put in order; all others are placed by the prefix counts, so
+    the table itself is not shuffled.
+    """
+    hashed, offsets = _hashed(df, key, seed, digits)
+
+    def beyond(position: Column) -> Column:
+        passed = [F.when(position > c, 1).otherwise(0) for c in cuts(F.col("_total"))]
+        return reduce(lambda a, b: a + b, passed)
+
+    first, last = beyond(F.col("_base") + 1), beyond(F.col("_base") + F.col("_c"))
+    table = offsets.select("_hp", "_base", "_total", first.alias("_lo"), last.alias("_hi"))
+    settled = hashed.join(F.broadcast(table.filter("_lo = _hi")), "_hp").withColumn(out, F.col("_lo"))
+    inside = Window.partitionBy("_hp").orderBy("_h", key)
+    split = hashed.join(F.broadcast(table.filter("_lo <> _hi")), "_hp").withColumn(
+        out, beyond(F.row_number().over(inside) + F.col("_base"))
+    )
+    both = settled.select(*df.columns, out).unionByName(split.select(*df.columns, out))
+    return both
+
+
 def top_n(
     df: DataFrame, by: list[str], order: list[Column], n: int, out: str = "rank"
 ) -> DataFrame:

@@ -139,16 +139,13 @@ def compare_methods(
 ) -> DataFrame:
     """Means, difference, t, p, d, W and its p, per group and over all rows."""
 
-    def table(part: DataFrame, keys: list[str]) -> DataFrame:
-        t = t_test_by(part, keys, a, b, alternative)
-        w = wilcoxon_by(part, keys, a, b, alternative).drop("zeros", "has_ties").withColumnRenamed(
-            "n", "n_pairs"
-        )
-        return t.join(w, keys, "left")
-
-    own = table(df.filter(F.col(by).isNotNull()), [by])
-    total = table(df.drop(by).withColumn(by, F.lit(label)), [by])
-    return own.unionByName(total)
+    # each row counts for its own group and for the total, in one pass over the data
+    labels = F.array_compact(F.array(F.col(by), F.lit(label)))
+    rows = df.select(F.explode(labels).alias(by), a, b)
+    tests = wilcoxon_by(rows, [by], a, b, alternative).drop("zeros", "has_ties")
+    return t_test_by(rows, [by], a, b, alternative).join(
+        tests.withColumnRenamed("n", "n_pairs"), by, "left"
+    )
 
 
 def significant(comparison: DataFrame, p: str = "t_p", level: float = 0.05) -> DataFrame:

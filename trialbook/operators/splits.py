@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialbook.operators.ordering import hash_positions, positions
+from trialbook.operators.ordering import hash_intervals, hash_positions, positions
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
@@ -15,11 +15,10 @@ def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
 
 def holdout(df: DataFrame, key: str, n_validation: int = 250, n_train: int = 2250, seed: int = 42) -> DataFrame:
     """First rows of the shuffled order as validation, the next ones as train."""
-    split = F.when(F.col("pos") <= n_validation, "validation").when(
-        F.col("pos") <= n_validation + n_train, "train"
-    )
-    drawn = hash_positions(df, key, seed).drop("pos_total")
-    return drawn.withColumn("split", split).filter("split is not null")
+    cuts = [F.lit(n_validation), F.lit(n_validation + n_train)]
+    drawn = hash_intervals(df, key, lambda total: cuts, seed).filter(F.col("interval") < 2)
+    split = F.when(F.col("interval") == 0, "validation").otherwise("train")
+    return drawn.withColumn("split", split).drop("interval")
 
 
 def train_validation(
@@ -27,11 +26,9 @@ def train_validation(
 ) -> DataFrame:
     """Exact-size random split (a quarter when no share is given); validation is rounded up."""
     share = 0.25 if validation is None else validation
-    drawn = hash_positions(df, key, seed)
-    cut = F.ceil(F.col("pos_total") * F.lit(share))
-    return drawn.withColumn(
-        "split", F.when(F.col("pos") <= cut, "validation").otherwise("train")
-    ).drop("pos_total")
+    drawn = hash_intervals(df, key, lambda total: [F.ceil(total * F.lit(share))], seed)
+    split = F.when(F.col("interval") == 0, "validation").otherwise("train")
+    return drawn.withColumn("split", split).drop("interval")
 
 
 def size_ladder(df: DataFrame, key: str, steps: int = 10, seed: int = 42) -> DataFrame:
@@ -40,10 +37,13 @@ def size_ladder(df: DataFrame, key: str, steps: int = 10, seed: int = 42) -> Dat
     Step k of the ladder is ``rung <= k``; one row per input row serves all steps, and
     written with ``partitionBy("rung")`` each step reads only its own folders.
     """
-    drawn = hash_positions(df, key, seed)
-    # smallest k with pos <= floor(total * k / steps), in whole numbers
-    rung = F.expr(f"(pos * {int(steps)} + pos_total - 1) div pos_total")
-    return drawn.withColumn("rung", rung).drop("pos_total")
+
+    def cuts(total: Column) -> list[Column]:
+        # total * k // steps in whole numbers
+        return [((total * k) - (total * k) % steps) / steps for k in range(1, steps)]
+
+    drawn = hash_intervals(df, key, cuts, seed)
+    return drawn.withColumn("rung", F.col("interval").cast("long") + 1).drop("interval")
 
 
 def ladder_step(ladder: DataFrame, step: int) -> DataFrame:

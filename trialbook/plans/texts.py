@@ -384,10 +384,8 @@ SELECT p_partkey AS scenario_id, p_partkey % 23 <> 0 AND p_partkey % 29 <> 0
   AND {' AND '.join(_branch_ok(i) for i in range(4))} AS valid FROM part""")
 def bt_valid(spark, folder):
     trees = v.controllers(spark, folder)
-    broken = ctl.grammar_violations(trees, "scenario_id", "behavior_tree", ctl.default_grammar(spark))
-    bad = broken.select("scenario_id").distinct().withColumn("valid", F.lit(False))
-    marked = trees.select("scenario_id").join(bad, "scenario_id", "left")
-    return marked.select("scenario_id", F.coalesce("valid", F.lit(True)).alias("valid"))
+    checked = ctl.grammar_problems(trees, "behavior_tree", ctl.default_grammar(spark))
+    return checked.select("scenario_id", (F.size("problems") == 0).alias("valid"))
 
 
 # --- XML ---------------------------------------------------------------------------------------

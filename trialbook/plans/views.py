@@ -111,7 +111,11 @@ def _controller_text(div: str, text: str) -> str:
 
 
 def controllers(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "part").select(
+    return controllers_of(table(spark, folder, "part"))
+
+
+def controllers_of(parts: DataFrame) -> DataFrame:
+    return parts.select(
         F.col("p_partkey").alias("scenario_id"),
         F.expr(_controller_text("div", "STRING")).alias("behavior_tree"),
     )
@@ -167,7 +171,10 @@ _Y = "((event_id * 53 + user_id * 7) % 301 - 150) / 100.0"
 
 
 def robot_positions(spark: SparkSession, folder: str) -> DataFrame:
-    events = table(spark, folder, "events")
+    return robot_positions_of(table(spark, folder, "events"))
+
+
+def robot_positions_of(events: DataFrame) -> DataFrame:
     return events.select(
         F.col("event_type").alias("run_id"),
         F.col("user_id").cast("string").alias("robot_id"),
