@@ -35,7 +35,9 @@ def _with_values(df: DataFrame, keep: list[str]) -> DataFrame:
     """Add ``_names`` (all flags in order) and ``_m`` (value of the first use of each flag) to ``_p``."""
     named = df.select(*keep, "_p", F.transform("_p", lambda p: p["flag"]).alias("_names"))
     first = F.filter("_p", lambda p, i: F.array_position(F.col("_names"), p["flag"]) == i + 1)
-    return named.select(*keep, "_p", "_names", F.map_from_entries(first).alias("_m"))
+    unique = F.size(F.array_distinct("_names")) == F.size("_names")
+    found = F.when(unique, F.map_from_entries("_p")).otherwise(F.map_from_entries(first))
+    return named.select(*keep, "_p", "_names", found.alias("_m"))
 
 
 def nodes(df: DataFrame, key: str, controller: str, branches: int = 4) -> DataFrame:

@@ -11,38 +11,58 @@ def clean(col: Column) -> Column:
     return F.when(F.isnan(col), F.lit(None)).otherwise(col)
 
 
-def array_total(arr: Column) -> Column:
-    return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x)
+def moments(arr: Column) -> Column:
+    """Struct (n, mean, m2) of an array in one pass; m2 is the sum of squared deviations."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
 
+    def add(acc: Column, x: Column) -> Column:
+        n = acc["n"] + F.lit(1.0)
+        step = x - acc["mean"]
+        mean = acc["mean"] + step / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (acc["m2"] + step * (x - mean)).alias("m2"))
 
-def array_mean(arr: Column) -> Column:
-    """Mean of a score array; NULL when it is empty or missing."""
-    return F.try_divide(array_total(arr), F.size(arr))
+    return F.aggregate(arr, start, add)
+
+
+def _with(value: Column, use) -> Column:
+    """Evaluate ``value`` once and hand it to ``use``."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def array_pop_std(arr: Column) -> Column:
-    mean = array_mean(arr)
-    squares = F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
-    return F.sqrt(F.try_divide(squares, F.size(arr)))
+def array_mean(arr: Column) -> Column:
+    """Mean of a score array; NULL when it is empty or missing."""
+    total = F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x)
+    return F.try_divide(total, F.size(arr))
 
 
 def array_sample_variance(arr: Column) -> Column:
     """Variance with n-1; NULL below two entries."""
-    mean = array_mean(arr)
-    squares = F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
-    return F.when(F.size(arr) > 1, F.try_divide(squares, F.size(arr) - 1))
+    return _with(moments(arr), lambda m: F.when(m["n"] > 1, m["m2"] / (m["n"] - 1)))
 
 
 def zscores(arr: Column) -> Column:
     """(x - mean) / population std for each entry; all NULL when the std is 0."""
-    mean, std = array_mean(arr), array_pop_std(arr)
-    return F.transform(arr, lambda x: F.try_divide(x - mean, std))
+
+    def scale(m: Column) -> Column:
+        std = F.sqrt(F.try_divide(m["m2"], m["n"]))
+        return _with(
+            F.struct(m["mean"].alias("mean"), std.alias("std")),
+            lambda k: F.transform(arr, lambda x: F.try_divide(x - k["mean"], k["std"])),
+        )
+
+    return F.when(arr.isNotNull(), _with(moments(arr), scale))
 
 
 def coeff_of_variation(arr: Column) -> Column:
-    """Population std over mean after shifting every score by abs(min) + 1."""
-    shifted = F.transform(arr, lambda x: x + F.abs(F.array_min(arr)) + F.lit(1.0))
-    return F.try_divide(array_pop_std(shifted), array_mean(shifted))
+    """Population std over mean after shifting every score by abs(min) + 1.
+
+    The shift moves the mean only, so the shifted array is never built.
+    """
+    shift = F.abs(F.array_min(arr)) + F.lit(1.0)
+    return _with(
+        moments(arr),
+        lambda m: F.try_divide(F.sqrt(F.try_divide(m["m2"], m["n"])), m["mean"] + shift),
+    )
 
 
 def min_max(value: Column, low: Column, high: Column, on_degenerate: str = "null") -> Column:

@@ -34,6 +34,14 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()["b"]
 
 
+def planned_small(df: DataFrame) -> bool:
+    """Whether the planner's own size estimate is below its broadcast threshold."""
+    threshold = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    allowed = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(threshold)
+    return int(str(size)) <= allowed
+
+
 def attach(
     rows: DataFrame,
     stats: DataFrame,
@@ -42,9 +50,15 @@ def attach(
     limit: int = BROADCAST_BYTES,
     null_safe: bool = False,
 ) -> DataFrame:
-    """Join ``stats`` (one row per key) to ``rows``; broadcast it only after measuring it."""
-    stats = pin(stats)
-    side = F.broadcast(stats) if measured_bytes(stats) <= limit else stats
+    """Join ``stats`` (one row per key) to ``rows``; broadcast it only after measuring it.
+
+    Where the planner already knows the table to be small from the files below it, it is
+    left to the planner and nothing is written.
+    """
+    side = stats
+    if not planned_small(stats):
+        stats = pin(stats)
+        side = F.broadcast(stats) if measured_bytes(stats) <= limit else stats
     if not null_safe:
         return rows.join(side, on, how)
     side = side.withColumnsRenamed({k: f"_on_{k}" for k in on})

@@ -63,8 +63,27 @@ def running_total(
     return joined.drop(*[f"_{p}_{n}" for n in sums for p in "lb"])
 
 
+def _is_wide(df: DataFrame, keys: list[str]) -> bool:
+    """Whether columns besides the keys hold text or nested values."""
+    flat = ("string", "binary", "array", "struct", "map", "variant")
+    others = [f for f in df.schema.fields if f.name not in keys]
+    return len(others) > 4 or any(f.dataType.typeName() in flat for f in others)
+
+
 def positions(df: DataFrame, by: list[str], order: list[str], out: str = "pos") -> DataFrame:
-    """1-based position ``out`` within the group and group size ``out_total``."""
+    """1-based position ``out`` within the group and group size ``out_total``.
+
+    Of a wide table only the keys are ordered and written; the positions then join back
+    by key, so the wide columns move once and are not written to the checkpoint folder.
+    """
+    keys = [*by, *order]
+    if _is_wide(df, keys):
+        narrow = positions(df.select(*keys), by, order, out)
+        named = narrow.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+        same = reduce(
+            lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+        )
+        return df.join(named, same).drop(*[f"_k_{k}" for k in keys])
     ranked = running_total(chunk(df, by, order), by, order, {out: F.lit(1).cast("long")})
     return ranked.drop(CHUNK)
 
@@ -72,7 +91,10 @@ def positions(df: DataFrame, by: list[str], order: list[str], out: str = "pos")
 def previous(
     df: DataFrame, by: list[str], order: list[str], columns: list[str], prefix: str = "prev_"
 ) -> DataFrame:
-    """Add the values of the preceding row of the group (NULL on the first)."""
+    """Add the values of the preceding row of the group (NULL on the first).
+
+    Pass the needed columns only: all of them are written once, in order.
+    """
     chunks = chunk(df, by, order)
     inside = Window.partitionBy(*by, CHUNK).orderBy(*order)
     across = Window.partitionBy(*by).orderBy(CHUNK)
@@ -194,25 +216,40 @@ def hash_intervals(
 ) -> DataFrame:
     """Cut the seeded shuffle at given positions; ``out`` counts the cuts a row lies beyond.
 
-    ``cuts`` gets the number of rows and returns rising positions. Only rows whose hash
-    prefix holds a cut are put in order; all others are placed by the prefix counts, so
-    the table itself is not shuffled.
+    ``cuts`` gets the number of rows and returns rising positions; ``key`` is unique. The
+    prefix counts tell which few prefixes hold a cut, only the keys with those prefixes
+    are put in order, and the hash found at each cut becomes a threshold. Every row is
+    then placed by comparing its hash: the table itself is neither shuffled nor joined.
     """
-    hashed, offsets = _hashed(df, key, seed, digits)
-
-    def beyond(position: Column) -> Column:
-        passed = [F.when(position > c, 1).otherwise(0) for c in cuts(F.col("_total"))]
-        return reduce(lambda a, b: a + b, passed)
-
-    first, last = beyond(F.col("_base") + 1), beyond(F.col("_base") + F.col("_c"))
-    table = offsets.select("_hp", "_base", "_total", first.alias("_lo"), last.alias("_hi"))
-    settled = hashed.join(F.broadcast(table.filter("_lo = _hi")), "_hp").withColumn(out, F.col("_lo"))
-    inside = Window.partitionBy("_hp").orderBy("_h", key)
-    split = hashed.join(F.broadcast(table.filter("_lo <> _hi")), "_hp").withColumn(
-        out, beyond(F.row_number().over(inside) + F.col("_base"))
+    hashed, offsets = _hashed(df.select(key), key, seed, digits)
+    cut_at = cuts(F.col("_total"))
+
+    def holds(c: Column) -> Column:
+        return (c > F.col("_base")) & (c <= F.col("_base") + F.col("_c"))
+
+    crossing = offsets.filter(reduce(lambda a, b: a | b, [holds(c) for c in cut_at]))
+    place = F.row_number().over(Window.partitionBy("_hp").orderBy("_h", key)) + F.col("_base")
+    near = hashed.join(F.broadcast(crossing.drop("_c")), "_hp").withColumn("_pos", place)
+    found = near.agg(
+        *[
+            F.max(F.when(F.col("_pos") == c, F.struct("_h", key))).alias(f"t{i}")
+            for i, c in enumerate(cut_at)
+        ]
+    )
+    limits = found.select(F.struct("*")).scalar()
+    before_all = offsets.agg(
+        F.struct(*[F.max(c <= 0).alias(f"b{i}") for i, c in enumerate(cut_at)])
+    ).scalar()
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    marked = df.select(
+        "*", limits.alias("_t"), before_all.alias("_b"), F.struct(digest.alias("_h"), key).alias("_at")
     )
-    both = settled.select(*df.columns, out).unionByName(split.select(*df.columns, out))
-    return both
+    # a cut past the last row has no threshold and is beyond nothing
+    passed = [
+        F.when(F.col(f"_b.b{i}") | F.coalesce(F.col("_at") > F.col(f"_t.t{i}"), F.lit(False)), 1).otherwise(0)
+        for i in range(len(cut_at))
+    ]
+    return marked.select(*df.columns, reduce(lambda a, b: a + b, passed).alias(out))
 
 
 def top_n(

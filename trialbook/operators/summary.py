@@ -145,25 +145,38 @@ def scaled_variance(
 ) -> DataFrame:
     """Mean within-row variance of the scaled score arrays per (dataset, group), with totals.
 
-    An array shorter than two counts as 0, as does one whose group has no known range.
+    An array shorter than two counts as 0, as does one whose group has no range. Scaling
+    divides a variance by the squared range of its group, so the rows are summed once,
+    unscaled, and only the sums are scaled.
     """
-    means = (
-        df.filter(F.col(by).isNotNull())
-        .groupBy(dataset, by)
-        .agg(F.avg(average).alias("mean_score"))
-    )
-    joined = attach(df, group_mean_bounds(means, by), [by])
-    scaled = F.transform(
-        F.col(scores),
-        lambda x: min_max(x, F.col("min_mean"), F.col("max_mean"), "zero"),
+    row = F.coalesce(array_sample_variance(F.col(scores)), F.lit(0.0))
+    sums = df.groupBy(dataset, by).agg(
+        F.sum(row).alias("_var"), F.count(F.lit(1)).alias("_n"), F.avg(average).alias("mean_score")
     )
-    variance = F.when(
-        F.col("min_mean").isNotNull(), F.coalesce(array_sample_variance(scaled), F.lit(0.0))
-    ).otherwise(F.lit(0.0))
-    rows = joined.select(dataset, by, variance.alias("row_variance"))
-    return means_with_total(
-        rows, by, {"average_variance": F.col("row_variance")}, keys=[dataset], label=label
+    bounds = group_mean_bounds(sums.filter(F.col(by).isNotNull()), by)
+    span = F.col("max_mean") - F.col("min_mean")
+    scaled = attach(sums, bounds, [by]).withColumn(
+        "_var", F.when(span > 0, F.try_divide(F.col("_var"), span * span)).otherwise(F.lit(0.0))
     )
+    outputs = {"average_variance": F.sum("_var") / F.sum("_n")}
+    return _with_total(scaled, [dataset], by, outputs, label)
+
+
+def relative_means(df: DataFrame, by: str, value: str, label: str = "Overall") -> DataFrame:
+    """Mean of the min-max scaled value per group and over all rows, in one pass.
+
+    The mean of scaled values is the scaled mean, so no row is scaled. Groups without a
+    range have no scaled values and do not count in the total.
+    """
+    parts = df.filter(F.col(by).isNotNull()).groupBy(by).agg(
+        F.sum(value).alias("_s"), F.count(value).alias("_n"),
+        F.min(value).alias("_lo"), F.max(value).alias("_hi"),
+    )
+    ranged = parts.withColumn("_n", F.when(F.col("_hi") > F.col("_lo"), F.col("_n")))
+    mean = min_max(F.try_divide(F.col("_s"), F.col("_n")), F.col("_lo"), F.col("_hi"))
+    scaled = ranged.withColumn("_s", mean * F.col("_n"))
+    outputs = {"mean_relative": F.try_divide(F.sum("_s"), F.sum("_n"))}
+    return _with_total(scaled, [], by, outputs, label)
 
 
 def run_lengths(df: DataFrame, by: list[str], scores: str) -> DataFrame:

@@ -208,9 +208,8 @@ WITH {v.SCORED}, rel AS (
 SELECT type, {r('avg(x)')} AS mean_relative FROM rel GROUP BY 1
 UNION ALL SELECT 'Overall', {r('avg(x)')} FROM rel""")
 def mean_rollup(spark, folder):
-    rel = scaling.minmax_by(v.scored(spark, folder), ["avg_score"], ["type"])
-    out = summary.mean_with_total(rel, "type", "rel_avg_score")
-    return out.select("type", stable("rel_avg_score").alias("mean_relative"))
+    out = summary.relative_means(v.scored(spark, folder), "type", "avg_score")
+    return with_stable(out, ["mean_relative"])
 
 
 @query("mean_rollup_by_dataset", f"""
