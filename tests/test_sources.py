@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 
 import pandas as pd
 import pytest
@@ -10,7 +11,6 @@ from pyspark.sql import functions as F
 from tests.conftest import rows
 from trialbook.operators import hooks, xmlconfig
 from trialbook.operators.fitness import deliveries
-from trialbook.plans import views
 from trialbook.session import checkpoint_folder
 from trialbook.sources import datasets, logs
 from trialbook.streaming import deliveries as sd
@@ -135,23 +135,38 @@ def test_hooks_load_once_per_task(spark):
     assert got[4] == ([4.0, 6.0], 5.0) and len(got) == 20
 
 
-def positions_in_files(spark, small, tmp_path, files):
-    places = views.robot_positions(spark, small)
+def positions_in_files(spark, tmp_path, files):
+    """Random zone visits of six robots, one of them busy, as one file per stretch of ticks."""
+    rng = random.Random(9)
+    at = {"source": (0.0, 0.0), "sink": (4.0, 0.0), "none": (9.0, 9.0), "both": (2.0, 0.0)}
+    data = [("r", str(robot), t, *at[rng.choice(list(at))]) for robot in range(6) for t in range(300 if robot == 0 else 50)]
+    rng.shuffle(data)
+    places = spark.createDataFrame(data, "run_id string, robot_id string, tick int, x double, y double")
     for i in range(files):
-        part = places.orderBy("tick").limit(10**6).filter((F.col("tick") >= i * 400) & (F.col("tick") < (i + 1) * 400))
+        part = places.filter((F.col("tick") >= i * 20) & ((F.col("tick") < (i + 1) * 20) | F.lit(i == files - 1)))
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    return places.filter(F.col("tick") < files * 400)
+    return places
 
 
-def test_stream_matches_batch_over_several_micro_batches(spark, small, tmp_path):
-    batch = positions_in_files(spark, small, tmp_path, 3)
-    floor, goals = views.floor_circles(spark, small), views.run_objectives(spark, small)
+@pytest.mark.parametrize("way", ["state store", "batches"])
+def test_stream_matches_batch_over_several_micro_batches(spark, tmp_path, way):
+    batch = positions_in_files(spark, tmp_path, 3)
+    floor = spark.createDataFrame(
+        [("r", 0, 0.0, 0.0, 2.5, "black"), ("r", 1, 4.0, 0.0, 2.5, "white")],
+        "run_id string, circle_no int, x double, y double, radius double, color string",
+    )
+    goals = spark.createDataFrame([("r", "foraging", "black", "white")], "run_id string, kind string, source string, sink string")
     stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    sd.run_to_end(sd.stream_deliveries(stream, floor, goals), str(tmp_path / "out"), str(tmp_path / "cp"))
-    found = spark.read.schema(sd.OUTPUT).parquet(str(tmp_path / "out"))
+    out = str(tmp_path / "out")
+    if way == "batches":
+        sd.deliver_batches(stream, floor, goals, out, str(tmp_path / "state"), str(tmp_path / "cp"))
+    else:
+        sd.run_to_end(sd.stream_deliveries(stream, floor, goals), out, str(tmp_path / "cp"))
+    found = spark.read.schema(sd.OUTPUT).parquet(out)
     got = rows(found.groupBy("run_id", "robot_id").agg(F.max("delivered"), F.count(F.lit(1))))
     want = [r for r in rows(deliveries(batch, floor, goals), "run_id", "robot_id", "delivered") if r[2] > 0]
     assert [g[:3] for g in got] == want and all(g[2] == g[3] for g in got)
+    assert sum(g[3] for g in got) > 10
 
 
 def test_stream_result_log(spark, tmp_path):

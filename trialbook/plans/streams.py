@@ -25,11 +25,23 @@ def _stream(spark, folder, name):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
-@query("stream_foraging", f"""
+_DELIVERIES = f"""
 WITH {v.ARENA}, {m._VISITS}
 SELECT run_id, robot_id, tick, row_number() OVER (PARTITION BY run_id, robot_id ORDER BY tick) AS delivered
-FROM visits WHERE zone = 'sink' AND prev = 'source'""")
+FROM visits WHERE zone = 'sink' AND prev = 'source'"""
+
+
+@query("stream_foraging", _DELIVERIES)
 def stream_foraging(spark, folder):
+    at = _run_folder(spark)
+    places = v.robot_positions_of(_stream(spark, folder, "events"))
+    arena = v.floor_circles(spark, folder), v.run_objectives(spark, folder)
+    sd.deliver_batches(places, *arena, f"{at}/out", f"{at}/state", f"{at}/checkpoint")
+    return spark.read.schema(sd.OUTPUT).parquet(f"{at}/out").select("run_id", "robot_id", "tick", "delivered")
+
+
+@query("stream_foraging_state", _DELIVERIES)
+def stream_foraging_state(spark, folder):
     at = _run_folder(spark)
     places = v.robot_positions_of(_stream(spark, folder, "events"))
     flow = sd.stream_deliveries(places, v.floor_circles(spark, folder), v.run_objectives(spark, folder))

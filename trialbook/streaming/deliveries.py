@@ -3,6 +3,12 @@
 The state of a robot is whether it carries an item, how many it delivered, and the last
 tick it was seen at. Ticks of a robot are put in order within a micro-batch; a tick at or
 before the last one seen is dropped, as its place in the order is gone.
+
+There are two ways with equal results. ``deliver_batches`` handles each micro-batch as a
+batch job that starts from the stored state of all robots; one robot's rows are spread
+over many tasks, so it also catches up on a long history. ``stream_deliveries`` keeps the
+state in Spark's state store, for short micro-batches: a task holds the rows of one
+robot and one micro-batch, which the source's per-trigger limits bound.
 """
 
 from __future__ import annotations
@@ -14,7 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from trialbook.operators.attach import attach
 from trialbook.operators.fitness import RUN, circle_pairs
+from trialbook.operators.ordering import positions as ordered_positions
+from trialbook.operators.ordering import previous
 from trialbook.operators.spatial import in_circle
 
 OUTPUT = "run_id string, robot_id string, tick long, delivered long"
@@ -71,6 +80,65 @@ def stream_deliveries(positions: DataFrame, circles: DataFrame, objectives: Data
     )
 
 
+ROBOT = [RUN, "robot_id"]
+ROBOT_STATE = "run_id string, robot_id string, tick long, at_source boolean, delivered long"
+
+
+def deliver_batches(
+    positions: DataFrame,
+    circles: DataFrame,
+    objectives: DataFrame,
+    target: str,
+    state: str,
+    checkpoint: str,
+) -> None:
+    """Append the deliveries of each micro-batch to ``target``, until the source is used up.
+
+    Micro-batch n reads state version n-1 and writes version n; run again after a
+    failure it reads and overwrites the same versions, so nothing counts twice.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        if number > 0:
+            prior = spark.read.schema(ROBOT_STATE).parquet(f"{state}/version={number - 1}")
+        else:
+            prior = spark.createDataFrame([], ROBOT_STATE)
+        known = prior.select(*ROBOT, F.col("tick").alias("_seen"), F.col("delivered").alias("_before"))
+        fresh = attach(zones(batch, circles, objectives), known, ROBOT).filter(
+            F.col("_seen").isNull() | (F.col("tick") > F.col("_seen"))
+        )
+        columns = [*ROBOT, "tick", "at_source"]
+        rows = fresh.select(*columns).unionByName(prior.select(*columns))
+        looked = previous(rows, ROBOT, ["tick"], ["at_source"])
+        dropped = looked.filter(~F.col("at_source") & F.col("prev_at_source")).select(*ROBOT, "tick")
+        counted = attach(ordered_positions(dropped, ROBOT, ["tick"], "_n"), known, ROBOT)
+        delivered = F.col("_n") + F.coalesce("_before", F.lit(0))
+        out = counted.select(*ROBOT, "tick", delivered.cast("long").alias("delivered"))
+        out.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+        added = dropped.groupBy(*ROBOT).agg(F.count(F.lit(1)).alias("delivered"))
+        totals = (
+            prior.select(*ROBOT, "delivered").unionByName(added)
+            .groupBy(*ROBOT).agg(F.sum("delivered").alias("delivered"))
+        )
+        last = rows.groupBy(*ROBOT).agg(
+            F.max("tick").alias("tick"), F.max_by("at_source", "tick").alias("at_source")
+        )
+        after = last.join(totals, ROBOT, "left").withColumn(
+            "delivered", F.coalesce("delivered", F.lit(0)).cast("long")
+        )
+        after.write.mode("overwrite").parquet(f"{state}/version={number}")
+
+    started = (
+        positions.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    started.awaitTermination()
+
+
 def run_to_end(stream: DataFrame, target: str, checkpoint: str) -> None:
     """Process everything there is, in append mode, to Parquet files at ``target``."""
     started = (
