@@ -30,28 +30,49 @@ def insert_before(col: Column, start: str, end: str, text: Column | str) -> Colu
 
 
 def uncomment_block(col: Column, tag: str = "qt-opengl") -> Column:
-    """Take the comment marks off lines from ``<!--…<tag>`` to ``</tag>-->``, one of each per line."""
+    """Take the comment marks off lines from ``<!--…<tag>`` to ``</tag>-->``, one of each per line.
+
+    The end is looked for from the line after the start; without one the block goes to
+    the end of the text.
+    """
     lines = F.split(col, "\n")
-    opens = F.lit(rf"<!--.*<{tag}>")
-    closes = F.lit(rf"</{tag}>-->")
+    marked = F.transform(
+        lines,
+        lambda line, i: F.struct(
+            i.alias("i"),
+            F.regexp_like(line, F.lit(rf"<!--.*<{tag}>")).alias("opens"),
+            F.regexp_like(line, F.lit(rf"</{tag}>-->")).alias("closes"),
+        ),
+    )
+    edges = F.filter(marked, lambda m: m["opens"] | m["closes"])
+    span = "array<struct<a:int,b:int>>"
+    start = F.struct(F.lit(-1).alias("at"), F.array().cast(span).alias("spans"))
+
+    def step(state: Column, m: Column) -> Column:
+        closed = F.array(F.struct(state["at"].alias("a"), m["i"].alias("b")))
+        ends = (state["at"] >= 0) & m["closes"]
+        at = F.when(ends, F.lit(-1)).when((state["at"] < 0) & m["opens"], m["i"]).otherwise(state["at"])
+        spans = F.when(ends, F.concat(state["spans"], closed)).otherwise(state["spans"])
+        return F.struct(at.alias("at"), spans.alias("spans"))
+
+    def finish(state: Column) -> Column:
+        rest = F.array(F.struct(state["at"].alias("a"), F.lit(2**31 - 1).alias("b")))
+        return F.when(state["at"] >= 0, F.concat(state["spans"], rest)).otherwise(state["spans"])
 
     def bare(line: Column) -> Column:
         once = F.regexp_replace(line, r"^(.*?)<!--", "$1")
         return F.regexp_replace(once, r"^(.*?)-->", "$1")
 
-    start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("out"))
-
-    def step(state: Column, line: Column) -> Column:
-        begins = ~state["inside"] & F.regexp_like(line, opens)
-        active = state["inside"] | begins
-        # the end is looked for on later lines only, as in a line-range edit
-        ends = state["inside"] & F.regexp_like(line, closes)
-        return F.struct(
-            (active & ~ends).alias("inside"),
-            F.concat(state["out"], F.array(F.when(active, bare(line)).otherwise(line))).alias("out"),
+    def rewrite(spans: Column) -> Column:
+        return F.transform(
+            lines,
+            lambda line, i: F.when(
+                F.exists(spans, lambda s: (i >= s["a"]) & (i <= s["b"])), bare(line)
+            ).otherwise(line),
         )
 
-    return F.aggregate(lines, start, step, lambda s: F.array_join(s["out"], "\n"))
+    blocks = F.array(F.aggregate(edges, start, step, finish))
+    return F.array_join(F.get(F.transform(blocks, rewrite), F.lit(0)), "\n")
 
 
 def truncate_floats(col: Column, places: int = 2) -> Column:

@@ -35,11 +35,11 @@ def measured_bytes(df: DataFrame) -> int:
 
 
 def planned_small(df: DataFrame) -> bool:
-    """Whether the planner's own size estimate is below its broadcast threshold."""
+    """Whether the planner's own size estimate is below the session's broadcast threshold."""
     threshold = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    units = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    allowed = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(threshold)
-    return int(str(size)) <= allowed
+    return int(str(size)) <= units.byteStringAsBytes(threshold)
 
 
 def attach(

@@ -6,7 +6,8 @@ and each chunk works by itself; what flows from chunk to chunk (counts, sums, th
 row) is a small table with one row per group and chunk. A group holding most of the
 data is then spread over as many tasks as its share asks for.
 
-``order`` names columns, ascending, and must be unique within ``by``.
+``order`` names columns, ascending, and must be unique within ``by``. The number of chunks
+is ``spark.sql.shuffle.partitions``.
 """
 
 from __future__ import annotations

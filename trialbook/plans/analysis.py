@@ -18,11 +18,9 @@ TYPES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
 @query("zscores", f"""
-WITH {v.SCORED_LINES}, st AS (
-  SELECT scenario_id, avg(s) AS m, stddev_pop(s) AS sd FROM score_lines WHERE s IS NOT NULL GROUP BY 1)
-SELECT l.scenario_id, CAST(row_number() OVER (PARTITION BY l.scenario_id ORDER BY s) - 1 AS INTEGER) AS pos,
-  {r('(s - m) / nullif(sd, 0)')} AS z
-FROM score_lines l JOIN st ON st.scenario_id = l.scenario_id""")
+WITH {v.ARRAYS}, u AS (SELECT scenario_id, unnest(s) AS x, unnest(range(len(s))) AS pos, list_aggregate(s, 'avg') AS m,
+  list_aggregate(s, 'stddev_pop') AS sd FROM arrays)
+SELECT scenario_id, CAST(pos AS INTEGER) AS pos, {r('(x - m) / nullif(sd, 0)')} AS z FROM u""")
 def zscores(spark, folder):
     z = v.scored_arrays(spark, folder).select("scenario_id", fs.zscores(F.col("scores")).alias("z"))
     return z.select("scenario_id", F.posexplode("z").alias("pos", "z")).select(
@@ -31,38 +29,37 @@ def zscores(spark, folder):
 
 
 @query("coeff_of_var", f"""
-WITH {v.SCORED_LINES}, mn AS (SELECT scenario_id, min(s) AS lo FROM score_lines GROUP BY 1)
-SELECT l.scenario_id, {r('stddev_pop(s + abs(lo) + 1) / avg(s + abs(lo) + 1)')} AS coeff_of_var
-FROM score_lines l JOIN mn ON mn.scenario_id = l.scenario_id GROUP BY 1""")
+WITH {v.ARRAYS}, u AS (SELECT scenario_id, unnest(list_transform(s, lambda x: x + abs(list_min(s)) + 1)) AS x FROM arrays),
+c AS (SELECT scenario_id, {r('stddev_pop(x) / avg(x)')} AS cv FROM u GROUP BY 1)
+SELECT a.scenario_id, cv AS coeff_of_var FROM arrays a LEFT JOIN c ON c.scenario_id = a.scenario_id""")
 def coeff_of_var(spark, folder):
     cv = fs.coeff_of_variation(F.col("scores"))
     return v.scored_arrays(spark, folder).select("scenario_id", stable(cv).alias("coeff_of_var"))
 
 
 @query("array_mean", f"""
-WITH {v.SCORED_LINES}
-SELECT scenario_id, {r('avg(s)')} AS mean_score FROM score_lines GROUP BY 1""")
+WITH {v.ARRAYS}
+SELECT scenario_id, {r("list_aggregate(s, 'avg')")} AS mean_score FROM arrays""")
 def array_mean(spark, folder):
     mean = fs.array_mean(F.col("scores"))
     return v.scored_arrays(spark, folder).select("scenario_id", stable(mean).alias("mean_score"))
 
 
 @query("explode_scores", f"""
-WITH {v.SCORED_LINES}
-SELECT scenario_id, CAST(row_number() OVER (PARTITION BY scenario_id ORDER BY ls) - 1 AS INTEGER) AS pos, ls AS score
-FROM score_lines WHERE ls IS NOT NULL""")
+WITH {v.ARRAYS}
+SELECT scenario_id, CAST(unnest(range(len(ls))) AS INTEGER) AS pos, unnest(ls) AS score FROM arrays""")
 def explode_scores(spark, folder):
     return reshape.explode_scores(v.scored_arrays(spark, folder), ["scenario_id"], "llm_scores")
 
 
 @query("scaled_variance", f"""
-WITH {v.SCORED}, {v.SCORED_LINES}, m AS (
-  SELECT dataset, type, avg(llm_avg_score) AS a FROM scored GROUP BY ALL),
+WITH {v.ARRAYS}, m AS (
+  SELECT dataset, type, avg({r("list_aggregate(ls, 'avg')")}) AS a FROM arrays GROUP BY ALL),
 b AS (SELECT type, min(a) AS lo, max(a) AS hi FROM m GROUP BY 1),
 rv AS (
-  SELECT scenario_id, l.dataset, l.type,
-    coalesce(var_samp(CASE WHEN hi > lo THEN (ls - lo) / (hi - lo) ELSE 0 END), 0) AS row_variance
-  FROM score_lines l JOIN b ON b.type = l.type GROUP BY 1, 2, 3)
+  SELECT scenario_id, l.dataset, l.type, CASE WHEN len(ls) > 1 AND hi > lo
+    THEN list_aggregate(list_transform(ls, lambda x: (x - lo) / (hi - lo)), 'var_samp') ELSE 0 END AS row_variance
+  FROM arrays l JOIN b ON b.type = l.type)
 SELECT dataset, type, {r('avg(row_variance)', 5)} AS average_variance FROM rv GROUP BY 1, 2
 UNION ALL
 SELECT dataset, 'Overall', {r('avg(row_variance)', 5)} FROM rv GROUP BY 1""")
@@ -74,8 +71,7 @@ def scaled_variance(spark, folder):
 
 
 @query("run_lengths", f"""
-WITH {v.SCORED_LINES}, n AS (
-  SELECT dataset, type, scenario_id, count(ls) AS k FROM score_lines GROUP BY ALL)
+WITH {v.ARRAYS}, n AS (SELECT dataset, type, coalesce(len(ls), 0) AS k FROM arrays)
 SELECT dataset, type, {r('avg(k)')} AS average_length, CAST(max(k) AS INTEGER) AS longest,
   {r('coalesce(1.0 / nullif(avg(k), 0), 0)')} AS reciprocal
 FROM n GROUP BY 1, 2""")

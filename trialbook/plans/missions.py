@@ -415,12 +415,11 @@ def ft_pairs(spark, folder):
 
 
 @query("sft_prepare", f"""
-WITH {v.SCORED_LINES}, n AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS original_index FROM orders),
-lo AS (SELECT scenario_id, min(s) AS lo FROM score_lines GROUP BY 1),
-cv AS (SELECT l.scenario_id, type AS llmin, lightstype AS llmout, stddev_pop(s + abs(lo) + 1) / avg(s + abs(lo) + 1) AS cv,
-    (max(s) - avg(s)) / nullif(stddev_pop(s), 0) AS top_z
-  FROM score_lines l JOIN lo ON lo.scenario_id = l.scenario_id WHERE s IS NOT NULL GROUP BY ALL)
-SELECT scenario_id, original_index, llmin, llmout, {r('cv')} AS coeff_of_var, {r('top_z')} AS top_z FROM cv JOIN n ON o_orderkey = scenario_id""")
+WITH {v.ARRAYS}, n AS (SELECT *, row_number() OVER (ORDER BY scenario_id) - 1 AS original_index FROM arrays),
+k AS (SELECT * FROM n WHERE len(s) > 0),
+u AS (SELECT scenario_id, unnest(list_transform(s, lambda x: x + abs(list_min(s)) + 1)) AS x FROM k),
+c AS (SELECT scenario_id, {r('stddev_pop(x) / avg(x)')} AS coeff_of_var, {r('(max(x) - avg(x)) / nullif(stddev_pop(x), 0)')} AS top_z FROM u GROUP BY 1)
+SELECT k.scenario_id, original_index, type AS llmin, lightstype AS llmout, coeff_of_var, top_z FROM k JOIN c ON c.scenario_id = k.scenario_id""")
 def sft_prepare(spark, folder):
     out = preferences.sft_table(
         v.scored_arrays(spark, folder), "scenario_id", "scores", "type", "lightstype"

@@ -5,9 +5,10 @@ Each view exists twice: as a DataFrame for the queries and as SQL for the checks
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trialbook.functions.scores import array_mean
 from trialbook.plans.registry import stable, stable_sql
 
 
@@ -33,28 +34,46 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
     return _scenarios(spark, folder).join(lines, "scenario_id", "left")
 
 
+# Five numbers of an order as its repeated scores; of these 0 to 5 are kept, or none at all.
+_SCORES = [
+    "o_totalprice",
+    "o_totalprice * 0.5 + o_custkey",
+    "CAST(o_custkey AS DOUBLE)",
+    "CAST(o_orderkey % 1000 AS DOUBLE)",
+    "o_totalprice * 0.25 - 1000",
+]
+_LLM_SCORES = [f"({s}) * 0.9 + o_custkey % 10" for s in _SCORES]
+
+
 def scored_arrays(spark: SparkSession, folder: str) -> DataFrame:
-    """Scenarios with their score arrays; used where the array is the operator's input."""
-    lines = (
-        table(spark, folder, "lineitem")
-        .groupBy(F.col("l_orderkey").alias("scenario_id"))
-        .agg(
-            F.array_sort(F.collect_list("l_extendedprice")).alias("scores"),
-            F.array_sort(F.collect_list(stable(F.expr(LLM_PRICE)))).alias("llm_scores"),
-            stable(F.avg("l_extendedprice")).alias("avg_score"),
-            stable(F.avg(F.expr(LLM_PRICE))).alias("llm_avg_score"),
-        )
+    """Scenarios with score arrays held in the row; missing for every seventh, empty for others."""
+
+    def array(parts: list[str]) -> Column:
+        whole = F.array(*[stable(F.expr(x)) for x in parts])
+        kept = F.slice(whole, 1, (F.col("o_orderkey") % 7 % 6).cast("int"))
+        return F.when(F.col("o_orderkey") % 7 != 0, kept)
+
+    orders = table(spark, folder, "orders").select(
+        *scenario_columns(), array(_SCORES).alias("scores"), array(_LLM_SCORES).alias("llm_scores")
+    )
+    return orders.select(
+        "*",
+        stable(array_mean(F.col("scores"))).alias("avg_score"),
+        stable(array_mean(F.col("llm_scores"))).alias("llm_avg_score"),
     )
-    return _scenarios(spark, folder).join(lines, "scenario_id", "left")
 
 
-def _scenarios(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "orders").select(
+def scenario_columns() -> list[Column]:
+    return [
         F.col("o_orderkey").alias("scenario_id"),
         F.col("o_orderpriority").alias("type"),
         F.col("o_orderstatus").alias("lightstype"),
         F.concat(F.lit("evaluated_"), F.year("o_orderdate").cast("string")).alias("dataset"),
-    )
+    ]
+
+
+def _scenarios(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "orders").select(*scenario_columns())
 
 
 _SCENARIO_COLUMNS = """o_orderkey AS scenario_id, o_orderpriority AS type,
@@ -66,9 +85,14 @@ SCORED = f"""scored AS (
   FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey
   GROUP BY o_orderkey, o_orderpriority, o_orderstatus, o_orderdate)"""
 
-SCORED_LINES = f"""score_lines AS (
-  SELECT {_SCENARIO_COLUMNS}, l_extendedprice AS s, {stable_sql(LLM_PRICE)} AS ls
-  FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey)"""
+
+def _list(parts: list[str]) -> str:
+    values = ", ".join(stable_sql(x) for x in parts)
+    return f"CASE WHEN o_orderkey % 7 <> 0 THEN list_slice([{values}], 1, o_orderkey % 7 % 6) END"
+
+
+ARRAYS = f"""arrays AS (
+  SELECT {_SCENARIO_COLUMNS}, {_list(_SCORES)} AS s, {_list(_LLM_SCORES)} AS ls FROM orders)"""
 
 
 def complete(spark: SparkSession, folder: str) -> DataFrame:
