@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trialbook.session import literal_table
+
 FLAG = r"--([A-Za-z]+[0-9]*)\s+(\S+)"
 
 
@@ -79,8 +81,8 @@ NEIGHBOUR_RANGE, WEIGHT_RANGE = (1, 10), (0, 20)
 ACTION_PARAMETERS = {0: ("rwm", "i", 1, 100), 4: ("att", "r", 1, 5), 5: ("rep", "r", 1, 5)}
 
 GRAMMAR_SCHEMA = (
-    "name string, flag string, kind string, domain array<double>, "
-    "parent string, parent_op string, parent_values array<double>"
+    "name: string, flag: string, kind: string, domain: array<double>, "
+    "parent: string, parent_op: string, parent_values: array<double>"
 )
 
 
@@ -88,8 +90,15 @@ def default_grammar(spark: SparkSession, branches: int = MAX_BRANCHES) -> DataFr
     """The grammar as a table: which flags exist, their domain, and when they apply."""
 
     def rule(name, flag, kind, domain, parent=None, op=None, values=None):
-        floats = [float(v) for v in domain]
-        return (name, flag, kind, floats, parent, op, [float(v) for v in values or []])
+        return {
+            "name": name,
+            "flag": flag,
+            "kind": kind,
+            "domain": list(domain),
+            "parent": parent,
+            "parent_op": op,
+            "parent_values": list(values or []),
+        }
 
     rows = [
         rule("root", "nroot", "c", [ROOT_CODE]),
@@ -110,7 +119,7 @@ def default_grammar(spark: SparkSession, branches: int = MAX_BRANCHES) -> DataFr
         ]
         for code, (flag, kind, low, high) in ACTION_PARAMETERS.items():
             rows.append(rule(f"{flag}{i}", f"{flag}{i}1", kind, [low, high], f"a{i}1", "==", [code]))
-    return spark.createDataFrame(rows, GRAMMAR_SCHEMA)
+    return literal_table(spark, rows, GRAMMAR_SCHEMA)
 
 
 def grammar_problems(df: DataFrame, controller: str, grammar: DataFrame) -> DataFrame:

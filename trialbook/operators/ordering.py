@@ -223,6 +223,7 @@ def hash_intervals(
     then placed by comparing its hash: the table itself is neither shuffled nor joined.
     """
     hashed, offsets = _hashed(df.select(key), key, seed, digits)
+    offsets = pin(offsets)
     cut_at = cuts(F.col("_total"))
 
     def holds(c: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trialbook.operators import combine, fitness, hooks, ordering, preferences, spatial, splits, tracks
 from trialbook.plans import views as v
 from trialbook.plans.registry import query, stable, stable_sql as r, with_stable
+from trialbook.session import literal_table
 
 # --- joins -------------------------------------------------------------------------------
 
@@ -66,9 +67,13 @@ def zip_join(spark, folder):
 SELECT o_orderkey AS scenario_id, o_orderpriority AS type, CASE o_orderpriority
   WHEN '1-URGENT' THEN '--nroot 3 --nchildroot 1' WHEN '2-HIGH' THEN '--nroot 3 --nchildroot 2' END AS controller FROM orders""")
 def fixed_controller(spark, folder):
-    chosen = spark.createDataFrame(
-        [("1-URGENT", "--nroot 3 --nchildroot 1"), ("2-HIGH", "--nroot 3 --nchildroot 2")],
-        "type string, controller string",
+    chosen = literal_table(
+        spark,
+        [
+            {"type": "1-URGENT", "controller": "--nroot 3 --nchildroot 1"},
+            {"type": "2-HIGH", "controller": "--nroot 3 --nchildroot 2"},
+        ],
+        "type: string, controller: string",
     )
     rows = v.table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("scenario_id"), F.col("o_orderpriority").alias("type")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "trialbook", master: str | None = None, **conf: str) -> SparkSession:
@@ -45,3 +47,9 @@ def pin(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder once, so later stages read equal rows."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A small fixed table as a plan constant, so the planner knows its size."""
+    text = F.lit(json.dumps(rows))
+    return spark.range(1).select(F.inline(F.from_json(text, f"array<struct<{schema}>>")))
