@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialbook.operators.attach import attach
-from trialbook.operators.ordering import percentiles_of, ranked_values
+from trialbook.operators.ordering import percentiles_of, ranked_values, value_chunks
 
 
 def ecdf(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -86,12 +86,12 @@ def kernel_density(
 
 def box_stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Quartiles, whiskers within 1.5 IQR of the box, and the notch of the median."""
-    ranked = ranked_values(df, by, value)
-    quarts = percentiles_of(ranked, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    values = value_chunks(df, by, value)
+    quarts = percentiles_of(values, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     iqr = F.col("q3") - F.col("q1")
     low, high = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
     whiskers = (
-        attach(ranked.select(*by, value), quarts, by, how="inner")
+        attach(values.select(*by, value), quarts, by, how="inner")
         .groupBy(*by)
         .agg(
             F.min(F.when(F.col(value) >= low, F.col(value))).alias("whisker_lo"),

@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from trialbook.operators.attach import attach
@@ -24,11 +24,20 @@ from trialbook.session import pin
 CHUNK = "_chunk"
 
 
+def _ranged(df: DataFrame, keys: list[str]) -> DataFrame:
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(parts, *keys)
+
+
 def chunk(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Range-partition by (by, order) and keep the partition number; pinned, so it cannot shift."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *by, *order)
-    return pin(ranged.withColumn(CHUNK, F.spark_partition_id()))
+    return pin(_ranged(df, [*by, *order]).withColumn(CHUNK, F.spark_partition_id()))
+
+
+def _chunk_windows(by: list[str]) -> tuple[WindowSpec, WindowSpec]:
+    """Over the table of chunks: all chunks before this one, and all chunks of the group."""
+    group = Window.partitionBy(*by)
+    return group.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1), group
 
 
 def running_total(
@@ -40,10 +49,7 @@ def running_total(
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    before = (
-        Window.partitionBy(*by).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    whole = Window.partitionBy(*by)
+    before, whole = _chunk_windows(by)
     bases = (
         chunks.groupBy(*by, CHUNK)
         .agg(*[F.sum(c).alias(f"_s_{n}") for n, c in sums.items()])
@@ -85,8 +91,23 @@ def positions(df: DataFrame, by: list[str], order: list[str], out: str = "pos")
             lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
         )
         return df.join(named, same).drop(*[f"_k_{k}" for k in keys])
-    ranked = running_total(chunk(df, by, order), by, order, {out: F.lit(1).cast("long")})
-    return ranked.drop(CHUNK)
+    # within a sorted partition the low 33 bits of this id count the rows from 0
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ordered = _ranged(df, keys).sortWithinPartitions(*keys)
+    chunks = pin(ordered.select("*", F.spark_partition_id().alias(CHUNK), place.alias("_at")))
+    before, whole = _chunk_windows(by)
+    shifts = (
+        chunks.groupBy(*by, CHUNK)
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+        .select(
+            *by,
+            CHUNK,
+            (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
+            F.sum("_n").over(whole).alias(f"{out}_total"),
+        )
+    )
+    joined = attach(chunks, shifts, [*by, CHUNK], how="inner", null_safe=True)
+    return joined.withColumn(out, F.col("_at") + F.col("_shift")).drop(CHUNK, "_at", "_shift")
 
 
 def previous(
@@ -116,13 +137,13 @@ def previous(
     return joined.drop("_rn", "_carry", CHUNK, *[f"_p_{c}" for c in columns])
 
 
-def ranked_values(
+def value_chunks(
     df: DataFrame, by: list[str], value: str, extra: dict[str, Column] | None = None
 ) -> DataFrame:
-    """One row per group and distinct value: its count ``n``, the count ``below`` and ``total``.
+    """Distinct values per group with their count ``n``, range-partitioned into chunks.
 
     Equal values are counted before anything is ordered, so a value shared by many rows
-    is one row here. Ranks, percentiles and cumulative shares all follow from this table.
+    is one row here.
     """
     counts = (
         df.filter(F.col(value).isNotNull())
@@ -132,7 +153,18 @@ def ranked_values(
             *[c.alias(name) for name, c in (extra or {}).items()],
         )
     )
-    run = running_total(chunk(counts, by, [value]), by, [value], {"upto": F.col("n")})
+    return chunk(counts, by, [value])
+
+
+def ranked_values(
+    df: DataFrame, by: list[str], value: str, extra: dict[str, Column] | None = None
+) -> DataFrame:
+    """One row per group and distinct value: its count ``n``, the count ``below`` and ``total``.
+
+    Ranks and cumulative shares follow from this table.
+    """
+    chunks = value_chunks(df, by, value, extra)
+    run = running_total(chunks, by, [value], {"upto": F.col("n")})
     return (
         run.withColumn("below", F.col("upto") - F.col("n"))
         .withColumnRenamed("upto_total", "total")
@@ -149,25 +181,50 @@ def percentiles(
     df: DataFrame, by: list[str], value: str, fractions: dict[str, float]
 ) -> DataFrame:
     """Exact percentiles with linear interpolation, one column per entry of ``fractions``."""
-    return percentiles_of(ranked_values(df, by, value), by, value, fractions)
+    return percentiles_of(value_chunks(df, by, value), by, value, fractions)
 
 
 def percentiles_of(
-    ranked: DataFrame, by: list[str], value: str, fractions: dict[str, float]
+    chunks: DataFrame, by: list[str], value: str, fractions: dict[str, float]
 ) -> DataFrame:
-    """``percentiles`` on a table that ``ranked_values`` already made."""
-    first, last = F.col("below"), F.col("below") + F.col("n") - 1
-    picks, results = [], []
-    for name, fraction in fractions.items():
-        at = F.lit(float(fraction)) * (F.col("total") - 1)
-        for end, index in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            hit = F.when((first <= index) & (index <= last), F.col(value))
-            picks.append(F.max(hit).alias(f"_{name}_{end}"))
+    """``percentiles`` on a table that ``value_chunks`` already made.
+
+    The counts per chunk tell which chunks hold the wanted ranks; only these few are put
+    in order.
+    """
+    before, whole = _chunk_windows(by)
+    sums = (
+        chunks.groupBy(*by, CHUNK)
+        .agg(F.sum("n").alias("_s"))
+        .select(
+            *by,
+            CHUNK,
+            "_s",
+            F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"),
+            F.sum("_s").over(whole).alias("total"),
+        )
+    )
+    places = {name: F.lit(float(q)) * (F.col("total") - 1) for name, q in fractions.items()}
+    ranks = {f"_{n}_{end}": f(at) for n, at in places.items() for end, f in (("lo", F.floor), ("hi", F.ceil))}
+    wanted = reduce(
+        lambda a, b: a | b,
+        [(F.col("_base") <= r) & (r < F.col("_base") + F.col("_s")) for r in ranks.values()],
+    )
+    near = attach(chunks, sums.filter(wanted).drop("_s"), [*by, CHUNK], how="inner", null_safe=True)
+    inside = Window.partitionBy(*by, CHUNK).orderBy(value)
+    upto = F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    first = F.col("_base") + F.col("_upto") - F.col("n")
+    hits = [
+        F.max(F.when((first <= r) & (r < F.col("_base") + F.col("_upto")), F.col(value))).alias(name)
+        for name, r in ranks.items()
+    ]
+    grouped = near.withColumn("_upto", upto).groupBy(*by).agg(F.max("total").alias("total"), *hits)
+
+    def between(name: str) -> Column:
         lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        place = F.lit(float(fraction)) * (F.col("total") - 1)
-        results.append((lo + (hi - lo) * (place - F.floor(place))).alias(name))
-    grouped = ranked.groupBy(*by).agg(F.max("total").alias("total"), *picks)
-    return grouped.select(*by, F.col("total").alias("n"), *results)
+        return (lo + (hi - lo) * (places[name] - F.floor(places[name]))).alias(name)
+
+    return grouped.select(*by, F.col("total").alias("n"), *[between(n) for n in fractions])
 
 
 def _hashed(df: DataFrame, key: str, seed: int, digits: int) -> tuple[DataFrame, DataFrame]:
