@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,9 +45,15 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder once, so later stages read equal rows."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` once as a table in the shared folder and read it back.
+
+    Later stages then read equal rows whatever is recomputed or lost, take only the
+    columns they need, and the planner knows the size of what it reads.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/pinned-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
