@@ -10,13 +10,21 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_both_ways(spark):
+def test_all_ways(spark):
     data = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id") % 50).alias("k"))
     stats = data.groupBy("k").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    small, large = attach(data, stats, ["k"]), attach(data, stats, ["k"], limit=0)
-    assert "strategy=broadcast" in plan(small)
-    assert "strategy=broadcast" not in plan(large)
-    assert rows(small, "id", "k", "lo", "hi") == rows(large, "id", "k", "lo", "hi")
+    planned = attach(data, stats, ["k"])
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        small, large = attach(data, stats, ["k"]), attach(data, stats, ["k"], limit=0)
+        assert "strategy=broadcast" in plan(small)
+        assert "strategy=broadcast" not in plan(large)
+        found = [rows(d, "id", "k", "lo", "hi") for d in (small, large)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "strategy=broadcast" not in plan(planned)
+    assert found[0] == found[1] == rows(planned, "id", "k", "lo", "hi")
 
 
 def test_null_keys(spark):

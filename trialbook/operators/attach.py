@@ -36,10 +36,9 @@ def measured_bytes(df: DataFrame) -> int:
 
 def planned_small(df: DataFrame) -> bool:
     """Whether the planner's own size estimate is below the session's broadcast threshold."""
-    threshold = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    units = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils
+    threshold = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= units.byteStringAsBytes(threshold)
+    return int(str(size)) <= threshold
 
 
 def attach(
