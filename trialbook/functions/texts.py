@@ -132,18 +132,18 @@ class ChatFormat:
         )
 
 
-MISTRAL = ChatFormat()
+INSTRUCT = ChatFormat()
 
 
-def short_prompt(user: Column, answer: Column, chat: ChatFormat = MISTRAL) -> Column:
+def short_prompt(user: Column, answer: Column, chat: ChatFormat = INSTRUCT) -> Column:
     return chat.wrap(F.concat(user, F.lit(SHORT_INSTRUCTION)), answer)
 
 
-def long_prompt(user: Column, answer: Column, chat: ChatFormat = MISTRAL) -> Column:
+def long_prompt(user: Column, answer: Column, chat: ChatFormat = INSTRUCT) -> Column:
     return chat.wrap(F.concat(user, F.lit(LONG_INSTRUCTION)), answer)
 
 
-def raw_prompt(user: Column, answer: Column, chat: ChatFormat = MISTRAL) -> Column:
+def raw_prompt(user: Column, answer: Column, chat: ChatFormat = INSTRUCT) -> Column:
     return chat.wrap(user, answer)
 
 
