@@ -10,6 +10,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -57,12 +58,25 @@ def normal_upper(z: float) -> float:
 
 
 def signed_rank_upper(w: float, n: int) -> float:
-    """P(W+ >= w) over all sign choices of the ranks 1..n, without ties."""
-    ways = np.zeros(n * (n + 1) // 2 + 1)
-    ways[0] = 1.0
+    """P(W+ >= w) over all sign choices of the ranks 1..n, without ties.
+
+    The distribution is symmetric, so only sums below the nearer tail's end are counted, and
+    shares instead of counts keep the numbers in range.
+    """
+    most = n * (n + 1) // 2
+    least = int(math.ceil(w))
+    below = least <= most - least + 1  # P(W < w) has fewer sums than P(W >= w)
+    top = least - 1 if below else most - least
+    if top < 0:
+        return 1.0 if below else 0.0
+    share = np.zeros(top + 1)
+    share[0] = 1.0
     for rank in range(1, n + 1):
-        ways[rank:] += ways[:-rank].copy()
-    return float(ways[int(math.ceil(w)):].sum() / 2.0**n)
+        if rank <= top:
+            share[rank:] += share[:-rank].copy()
+        share *= 0.5
+    tail = float(share.sum())
+    return 1.0 - tail if below else tail
 
 
 def _side(upper: float, lower: float, alternative: str) -> float:
@@ -89,22 +103,37 @@ def t_test_p(alternative: str = "greater"):
     return p
 
 
-def wilcoxon_p(alternative: str = "greater", method: str = "auto"):
-    """Pandas UDF (W+, n, zeros, z, has_ties) -> p.
+#: Pairs up to which ``auto`` takes the exact distribution.
+EXACT_PAIRS = 50
+#: Pairs for which the exact distribution is still worked out (its sums grow with the square).
+MOST_EXACT_PAIRS = 5_000
+
 
-    ``auto`` takes the exact distribution for n <= 50 when there are neither ties nor
-    dropped zeros, else the normal approximation without continuity correction.
+def wilcoxon_method(n: Column, zeros: Column, ties: Column, method: str = "auto", exact_pairs: int = EXACT_PAIRS) -> Column:
+    """Which distribution a test uses: ``exact`` or ``normal``; NULL without pairs.
+
+    ``auto`` is exact for up to ``exact_pairs`` pairs with neither ties nor dropped zeros, else
+    normal without continuity correction. Asking for ``exact`` where it does not hold (ties,
+    zeros, or more than ``MOST_EXACT_PAIRS`` pairs) is an error.
     """
+    plain = ~F.coalesce(ties, F.lit(False)) & (F.coalesce(zeros, F.lit(0)) == 0)
+    if method == "auto":
+        return F.when(n >= 1, F.when(plain & (n <= exact_pairs), "exact").otherwise("normal"))
+    if method == "exact":
+        problem = F.raise_error(F.lit("exact signed-rank p needs no ties, no zeros and few pairs")).cast("string")
+        return F.when(n >= 1, F.when(plain & (n <= MOST_EXACT_PAIRS), "exact").otherwise(problem))
+    return F.when(n >= 1, F.lit("normal"))
+
+
+def wilcoxon_p(alternative: str = "greater"):
+    """Pandas UDF (W+, n, z, method) -> p."""
 
     @F.pandas_udf("double")
-    def p(w: pd.Series, n: pd.Series, zeros: pd.Series, z: pd.Series, ties: pd.Series) -> pd.Series:
-        def one(w_, n_, zeros_, z_, ties_):
+    def p(w: pd.Series, n: pd.Series, z: pd.Series, method: pd.Series) -> pd.Series:
+        def one(w_, n_, z_, method_):
             if pd.isna(w_) or pd.isna(n_) or n_ < 1:
                 return None
-            exact = method == "exact" or (
-                method == "auto" and n_ <= 50 and not ties_ and zeros_ == 0
-            )
-            if exact:
+            if method_ == "exact":
                 n_ = int(n_)
                 upper = signed_rank_upper(float(w_), n_)
                 lower = signed_rank_upper(n_ * (n_ + 1) / 2.0 - float(w_), n_)
@@ -115,7 +144,7 @@ def wilcoxon_p(alternative: str = "greater", method: str = "auto"):
             return _side(upper, lower, alternative)
 
         return pd.Series(
-            [one(*r) for r in zip(w, n, zeros, z, ties)], dtype="float64"
+            [one(*r) for r in zip(w, n, z, method)], dtype="float64"
         )
 
     return p

@@ -34,11 +34,15 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()["b"]
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """The planner's own size estimate."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def planned_small(df: DataFrame) -> bool:
     """Whether the planner's own size estimate is below the session's broadcast threshold."""
     threshold = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= threshold
+    return planned_bytes(df) <= threshold
 
 
 def attach(

@@ -19,11 +19,14 @@ def ecdf(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, by: list[str], value: str, bins: int = 30) -> DataFrame:
-    """Counts in equal-width bins over the range of each group; the maximum is in the last bin."""
+    """Counts in equal-width bins over the range of each group; the maximum is in the last bin.
+
+    Rows without a group or without a value are in no bin.
+    """
     if not by:
         whole = histogram(df.withColumn("_all", F.lit(0)), ["_all"], value, bins)
         return whole.drop("_all")
-    known = df.filter(F.col(value).isNotNull())
+    known = df.na.drop("any", subset=[*by, value])
     bounds = known.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     joined = attach(known, bounds, by)
     width = (F.col("_hi") - F.col("_lo")) / bins
@@ -105,8 +108,9 @@ def box_stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
         "q1",
         "median",
         "q3",
-        "whisker_lo",
-        "whisker_hi",
+        # where no value lies between the box and the fence, the whisker ends at the box
+        F.least("whisker_lo", "q1").alias("whisker_lo"),
+        F.greatest("whisker_hi", "q3").alias("whisker_hi"),
         (F.col("median") - reach).alias("notch_lo"),
         (F.col("median") + reach).alias("notch_hi"),
     )

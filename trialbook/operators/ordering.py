@@ -7,7 +7,7 @@ row) is a small table with one row per group and chunk. A group holding most of
 data is then spread over as many tasks as its share asks for.
 
 ``order`` names columns, ascending, and must be unique within ``by``. The number of chunks
-is ``spark.sql.shuffle.partitions``.
+follows the planner's size estimate, with ``spark.sql.shuffle.partitions`` as the least.
 """
 
 from __future__ import annotations
@@ -18,15 +18,27 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from trialbook.operators.attach import attach
+from trialbook.operators.attach import attach, planned_bytes
 from trialbook.session import pin
 
 CHUNK = "_chunk"
+#: An estimate that multiplies up through joins must not ask for more chunks than this.
+MOST_CHUNKS = 20_000
+
+
+#: Bytes that the planner expects in one chunk of an order.
+CHUNK_BYTES = 256 << 20
+
+
+def _chunk_count(df: DataFrame) -> int:
+    """One chunk per ``CHUNK_BYTES`` of the planner's estimate, and at least the session's
+    number of shuffle partitions."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(MOST_CHUNKS, -(-planned_bytes(df) // CHUNK_BYTES)))
 
 
 def _ranged(df: DataFrame, keys: list[str]) -> DataFrame:
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(parts, *keys)
+    return df.repartitionByRange(_chunk_count(df), *keys)
 
 
 def chunk(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -233,7 +245,11 @@ def _hashed(df: DataFrame, key: str, seed: int, digits: int) -> tuple[DataFrame,
     The prefixes split the rows evenly whatever the keys are, so no sampling is needed;
     there are 16**digits of them at most, which bounds the table.
     """
-    hashed = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
+    if not 1 <= digits <= 4:
+        raise ValueError("digits: 1 to 4, as the prefix table is broadcast")
+    hashed = df.filter(F.col(key).isNotNull()).withColumn(
+        "_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    )
     hashed = hashed.withColumn("_hp", F.substring("_h", 1, digits))
     before = Window.orderBy("_hp").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -252,7 +268,8 @@ def _hashed(df: DataFrame, key: str, seed: int, digits: int) -> tuple[DataFrame,
 def hash_positions(
     df: DataFrame, key: str, seed: int = 42, digits: int = 4, out: str = "pos"
 ) -> DataFrame:
-    """Seeded shuffle: 1-based position of each row in the order of md5(seed:key)."""
+    """Seeded shuffle: 1-based position of each row in the order of md5(seed:key); rows with
+    a NULL key have none and are left out."""
     hashed, offsets = _hashed(df, key, seed, digits)
     inside = Window.partitionBy("_hp").orderBy("_h", key)
     return (
@@ -274,12 +291,18 @@ def hash_intervals(
 ) -> DataFrame:
     """Cut the seeded shuffle at given positions; ``out`` counts the cuts a row lies beyond.
 
-    ``cuts`` gets the number of rows and returns rising positions; ``key`` is unique. The
+    ``cuts`` gets the number of rows and returns rising positions; ``key`` is unique. Rows
+    with a NULL key are drawn nowhere and have a NULL ``out``. The
     prefix counts tell which few prefixes hold a cut, only the keys with those prefixes
     are put in order, and the hash found at each cut becomes a threshold. Every row is
     then placed by comparing its hash: the table itself is neither shuffled nor joined.
     """
-    hashed, offsets = _hashed(df.select(key), key, seed, digits)
+    # a narrow table is computed once and kept whole, of a wide one only the keys are
+    if not _is_wide(df, [key]):
+        df = pin(df)
+        hashed, offsets = _hashed(df.select(key), key, seed, digits)
+    else:
+        hashed, offsets = _hashed(pin(df.select(key)), key, seed, digits)
     offsets = pin(offsets)
     cut_at = cuts(F.col("_total"))
 
@@ -308,7 +331,25 @@ def hash_intervals(
         F.when(F.col(f"_b.b{i}") | F.coalesce(F.col("_at") > F.col(f"_t.t{i}"), F.lit(False)), 1).otherwise(0)
         for i in range(len(cut_at))
     ]
-    return marked.select(*df.columns, reduce(lambda a, b: a + b, passed).alias(out))
+    place = F.when(F.col(key).isNotNull(), reduce(lambda a, b: a + b, passed))
+    return marked.select(*df.columns, place.alias(out))
+
+
+def _first_chunks(df: DataFrame, by: list[str], order: list[Column], n: int, out: str) -> DataFrame:
+    """``top_n`` by ranges of (group, order): ranks within a chunk, shifted by the rows before it."""
+    sized = _chunk_count(df)
+    ranged = df.repartitionByRange(sized, *[F.col(c) for c in by], *order).sortWithinPartitions(*[F.col(c) for c in by], *order)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    chunks = pin(ranged.select("*", F.spark_partition_id().alias(CHUNK), place.alias("_at")))
+    before, _ = _chunk_windows(by)
+    shifts = (
+        chunks.groupBy(*by, CHUNK)
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+        .select(*by, CHUNK, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    )
+    joined = attach(chunks, shifts, [*by, CHUNK], how="inner", null_safe=True)
+    ranked = joined.withColumn(out, (F.col("_at") + F.col("_shift")).cast("int"))
+    return ranked.filter(F.col(out) <= n).select(*df.columns, out)
 
 
 def top_n(
@@ -317,7 +358,12 @@ def top_n(
     """First ``n`` rows per group.
 
     Spark turns the rank filter into a group limit before the shuffle, so each map task
-    sends at most ``n`` rows per group, however large the group is.
+    sends at most ``n`` rows per group, however large the group is. It does so for ``n``
+    below ``spark.sql.optimizer.windowGroupLimitThreshold``; a larger ``n`` would gather whole
+    groups, so there the rows are first cut down per (group, chunk of the order): as many
+    rows as are before a chunk need not be looked for in it.
     """
+    if n >= int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        return _first_chunks(df, by, order, n, out)
     window = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn(out, F.row_number().over(window)).filter(F.col(out) <= n)

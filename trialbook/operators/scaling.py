@@ -16,8 +16,13 @@ def minmax_by(
     shared: bool = False,
     on_degenerate: str = "null",
     prefix: str = "rel_",
+    modes: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Scale columns to 0..1 within each group; ``shared`` uses one range for all of them."""
+    """Scale columns to 0..1 within each group; ``shared`` uses one range for all of them.
+
+    ``modes`` gives several results from one table of ranges: prefix and what an empty range
+    gives (in place of ``prefix`` and ``on_degenerate``).
+    """
     lows = [F.min(c) for c in columns]
     highs = [F.max(c) for c in columns]
     if shared and len(columns) > 1:
@@ -28,9 +33,10 @@ def minmax_by(
         *[x.alias(f"_hi_{c}") for c, x in zip(columns, highs)],
     )
     joined = attach(df, stats, by)
-    for c in columns:
-        scaled = min_max(F.col(c), F.col(f"_lo_{c}"), F.col(f"_hi_{c}"), on_degenerate)
-        joined = joined.withColumn(f"{prefix}{c}", scaled)
+    for start, degenerate in (modes or {prefix: on_degenerate}).items():
+        for c in columns:
+            scaled = min_max(F.col(c), F.col(f"_lo_{c}"), F.col(f"_hi_{c}"), degenerate)
+            joined = joined.withColumn(f"{start}{c}", scaled)
     return joined.drop(*[f"_{p}_{c}" for p in ("lo", "hi") for c in columns])
 
 
@@ -58,12 +64,12 @@ def outcome_flags(
 
 
 def drop_infinite(df: DataFrame) -> DataFrame:
-    """Keep rows without an infinite value in any float column."""
+    """Keep rows without an infinite value in any float column; NaN and NULL are not infinite."""
     keep: Column = F.lit(True)
     for field in df.schema.fields:
         if field.dataType.typeName() in ("double", "float"):
-            finite = F.abs(F.col(field.name)) < F.lit(float("inf"))
-            keep = keep & F.coalesce(finite, F.lit(True))
+            infinite = F.abs(F.col(f"`{field.name}`")) == F.lit(float("inf"))
+            keep = keep & ~F.coalesce(infinite, F.lit(False))
     return df.filter(keep)
 
 

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialbook.functions.pvalues import t_test_p, wilcoxon_p
+from trialbook.functions.pvalues import EXACT_PAIRS, t_test_p, wilcoxon_method, wilcoxon_p
 from trialbook.operators.ordering import mean_rank, ranked_values
+from trialbook.session import pin
 
 
 def pearson_by(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
@@ -28,13 +29,9 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
     Equal pairs are merged first; the correlation is computed from weighted sums.
     """
-    pairs = (
-        df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-        .groupBy(a, b)
-        .agg(F.count(F.lit(1)).alias("w"))
-    )
-    both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    long = both.select(a, b).unpivot([], [a, b], "metric", "v")
+    both = pin(df.select(a, b).filter(F.col(a).isNotNull() & F.col(b).isNotNull()))
+    pairs = both.groupBy(a, b).agg(F.count(F.lit(1)).alias("w"))
+    long = both.unpivot([], [a, b], "metric", "v")
     ranks = ranked_values(long, ["metric"], "v").select("metric", "v", mean_rank().alias("r"))
     rank_a = ranks.filter(F.col("metric") == a).select(F.col("v").alias(a), F.col("r").alias("ra"))
     rank_b = ranks.filter(F.col("metric") == b).select(F.col("v").alias(b), F.col("r").alias("rb"))
@@ -50,13 +47,8 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
-def effect_size(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
-    """Means, pooled standard deviation, Cohen's d, and the equal-variance t with its df.
-
-    d is (mean b - mean a) / pooled sd; t is (mean a - mean b) over its standard error.
-    """
-    n_a, n_b = F.col("n_a"), F.col("n_b")
-    base = df.groupBy(*by).agg(
+def _moments(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
+    return df.groupBy(*by).agg(
         F.count(a).alias("n_a"),
         F.count(b).alias("n_b"),
         F.avg(a).alias("mean_a"),
@@ -64,10 +56,41 @@ def effect_size(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
         F.var_samp(a).alias("_va"),
         F.var_samp(b).alias("_vb"),
     )
+
+
+def _merged(moments: DataFrame) -> DataFrame:
+    """The moments of all rows from those of their groups, as one row."""
+    squares = {}
+    for s in "ab":
+        n, mean = F.col(f"n_{s}"), F.col(f"mean_{s}")
+        inner = F.coalesce(F.col(f"_v{s}"), F.lit(0.0)) * F.greatest(n - 1, F.lit(0))
+        squares[f"_q{s}"] = F.sum(inner)
+        squares[f"_s{s}"] = F.sum(n * mean)
+        squares[f"_c{s}"] = F.sum(n)
+    sums = moments.agg(*[c.alias(k) for k, c in squares.items()])
+    # between the groups: the spread of their means around the mean of all rows
+    spread = {
+        f"_b{s}": F.sum(F.col(f"n_{s}") * F.pow(F.col(f"mean_{s}") - sums.select(F.try_divide(f"_s{s}", f"_c{s}")).scalar(), F.lit(2)))
+        for s in "ab"
+    }
+    total = moments.agg(*[squares[k].alias(k) for k in squares], *[c.alias(k) for k, c in spread.items()])
+    columns = []
+    for s in "ab":
+        n = F.col(f"_c{s}")
+        columns += [
+            F.coalesce(n, F.lit(0)).alias(f"n_{s}"),
+            F.try_divide(F.col(f"_s{s}"), n).alias(f"mean_{s}"),
+            F.when(n > 1, (F.col(f"_q{s}") + F.coalesce(F.col(f"_b{s}"), F.lit(0.0))) / (n - 1)).alias(f"_v{s}"),
+        ]
+    return total.select(*columns)
+
+
+def _effects(moments: DataFrame) -> DataFrame:
+    n_a, n_b = F.col("n_a"), F.col("n_b")
     pooled = F.sqrt(
         F.try_divide((n_a - 1) * F.col("_va") + (n_b - 1) * F.col("_vb"), n_a + n_b - 2)
     )
-    with_sd = base.withColumn("pooled_sd", pooled).withColumn("dof", n_a + n_b - 2)
+    with_sd = moments.withColumn("pooled_sd", pooled).withColumn("dof", n_a + n_b - 2)
     error = F.col("pooled_sd") * F.sqrt(1 / n_a + 1 / n_b)
     return (
         with_sd.withColumn("mean_difference", F.col("mean_b") - F.col("mean_a"))
@@ -77,6 +100,14 @@ def effect_size(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     )
 
 
+def effect_size(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
+    """Means, pooled standard deviation, Cohen's d, and the equal-variance t with its df.
+
+    d is (mean b - mean a) / pooled sd; t is (mean a - mean b) over its standard error.
+    """
+    return _effects(_moments(df, by, a, b))
+
+
 def t_test_by(df: DataFrame, by: list[str], a: str, b: str, alternative: str = "greater") -> DataFrame:
     stats = effect_size(df, by, a, b)
     return stats.withColumn("t_p", t_test_p(alternative)(F.col("t"), F.col("dof").cast("double")))
@@ -86,6 +117,7 @@ def wilcoxon_statistics(df: DataFrame, by: list[str], a: str, b: str) -> DataFra
     """Signed-rank sums per group: n, zeros, W+, W-, and the normal score z."""
     d = F.col(a) - F.col(b)
     diffs = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, d.alias("_d"))
+    diffs = pin(diffs)
     nonzero = diffs.filter(F.col("_d") != 0).withColumn("_m", F.abs("_d"))
     ranked = ranked_values(
         nonzero,
@@ -122,30 +154,42 @@ def wilcoxon_by(
     b: str,
     alternative: str = "greater",
     method: str = "auto",
+    exact_pairs: int = EXACT_PAIRS,
 ) -> DataFrame:
-    """Wilcoxon signed-rank test; two-sided reports min(W+, W-), one-sided W+."""
+    """Wilcoxon signed-rank test; two-sided reports min(W+, W-), one-sided W+. ``w_method`` tells
+    which distribution ``w_p`` is from."""
     stats = wilcoxon_statistics(df, by, a, b)
     statistic = (
         F.least("w_plus", "w_minus") if alternative == "two-sided" else F.col("w_plus")
     )
-    p = wilcoxon_p(alternative, method)
-    return stats.withColumn("w", statistic).withColumn(
-        "w_p", p("w_plus", "n", "zeros", "z", "has_ties")
-    )
+    chosen = wilcoxon_method(F.col("n"), F.col("zeros"), F.col("has_ties"), method, exact_pairs)
+    stats = stats.withColumn("w", statistic).withColumn("w_method", chosen)
+    return stats.withColumn("w_p", wilcoxon_p(alternative)("w_plus", "n", "z", "w_method"))
 
 
 def compare_methods(
-    df: DataFrame, by: str, a: str, b: str, alternative: str = "greater", label: str = "Overall"
-) -> DataFrame:
-    """Means, difference, t, p, d, W and its p, per group and over all rows."""
-
-    # each row counts for its own group and for the total, in one pass over the data
-    labels = F.array_compact(F.array(F.col(by), F.lit(label)))
-    rows = df.select(F.explode(labels).alias(by), a, b)
-    tests = wilcoxon_by(rows, [by], a, b, alternative).drop("zeros", "has_ties")
-    return t_test_by(rows, [by], a, b, alternative).join(
-        tests.withColumnRenamed("n", "n_pairs"), by, "left"
-    )
+    df: DataFrame, by: str, a: str, b: str, alternative: str = "greater", label: str = "Overall",
+    exact_pairs: int = EXACT_PAIRS,
+) -> DataFrame:
+    """Means, difference, t, p, d, W, its p and method, per group and over all rows.
+
+    The three columns are computed once. The total's moments are merged from the groups'; its
+    ranks need the rows once more, marked, so a group that is called like ``label`` stays one
+    of its own. Rows without a group count in the total only.
+    """
+    rows = pin(df.select(by, a, b))
+    moments = pin(_moments(rows, [by], a, b))
+    groups = moments.filter(F.col(by).isNotNull()).withColumn("_total", F.lit(False))
+    total = _merged(moments.drop(by)).select(F.lit(label).alias(by), "*", F.lit(True).alias("_total"))
+    effects = _effects(groups.unionByName(total))
+    effects = effects.withColumn("t_p", t_test_p(alternative)(F.col("t"), F.col("dof").cast("double")))
+    own = F.struct(F.col(by).alias("g"), F.lit(False).alias("t"))
+    all_ = F.struct(F.lit(label).alias("g"), F.lit(True).alias("t"))
+    marked = rows.select(F.explode(F.array(own, all_)).alias("_k"), a, b).filter("_k.g is not null")
+    marked = marked.select(F.col("_k.g").alias(by), F.col("_k.t").alias("_total"), a, b)
+    tests = wilcoxon_by(marked, [by, "_total"], a, b, alternative, exact_pairs=exact_pairs).drop("zeros", "has_ties")
+    joined = effects.join(tests.withColumnRenamed("n", "n_pairs"), [by, "_total"], "left")
+    return joined.drop("_total")
 
 
 def significant(comparison: DataFrame, p: str = "t_p", level: float = 0.05) -> DataFrame:

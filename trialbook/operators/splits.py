@@ -7,16 +7,24 @@ from pyspark.sql import functions as F
 
 from trialbook.operators.ordering import hash_intervals, hash_positions, positions
 
+#: Rows that one task may hold when a slice is taken by sorting.
+SHALLOW = 100_000
+
+
+def _complete(df: DataFrame) -> DataFrame:
+    """Every split starts from the complete rows; so a missing key is never drawn."""
+    return df.na.drop("any")
+
 
 def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """Seeded permutation of the complete rows; ``pos`` counts from 1."""
-    return hash_positions(df.na.drop("any"), key, seed).drop("pos_total")
+    return hash_positions(_complete(df), key, seed).drop("pos_total")
 
 
 def holdout(df: DataFrame, key: str, n_validation: int = 250, n_train: int = 2250, seed: int = 42) -> DataFrame:
     """First rows of the shuffled order as validation, the next ones as train."""
     cuts = [F.lit(n_validation), F.lit(n_validation + n_train)]
-    drawn = hash_intervals(df, key, lambda total: cuts, seed).filter(F.col("interval") < 2)
+    drawn = hash_intervals(_complete(df), key, lambda total: cuts, seed).filter(F.col("interval") < 2)
     split = F.when(F.col("interval") == 0, "validation").otherwise("train")
     return drawn.withColumn("split", split).drop("interval")
 
@@ -26,7 +34,7 @@ def train_validation(
 ) -> DataFrame:
     """Exact-size random split (a quarter when no share is given); validation is rounded up."""
     share = 0.25 if validation is None else validation
-    drawn = hash_intervals(df, key, lambda total: [F.ceil(total * F.lit(share))], seed)
+    drawn = hash_intervals(_complete(df), key, lambda total: [F.ceil(total * F.lit(share))], seed)
     split = F.when(F.col("interval") == 0, "validation").otherwise("train")
     return drawn.withColumn("split", split).drop("interval")
 
@@ -42,7 +50,7 @@ def size_ladder(df: DataFrame, key: str, steps: int = 10, seed: int = 42) -> Dat
         # total * k // steps in whole numbers
         return [((total * k) - (total * k) % steps) / steps for k in range(1, steps)]
 
-    drawn = hash_intervals(df, key, cuts, seed)
+    drawn = hash_intervals(_complete(df), key, cuts, seed)
     return drawn.withColumn("rung", F.col("interval").cast("long") + 1).drop("interval")
 
 
@@ -64,12 +72,21 @@ def row_ids(df: DataFrame, order: list[str], out: str = "original_index") -> Dat
 
 
 def first_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
-    """First k rows of an order; each task keeps at most k rows before they meet."""
+    """First k rows of an order; each task keeps at most k rows before they meet, so k is
+    bounded by ``SHALLOW``."""
+    if k > SHALLOW:
+        raise ValueError(f"first_k serves up to {SHALLOW} rows; take more by position")
     return df.orderBy(*order).limit(k)
 
 
 def row_slice(df: DataFrame, order: list[str], offset: int, count: int) -> DataFrame:
-    """``count`` rows after the first ``offset`` of a unique order."""
+    """``count`` rows after the first ``offset`` of a unique order.
+
+    For shallow slices each task keeps offset + count rows at most; deep ones are cut out by
+    position, which orders only the keys of a wide table.
+    """
+    if offset + count <= SHALLOW:
+        return df.orderBy(*order).offset(offset).limit(count)
     numbered = row_ids(df, order, "_at")
     return numbered.filter((F.col("_at") >= offset) & (F.col("_at") < offset + count)).drop("_at")
 

@@ -175,8 +175,8 @@ FROM judged j JOIN b ON b.type = j.type""")
 def minmax_pair(spark, folder):
     pair = ["scores_bt1", "scores_bt2"]
     base = v.judged(spark, folder).select("scenario_id", "type", *pair)
-    strict = scaling.minmax_by(base, pair, ["type"], shared=True, prefix="null_")
-    both = scaling.minmax_by(strict, pair, ["type"], shared=True, on_degenerate="zero", prefix="zero_")
+    modes = {"null_": "null", "zero_": "zero"}
+    both = scaling.minmax_by(base, pair, ["type"], shared=True, modes=modes)
     return both.select(
         "scenario_id",
         stable("null_scores_bt1").alias("null_a"),
@@ -566,10 +566,59 @@ def significant(spark, folder):
     return significance.significant(out, "w_p").select("type", "significant")
 
 
-@query("p_values")
+# tails by Simpson sums of the densities from 0 on, in 4000 steps
+def _tails(source: str) -> str:
+    weight = "CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"""t_tail AS (
+  SELECT key, 0.5 - sum({weight} * t / 4000 * exp(lgamma((dof + 1) / 2.0) - lgamma(dof / 2.0) - 0.5 * ln(pi() * dof)
+    - (dof + 1) / 2.0 * ln(1 + (t * i / 4000) * (t * i / 4000) / dof))) / 3 AS t_up FROM {source}, range(4001) s(i) GROUP BY key),
+z_tail AS (
+  SELECT key, 0.5 - sum({weight} * z / 4000 * exp(-0.5 * (z * i / 4000) * (z * i / 4000)) / sqrt(2 * pi())) / 3 AS z_up
+  FROM {source}, range(4001) s(i) GROUP BY key)"""
+
+
+@query("p_values", f"""
+WITH {v.COMPLETE}, both_ AS (
+  SELECT type, llm_avg_score, avg_score FROM complete
+  UNION ALL SELECT 'Overall', llm_avg_score, avg_score FROM complete),
+e AS ({_EFFECT.format(source='both_')}),
+w AS ({_WILCOXON.format(source='both_', a='llm_avg_score', b='avg_score')}),
+k AS (SELECT e.type AS key, n_a + n_b - 2 AS dof, (mean_a - mean_b) / (sp * sqrt(1.0 / n_a + 1.0 / n_b)) AS t, {_Z} AS z
+  FROM e JOIN w ON w.type = e.type),
+{_tails('k')}
+SELECT a.key AS type, {r('t_up', 8)} AS t_p, {r('z_up', 8)} AS w_p, {r('1 - t_up', 8)} AS t_less, {r('1 - z_up', 8)} AS w_less,
+  {r('2 * least(t_up, 1 - t_up)', 8)} AS t_two, {r('2 * least(z_up, 1 - z_up)', 8)} AS w_two, 'normal' AS w_method
+FROM t_tail a JOIN z_tail b ON b.key = a.key""")
 def p_values(spark, folder):
-    out = significance.compare_methods(v.complete(spark, folder), "type", "llm_avg_score", "avg_score")
-    return out.select("type", stable("t_p", 9).alias("t_p"), stable("w_p", 9).alias("w_p"))
+    rows = v.complete(spark, folder)
+    out = significance.compare_methods(rows, "type", "llm_avg_score", "avg_score")
+    p, dof = significance.wilcoxon_p, F.col("dof").cast("double")
+    for side, name in (("less", "less"), ("two-sided", "two")):
+        out = out.withColumn(f"t_{name}", significance.t_test_p(side)("t", dof))
+        out = out.withColumn(f"w_{name}", p(side)("w_plus", "n_pairs", "z", "w_method"))
+    return with_stable(out, ["t_p", "w_p", "t_less", "w_less", "t_two", "w_two"], 8).select(
+        "type", "t_p", "w_p", "t_less", "w_less", "t_two", "w_two", "w_method"
+    )
+
+
+# groups of neighbouring scenarios, small enough to list every choice of signs
+@query("p_values_exact", f"""
+WITH {v.COMPLETE}, d AS (
+  SELECT scenario_id // 10 AS block, llm_avg_score - avg_score AS d FROM complete WHERE llm_avg_score <> avg_score),
+k AS (SELECT block, d, row_number() OVER (PARTITION BY block ORDER BY abs(d)) AS k FROM d),
+w AS (SELECT block, count(*) AS n, sum(CASE WHEN d > 0 THEN k ELSE 0 END) AS w_plus,
+  count(*) - count(DISTINCT abs(d)) AS ties FROM k GROUP BY 1),
+sizes AS (SELECT DISTINCT n FROM w),
+sums AS (
+  SELECT n, choice, sum(CASE WHEN (choice >> (b - 1)) & 1 = 1 THEN b ELSE 0 END) AS s
+  FROM sizes, range(1024) c(choice), range(1, 11) x(b) WHERE choice < (1 << n) AND b <= n GROUP BY 1, 2)
+SELECT block, CAST(any_value(w.n) AS BIGINT) AS n, CAST(any_value(w_plus) AS DOUBLE) AS w, 'exact' AS w_method,
+  {r('count(CASE WHEN s >= w_plus THEN 1 END) / count(*)', 9)} AS w_p
+FROM w JOIN sums ON sums.n = w.n WHERE ties = 0 GROUP BY block""")
+def p_values_exact(spark, folder):
+    rows = v.complete(spark, folder).withColumn("block", F.expr("scenario_id div 10"))
+    out = significance.wilcoxon_by(rows.filter("llm_avg_score <> avg_score"), ["block"], "llm_avg_score", "avg_score")
+    return out.filter("not has_ties").select("block", "n", "w", "w_method", stable("w_p", 9).alias("w_p"))
 
 
 @query("stats_long", f"""
@@ -595,13 +644,22 @@ def ecdf(spark, folder):
     return with_stable(distribution.ecdf(v.complete(spark, folder), ["type"], "avg_score"), ["proportion"])
 
 
+_GAPPED = "CASE WHEN scenario_id % 11 <> 0 THEN type END"
+
+
+def gapped(spark, folder):
+    """Complete scenarios of which some have lost their type."""
+    return v.complete(spark, folder).withColumn("type", F.expr(_GAPPED))
+
+
 @query("histogram30", f"""
-WITH {v.COMPLETE}, b AS (SELECT type, min(avg_score) AS lo, (max(avg_score) - min(avg_score)) / 30 AS w FROM complete GROUP BY 1),
+WITH {v.COMPLETE}, g AS (SELECT avg_score, {_GAPPED} AS type FROM complete),
+b AS (SELECT type, min(avg_score) AS lo, (max(avg_score) - min(avg_score)) / 30 AS w FROM g GROUP BY 1),
 k AS (SELECT c.type, lo, w, least(CAST(floor((avg_score - lo) / nullif(w, 0)) AS BIGINT), 29) AS bin
-  FROM complete c JOIN b ON b.type = c.type)
+  FROM g c JOIN b ON b.type = c.type)
 SELECT type, bin, {r('lo + bin * w')} AS bin_start, count(*) AS n FROM k GROUP BY type, bin, lo, w""")
 def histogram30(spark, folder):
-    out = distribution.histogram(v.complete(spark, folder), ["type"], "avg_score")
+    out = distribution.histogram(gapped(spark, folder), ["type"], "avg_score")
     return with_stable(out, ["bin_start"])
 
 
@@ -630,8 +688,8 @@ WITH {v.COMPLETE}, q AS (
   SELECT type, count(*) AS n, quantile_cont(avg_score, 0.25) AS q1, median(avg_score) AS med,
     quantile_cont(avg_score, 0.75) AS q3 FROM complete GROUP BY 1)
 SELECT q.type, n, {r('q1')} AS q1, {r('med')} AS median, {r('q3')} AS q3,
-  {r('min(CASE WHEN avg_score >= q1 - 1.5 * (q3 - q1) THEN avg_score END)')} AS whisker_lo,
-  {r('max(CASE WHEN avg_score <= q3 + 1.5 * (q3 - q1) THEN avg_score END)')} AS whisker_hi,
+  {r('least(q1, min(CASE WHEN avg_score >= q1 - 1.5 * (q3 - q1) THEN avg_score END))')} AS whisker_lo,
+  {r('greatest(q3, max(CASE WHEN avg_score <= q3 + 1.5 * (q3 - q1) THEN avg_score END))')} AS whisker_hi,
   {r('med - 1.57 * (q3 - q1) / sqrt(n)')} AS notch_lo, {r('med + 1.57 * (q3 - q1) / sqrt(n)')} AS notch_hi
 FROM q JOIN complete c ON c.type = q.type GROUP BY q.type, n, q1, med, q3""")
 def box_stats(spark, folder):

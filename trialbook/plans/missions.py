@@ -277,25 +277,25 @@ def shuffle(spark, folder):
 @query("holdout_split", f"""
 WITH {_DRAWN} SELECT scenario_id, CASE WHEN pos <= 250 THEN 'validation' ELSE 'train' END AS split FROM drawn WHERE pos <= 2500""")
 def holdout_split(spark, folder):
-    return splits.holdout(v.complete(spark, folder), "scenario_id").select("scenario_id", "split")
+    return splits.holdout(v.complete(spark, folder).select("scenario_id"), "scenario_id").select("scenario_id", "split")
 
 
 @query("train_val_split", f"""
 WITH {_DRAWN} SELECT scenario_id, CASE WHEN pos <= ceil(n * 0.2) THEN 'validation' ELSE 'train' END AS split FROM drawn""")
 def train_val_split(spark, folder):
-    return splits.train_validation(v.complete(spark, folder), "scenario_id").select("scenario_id", "split")
+    return splits.train_validation(v.complete(spark, folder).select("scenario_id"), "scenario_id").select("scenario_id", "split")
 
 
 @query("size_ladder", f"""
 WITH {_DRAWN} SELECT scenario_id, min(k) AS rung FROM drawn, range(1, 11) t(k) WHERE pos <= n * k // 10 GROUP BY 1""")
 def size_ladder(spark, folder):
-    return splits.size_ladder(v.complete(spark, folder), "scenario_id").select("scenario_id", "rung")
+    return splits.size_ladder(v.complete(spark, folder).select("scenario_id"), "scenario_id").select("scenario_id", "rung")
 
 
 @query("ladder_sizes", f"""
 WITH {_DRAWN} SELECT k AS step, count(*) AS size FROM drawn, range(1, 11) t(k) WHERE pos <= n * k // 10 GROUP BY 1""")
 def ladder_sizes(spark, folder):
-    ladder = splits.size_ladder(v.complete(spark, folder), "scenario_id")
+    ladder = splits.size_ladder(v.complete(spark, folder).select("scenario_id"), "scenario_id")
     return splits.ladder_sizes(ladder)
 
 
