@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
+from trialbook.operators import attach as attach_module
 from trialbook.operators import fitness, spatial, tracks
 
 OBJECTIVE = (
@@ -144,8 +145,27 @@ def corners_inside(px, py, cx, cy, w, h, angle):
     return inside
 
 
-@pytest.mark.parametrize("cell", [0.3, 1.0, 5.0])
-def test_rectangles_and_circles(spark, cell):
+def test_large_areas_are_listed_under_few_cells(spark):
+    discs = [("r", j, 10.0 * j, -7.0 * j, 500.0, "black") for j in range(3)]
+    c = spark.createDataFrame(discs, "run_id string, circle_no int, x double, y double, radius double, color string")
+    assert spatial._celled_circles(c, "run_id").count() <= 12
+    p = spark.createDataFrame([("r", 1, 499.0, 0.0), ("r", 2, 501.0, 0.0), ("r", 3, None, 0.0), ("r", 4, float("nan"), 0.0)], "run_id string, i int, x double, y double")
+    got = rows(spatial.points_in_circles(p, c, "run_id"), "i", "circle_no")
+    assert got == [(1, 0), (1, 1), (1, 2), (2, 1), (2, 2)]
+
+
+def test_many_areas_join_by_key(spark, monkeypatch):
+    monkeypatch.setattr(attach_module, "BROADCAST_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        c = spark.range(2000).selectExpr("'r' AS run_id", "CAST(id AS INT) AS circle_no", "id * 1.0D AS x", "0.0D AS y", "0.4D AS radius", "'black' AS color")
+        p = spark.range(2000).selectExpr("'r' AS run_id", "id AS i", "id * 1.0D AS x", "0.0D AS y")
+        assert spatial.points_in_circles(p, c, "run_id").count() == 2000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rectangles_and_circles(spark):
     rng = random.Random(8)
     points = [("r", i, rng.uniform(-2, 2), rng.uniform(-2, 2)) for i in range(300)]
     rects = [("r", j, rng.uniform(-1, 1), rng.uniform(-1, 1), rng.uniform(0.2, 1), rng.uniform(0.2, 1), rng.uniform(0, 180), "white") for j in range(6)]
@@ -155,28 +175,29 @@ def test_rectangles_and_circles(spark, cell):
     c = spark.createDataFrame(discs, "run_id string, circle_no int, x double, y double, radius double, color string")
     in_rect = {(i, q[1]) for _, i, x, y in points for q in rects if corners_inside(x, y, *q[2:7])}
     in_disc = {(i, q[1]) for _, i, x, y in points for q in discs if math.hypot(x - q[2], y - q[3]) <= q[4]}
-    assert set(rows(spatial.points_in_rects(p, r, "run_id", cell), "i", "rect_no")) == in_rect
-    assert set(rows(spatial.points_in_circles(p, c, "run_id", cell), "i", "circle_no")) == in_disc
+    assert set(rows(spatial.points_in_rects(p, r, "run_id"), "i", "rect_no")) == in_rect
+    assert set(rows(spatial.points_in_circles(p, c, "run_id"), "i", "circle_no")) == in_disc
     color = {}
     for i in range(300):
         black = any(discs[j][5] == "black" for k, j in in_disc if k == i)
         white = any(discs[j][5] == "white" for k, j in in_disc if k == i) or any(k == i for k, _ in in_rect)
         color[i] = "black" if black else "white" if white else "gray"
-    assert dict(rows(spatial.floor_color(p, c, r, "run_id", ["i"], cell), "i", "color")) == color
+    assert dict(rows(spatial.floor_color(p, c, r, "run_id", ["i"]), "i", "color")) == color
 
 
-@pytest.mark.parametrize("limit", [10**9, 0])
-def test_nearest(spark, limit):
+@pytest.mark.parametrize("cell", [None, 0.4, 50.0])
+def test_nearest(spark, cell):
     rng = random.Random(4)
-    points = [("r" if i % 3 else "s", i, rng.uniform(-9, 9), rng.uniform(-2, 2)) for i in range(150)] + [("lonely", 999, 0.0, 0.0)]
+    points = [("r" if i % 3 else "s", i, rng.uniform(-9, 9), rng.uniform(-2, 2)) for i in range(150)] + [("lonely", 999, 0.0, 0.0), ("r", 998, None, 0.0), ("r", 997, 0.0, float("inf"))]
     targets = [("r" if j % 3 else "s", j, round(rng.uniform(-2, 2), 1), round(rng.uniform(-2, 2), 1)) for j in range(40)]
+    targets += [("r", 500, None, 1.0)]
     targets += [(r, j + 100, x, y) for r, j, x, y in targets[:5]]
     p = spark.createDataFrame(points, "run_id string, i int, x double, y double")
     t = spark.createDataFrame(targets, "run_id string, idx int, x double, y double")
-    got = {i: (idx, d) for i, idx, d in rows(spatial.nearest(p, t, "run_id", ["i"], 0.4, limit), "i", "idx", "dist")}
-    assert got.pop(999) == (None, None)
-    for run, i, x, y in points[:-1]:
-        best = min((math.sqrt((x - a) ** 2 + (y - b) ** 2), j) for q, j, a, b in targets if q == run)
+    got = {i: (idx, d) for i, idx, d in rows(spatial.nearest(p, t, "run_id", ["i"], cell), "i", "idx", "dist")}
+    assert got.pop(999) == got.pop(998) == got.pop(997) == (None, None)
+    for run, i, x, y in points[:-3]:
+        best = min((math.sqrt((x - a) ** 2 + (y - b) ** 2), j) for q, j, a, b in targets if q == run and a is not None)
         assert got[i][0] == best[1] and got[i][1] == pytest.approx(best[0])
 
 

@@ -1,6 +1,7 @@
 """Tests, effect sizes, splits and preference pairs on known cases."""
 
 import itertools
+import os
 import random
 
 import numpy as np
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from trialbook.functions import pvalues as pv
-from trialbook.operators import combine, distribution, preferences, significance, splits, summary
+from trialbook.operators import combine, distribution, ordering, preferences, significance, splits, summary
+from trialbook.session import clear_pinned, pin
 
 A, B = [5.0, 7, 3, 9, 6, 8], [4.0, 7, 5, 6, 3, 7]
 
@@ -153,3 +155,62 @@ def test_paired_experiments_need_equal_keys(spark):
 def test_zip_stops_at_the_shorter(spark):
     a, b = spark.range(10).toDF("a"), spark.range(100, 104).toDF("b")
     assert rows(combine.zip_rows(a, b, ["a"], ["b"]), "a", "b") == [(i, 100 + i) for i in range(4)]
+
+
+def test_splits_leave_out_incomplete_rows(spark):
+    df = spark.createDataFrame([(1, 1.0), (None, 2.0), (3, 3.0), (4, None), (5, 5.0), (6, 6.0)], "k int, x double")
+    got = rows(splits.train_validation(df, "k", 0.25), "k", "split")
+    assert [k for k, _ in got] == [1, 3, 5, 6] and [s for _, s in got].count("validation") == 1
+    assert len(rows(splits.size_ladder(df, "k", 2), "k", "rung")) == 4
+
+
+def test_rows_without_a_group_are_in_no_bin(spark):
+    df = spark.createDataFrame([(None, 5.0), (None, 9.0), ("a", 1.0), ("a", 2.0), ("a", None)], "g string, x double")
+    assert rows(distribution.histogram(df, ["g"], "x", 2), "g", "bin", "n") == [("a", 0, 1), ("a", 1, 1)]
+
+
+def test_whiskers_do_not_end_inside_the_box(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 3.0), ("a", 100.0)], "g string, x double")
+    box = distribution.box_stats(df, ["g"], "x").first()
+    assert box["whisker_hi"] == box["q3"] == 27.25
+
+
+@pytest.mark.parametrize("n", [25, 1500])
+def test_top_n_of_any_size(spark, n):
+    df = spark.range(5000).selectExpr("CAST(id % 2 AS STRING) AS g", "CAST(5000 - id AS DOUBLE) AS x", "'t' AS t")
+    got = ordering.top_n(df, ["g"], [F.col("x").desc()], n)
+    assert got.columns == ["g", "x", "t", "rank"]
+    found = rows(got, "g", "rank", "x")
+    assert len(found) == 2 * n and found[:2] == [("0", 1, 5000.0), ("0", 2, 4998.0)]
+
+
+def test_wilcoxon_tells_its_method(spark):
+    few = spark.createDataFrame([("a", float(i), 0.0) for i in range(1, 11)], "g string, a double, b double")
+    many = spark.range(1, 61).selectExpr("'b' AS g", "CAST(id AS DOUBLE) AS a", "0.0D AS b")
+    got = {r["g"]: (r["w_method"], r["w_p"]) for r in significance.wilcoxon_by(few.unionByName(many), ["g"], "a", "b").collect()}
+    assert got["a"] == ("exact", pytest.approx(2**-10)) and got["b"][0] == "normal"
+    assert significance.wilcoxon_by(few, ["g"], "a", "b", exact_pairs=5).first()["w_method"] == "normal"
+    tied = spark.createDataFrame([("a", 1.0, 0.0), ("a", 1.0, 0.0)], "g string, a double, b double")
+    with pytest.raises(Exception, match="no ties"):
+        significance.wilcoxon_by(tied, ["g"], "a", "b", method="exact").collect()
+
+
+def test_a_group_called_like_the_total_stays_its_own(spark):
+    df = spark.createDataFrame([("Overall", 1.0, 2.0), ("Overall", 2.0, 4.5), ("b", 5.0, 1.0), ("b", 4.0, 3.5), (None, 9.0, 1.0)], "g string, a double, b double")
+    got = sorted((r["g"], r["n_a"], r["n_pairs"]) for r in significance.compare_methods(df, "g", "a", "b").collect())
+    assert got == [("Overall", 2, 2), ("Overall", 5, 5), ("b", 2, 2)]
+
+
+def test_chunks_follow_the_size(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "CHUNK_BYTES", 1000)
+    df = spark.range(10_000)
+    assert ordering._chunk_count(df) == 80
+    monkeypatch.setattr(ordering, "CHUNK_BYTES", 1 << 40)
+    assert ordering._chunk_count(df) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_pinned_tables_can_be_cleared(spark):
+    table = pin(spark.range(3))
+    folder = table.inputFiles()[0].removeprefix("file://").removeprefix("file:").rsplit("/", 1)[0]
+    assert os.path.exists(folder)
+    assert clear_pinned(spark) >= 1 and not os.path.exists(folder)

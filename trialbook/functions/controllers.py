@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from dataclasses import dataclass
 
-from trialbook.session import literal_table
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 FLAG = r"--([A-Za-z]+[0-9]*)\s+(\S+)"
 
@@ -42,34 +42,39 @@ def _with_values(df: DataFrame, keep: list[str]) -> DataFrame:
     return named.select(*keep, "_p", "_names", found.alias("_m"))
 
 
-def nodes(df: DataFrame, key: str, controller: str, branches: int = 4) -> DataFrame:
-    """One row per condition or action node, with its code and parameters."""
+def nodes(df: DataFrame, key: str, controller: str) -> DataFrame:
+    """One row per condition or action node, with its code and parameters.
+
+    Nodes are the flags n<branch><slot> that the controller has, however many branches there
+    are; the last digit is the slot (0: condition, others: action). A flag of that form with
+    the branch code as its value is a branch of its own and no node.
+    """
     mapped = _with_values(df.select(key, pairs(F.col(controller)).alias("_p")), [key])
 
-    def value(name: str) -> Column:
-        return F.try_element_at(F.col("_m"), F.lit(name))
+    def value(name: Column) -> Column:
+        return F.try_element_at(F.col("_m"), name)
 
-    rows = []
-    for i in range(branches):
-        for role, slot, code, extras in (
-            ("condition", 0, "c", {"p": "p", "w": "w"}),
-            ("action", 1, "a", {"rwm": "rwm", "att": "att", "rep": "rep", "p": "p"}),
-        ):
-            kept = {c: F.lit(None).cast("double") for c in ("p", "w", "rwm", "att", "rep")}
-            kept.update({c: value(f"{f}{i}{slot}") for c, f in extras.items()})
-            rows.append(
-                F.when(
-                    value(f"n{i}{slot}").isNotNull(),
-                    F.struct(
-                        F.lit(i).alias("branch"),
-                        F.lit(role).alias("role"),
-                        value(f"{code}{i}{slot}").cast("int").alias("code"),
-                        *[c.alias(n) for n, c in kept.items()],
-                    ),
-                )
-            )
-    exploded = mapped.select(key, F.explode(F.array_compact(F.array(*rows))).alias("_n"))
-    return exploded.select(key, "_n.*")
+    def node(place: Column) -> Column:
+        branch, slot = F.substring(place, F.lit(1), F.length(place) - 1), F.right(place, F.lit(1))
+        condition = slot == "0"
+
+        def parameter(flag: str, of: Column) -> Column:
+            return F.when(of, value(F.concat(F.lit(flag), place))).alias(flag)
+
+        code = F.when(condition, value(F.concat(F.lit("c"), place))).otherwise(value(F.concat(F.lit("a"), place)))
+        return F.struct(
+            branch.cast("int").alias("branch"),
+            F.when(condition, "condition").otherwise("action").alias("role"),
+            code.cast("int").alias("code"),
+            parameter("p", F.lit(True)), parameter("w", condition),
+            *(parameter(flag, ~condition) for flag in ("rwm", "att", "rep")),
+        )
+
+    places = F.transform(
+        F.filter(F.array_distinct("_names"), lambda n: F.regexp_like(n, F.lit("^n[0-9]{2,}$"))), lambda n: F.substring(n, F.lit(2), F.length(n))
+    )
+    known = F.filter(places, lambda x: F.coalesce(value(F.concat(F.lit("n"), x)) != BRANCH_CODE, F.lit(False)))
+    return mapped.select(key, F.explode(F.transform(known, node)).alias("_n")).select(key, "_n.*")
 
 
 # Node codes and parameter ranges of the controller grammar.
@@ -80,117 +85,133 @@ PROBABILITY_CONDITIONS, NEIGHBOUR_CONDITIONS = (0, 1, 2, 5), (3, 4)
 NEIGHBOUR_RANGE, WEIGHT_RANGE = (1, 10), (0, 20)
 ACTION_PARAMETERS = {0: ("rwm", "i", 1, 100), 4: ("att", "r", 1, 5), 5: ("rep", "r", 1, 5)}
 
-GRAMMAR_SCHEMA = (
-    "name: string, flag: string, kind: string, domain: array<double>, "
-    "parent: string, parent_op: string, parent_values: array<double>"
-)
-
-
-def default_grammar(spark: SparkSession, branches: int = MAX_BRANCHES) -> DataFrame:
-    """The grammar as a table: which flags exist, their domain, and when they apply."""
-
-    def rule(name, flag, kind, domain, parent=None, op=None, values=None):
-        return {
-            "name": name,
-            "flag": flag,
-            "kind": kind,
-            "domain": list(domain),
-            "parent": parent,
-            "parent_op": op,
-            "parent_values": list(values or []),
-        }
-
-    rows = [
-        rule("root", "nroot", "c", [ROOT_CODE]),
-        rule("branches", "nchildroot", "i", [1, branches]),
-    ]
+@dataclass(frozen=True)
+class Rule:
+    """One flag: its kind (c: one of ``domain``, i: whole number, r: number in the range
+    ``domain``) and the flag and values on which it applies (``op``: in, or > for the first)."""
+
+    flag: str
+    kind: str
+    domain: tuple[float, ...]
+    parent: str | None = None
+    op: str = "in"
+    values: tuple[float, ...] = ()
+
+
+def default_grammar(branches: int = MAX_BRANCHES) -> list[Rule]:
+    """The grammar: which flags exist, their domain, and when they apply."""
+    rules = [Rule("nroot", "c", (ROOT_CODE,)), Rule("nchildroot", "i", (1, branches))]
     for i in range(branches):
-        rows += [
-            rule(f"branch{i}", f"n{i}", "c", [BRANCH_CODE], "nchildroot", ">", [i]),
-            rule(f"children{i}", f"nchild{i}", "c", [CHILDREN_PER_BRANCH], f"n{i}", "==", [0]),
-            rule(f"condition{i}", f"n{i}0", "c", [CONDITION_CODE], f"n{i}", "==", [0]),
-            rule(f"condition_code{i}", f"c{i}0", "c", CODES, f"n{i}", "==", [0]),
-            rule(f"probability{i}", f"p{i}0", "r", [0, 1], f"c{i}0", "in", PROBABILITY_CONDITIONS),
-            rule(f"neighbours{i}", f"p{i}0", "i", NEIGHBOUR_RANGE, f"c{i}0", "in", NEIGHBOUR_CONDITIONS),
-            rule(f"weight{i}", f"w{i}0", "r", WEIGHT_RANGE, f"c{i}0", "in", NEIGHBOUR_CONDITIONS),
-            rule(f"action{i}", f"n{i}1", "c", [ACTION_CODE], f"n{i}", "==", [0]),
-            rule(f"action_code{i}", f"a{i}1", "c", CODES, f"n{i}", "==", [0]),
-            rule(f"success{i}", f"p{i}1", "c", [0], f"n{i}", "==", [0]),
+        here = (f"n{i}", "in", (BRANCH_CODE,))
+        rules += [
+            Rule(f"n{i}", "c", (BRANCH_CODE,), "nchildroot", ">", (i,)),
+            Rule(f"nchild{i}", "c", (CHILDREN_PER_BRANCH,), *here),
+            Rule(f"n{i}0", "c", (CONDITION_CODE,), *here),
+            Rule(f"c{i}0", "c", CODES, *here),
+            Rule(f"p{i}0", "r", (0, 1), f"c{i}0", "in", PROBABILITY_CONDITIONS),
+            Rule(f"p{i}0", "i", NEIGHBOUR_RANGE, f"c{i}0", "in", NEIGHBOUR_CONDITIONS),
+            Rule(f"w{i}0", "r", WEIGHT_RANGE, f"c{i}0", "in", NEIGHBOUR_CONDITIONS),
+            Rule(f"n{i}1", "c", (ACTION_CODE,), *here),
+            Rule(f"a{i}1", "c", CODES, *here),
+            Rule(f"p{i}1", "c", (0,), *here),
         ]
         for code, (flag, kind, low, high) in ACTION_PARAMETERS.items():
-            rows.append(rule(f"{flag}{i}", f"{flag}{i}1", kind, [low, high], f"a{i}1", "==", [code]))
-    return literal_table(spark, rows, GRAMMAR_SCHEMA)
+            rules.append(Rule(f"{flag}{i}1", kind, (low, high), f"a{i}1", "in", (code,)))
+    return rules
 
 
-def grammar_problems(df: DataFrame, controller: str, grammar: DataFrame) -> DataFrame:
-    """Add ``problems``, an array of (flag, problem) with every rule a controller breaks.
+# Codes and ranges of the tree grammar.
+TREE_ROOTS, TREE_NODES, TREE_LEAVES, TREE_ACTIONS = (0, 1, 2, 3), (0, 3, 5, 6), (5, 6), (1, 2, 3, 4, 5, 6, 7)
+TREE_PROBABILITY_CONDITIONS, TREE_NEIGHBOURS = (0, 1, 2, 5, 6, 7), {3: (1, 20), 4: (1, 10)}
 
-    The grammar has a few dozen rows by nature; it is packed into one array, so every
-    controller is checked in place and nothing is shuffled or multiplied.
-    """
-    rules = grammar.agg(F.collect_list(F.struct(*grammar.columns)).alias("_rules")).scalar()
-    text = F.coalesce(F.col(controller), F.lit(""))
-    paired = df.select("*", pairs(text).alias("_p"), F.size(argv(text)).alias("_words"))
-    base = _with_values(paired, [*df.columns, "_words"]).withColumn("_rules", rules)
-
-    def value(flag: Column) -> Column:
-        return F.try_element_at(F.col("_m"), flag)
-
-    def applies(r: Column) -> Column:
-        parent = value(r["parent"])
-        test = F.when(r["parent_op"] == ">", parent > r["parent_values"][0]).otherwise(
-            F.array_contains(r["parent_values"], parent)
-        )
-        return r["parent"].isNull() | F.coalesce(test, F.lit(False))
-
-    def broken(r: Column) -> Column:
-        v = value(r["flag"])
-        span = (v >= r["domain"][0]) & (v <= F.try_element_at(r["domain"], F.lit(2)))
-        fits = (
-            F.when(r["kind"] == "c", F.array_contains(r["domain"], v))
-            .when(r["kind"] == "i", span & (v == F.floor(v)))
-            .otherwise(span)
-        )
-        problem = F.when(~F.array_contains("_names", r["flag"]), "missing").when(
-            ~F.coalesce(fits, F.lit(False)), "out of range"
-        )
-        return F.struct(r["flag"].alias("flag"), problem.alias("problem"))
-
-    active = base.withColumn("_active", F.filter("_rules", applies)).withColumns(
-        {
-            "_allowed": F.transform("_active", lambda r: r["flag"]),
-            "_listed": F.transform("_rules", lambda r: r["flag"]),
-            "_distinct": F.array_distinct("_names"),
-        }
-    )
 
-    def stray(flag: Column) -> Column:
-        known = F.array_contains("_listed", flag)
-        problem = F.when(known, "not applicable").otherwise("unknown")
-        return F.struct(flag.alias("flag"), problem.alias("problem"))
+def tree_grammar(branches: int = 3, children: int = 3) -> list[Rule]:
+    """The grammar of general two-level trees: below the root nodes that branch, act or test,
+    below a branching one up to ``children`` that act or test."""
+
+    def node(path: str, codes: tuple[int, ...], parent: str, more_than: int) -> list[Rule]:
+        acts, tests = (f"n{path}", "in", (ACTION_CODE,)), (f"n{path}", "in", (CONDITION_CODE,))
+        found = [
+            Rule(f"n{path}", "c", codes, parent, ">", (more_than,)),
+            Rule(f"a{path}", "c", TREE_ACTIONS, *acts),
+            Rule(f"p{path}", "r", (0, 1), *acts),
+            Rule(f"att{path}", "r", (1, 5), f"a{path}", "in", (4,)),
+            Rule(f"rep{path}", "r", (1, 5), f"a{path}", "in", (5,)),
+            Rule(f"c{path}", "c", CODES, *tests),
+            Rule(f"p{path}", "r", (0, 1), f"c{path}", "in", TREE_PROBABILITY_CONDITIONS),
+        ]
+        for code, span in TREE_NEIGHBOURS.items():
+            found.append(Rule(f"p{path}", "i", span, f"c{path}", "in", (code,)))
+            found.append(Rule(f"w{path}", "r", WEIGHT_RANGE, f"c{path}", "in", (code,)))
+        return found
+
+    rules = [Rule("nroot", "c", TREE_ROOTS), Rule("nchildroot", "i", (1, branches))]
+    for i in range(branches):
+        rules += node(f"{i}", TREE_NODES, "nchildroot", i)
+        rules.append(Rule(f"nchild{i}", "i", (1, children), f"n{i}", "in", TREE_ROOTS))
+        for k in range(children):
+            rules += node(f"{i}{k}", TREE_LEAVES, f"nchild{i}", k)
+    return rules
 
-    def again(flag: Column) -> Column:
-        return F.struct(flag.alias("flag"), F.lit("repeated").alias("problem"))
 
-    def uses(flag: Column) -> Column:
-        return F.size(F.filter("_names", lambda n: n == flag))
+def grammar_problems(df: DataFrame, controller: str, grammar: list[Rule]) -> DataFrame:
+    """Add ``problems``, an array of (flag, problem) with every rule a controller breaks.
 
+    The rules become plain column expressions over one array with the values of all flags
+    that the grammar names; every controller is checked in place.
+    """
+    flags = list(dict.fromkeys(r.flag for r in grammar))
+    place = {f: i + 1 for i, f in enumerate(flags)}
+    text = F.coalesce(F.col(controller), F.lit(""))
+    listed = F.array(*map(F.lit, flags))
+    rows = df.select("*", pairs(text).alias("_p"), F.size(argv(text)).alias("_words"))
+    rows = rows.withColumn("_names", F.transform("_p", lambda p: p["flag"]))
+    # where each flag is used first, 0 if nowhere, and its value there
+    rows = rows.withColumn("_where", F.transform(listed, lambda f: F.array_position("_names", f).cast("int")))
+    rows = rows.withColumn("_values", F.transform("_where", lambda i: F.when(i > 0, F.get("_p", i - 1)["value"])))
+
+    def at(column: str, flag: str) -> Column:
+        return F.get(column, F.lit(place[flag] - 1))
+
+    def applies(rule: Rule) -> Column:
+        if rule.parent is None:
+            return F.lit(True)
+        parent = at("_values", rule.parent)
+        return parent > rule.values[0] if rule.op == ">" else parent.isin(*rule.values)
+
+    def fits(rule: Rule) -> Column:
+        v = at("_values", rule.flag)
+        if rule.kind == "c":
+            return v.isin(*rule.domain)
+        span = v.between(rule.domain[0], rule.domain[1])
+        return span & (v == F.floor(v)) if rule.kind == "i" else span
+
+    def problem(rule: Rule) -> Column:
+        found = F.when(at("_where", rule.flag) == 0, "missing").when(~F.coalesce(fits(rule), F.lit(False)), "out of range")
+        return F.when(F.coalesce(applies(rule), F.lit(False)) & found.isNotNull(), F.struct(F.lit(rule.flag).alias("flag"), found.alias("problem")))
+
+    allowed = [F.when(F.coalesce(applies(r), F.lit(False)), F.lit(r.flag)) for r in grammar]
+    rows = rows.withColumns({"_allowed": F.array_compact(F.array(*allowed)), "_distinct": F.array_distinct("_names")})
+    stray = F.transform(
+        F.array_except("_distinct", "_allowed"),
+        lambda f: F.struct(f.alias("flag"), F.when(F.array_contains(listed, f), "not applicable").otherwise("unknown").alias("problem")),
+    )
+    several = F.filter("_distinct", lambda f: F.size(F.filter("_names", lambda n: n == f)) > 1)
+    repeated = F.when(F.size("_distinct") < F.size("_names"), F.transform(several, lambda f: F.struct(f.alias("flag"), F.lit("repeated").alias("problem"))))
     # words that are no flag/value pair leave the string malformed
     malformed = F.when(
         F.col("_words") != 2 * F.size("_p"),
         F.array(F.struct(F.lit(None).cast("string").alias("flag"), F.lit("malformed").alias("problem"))),
     )
+    none = F.array().cast("array<struct<flag:string,problem:string>>")
     problems = F.concat(
-        F.filter(F.transform("_active", broken), lambda s: s["problem"].isNotNull()),
-        F.transform(F.filter("_distinct", lambda f: ~F.array_contains("_allowed", f)), stray),
-        F.transform(F.filter("_distinct", lambda f: uses(f) > 1), again),
-        F.coalesce(malformed, F.array().cast("array<struct<flag:string,problem:string>>")),
+        F.array_compact(F.array(*map(problem, grammar))), stray, F.coalesce(repeated, none), F.coalesce(malformed, none)
     )
     # no controller at all has every mandatory flag missing
-    return active.select(*df.columns, problems.alias("problems"))
+    return rows.select(*df.columns, problems.alias("problems"))
 
 
-def grammar_violations(df: DataFrame, key: str, controller: str, grammar: DataFrame) -> DataFrame:
+def grammar_violations(df: DataFrame, key: str, controller: str, grammar: list[Rule]) -> DataFrame:
     """The problems of all controllers as rows (key, flag, problem)."""
     found = grammar_problems(df, controller, grammar).select(key, F.explode("problems").alias("_v"))
     return found.select(key, "_v.flag", "_v.problem")

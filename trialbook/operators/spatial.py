@@ -1,16 +1,21 @@
 """Points against circles, rectangles and target points, as equi-joins on grid cells.
 
-Each area is listed under the grid cells it overlaps and each point under its own cell,
-so an inequality join becomes a join on (run, cell) that spreads one busy run over all
-of its cells. Spark broadcasts the area side by itself while it is small.
+Each area is listed under the cells of a grid whose cell size fits it (the power of two from
+its extent up), so it lies in four cells at most, however large it is; each point is listed
+under its cell in every grid in use. An inequality join becomes a join on (run, grid, cell)
+that spreads one busy run over all of its cells. The listed areas are measured before they
+are broadcast. Areas and points with a coordinate that is NULL, NaN or infinite meet nothing.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialbook.operators.attach import BROADCAST_BYTES, attach, measured_bytes
+from trialbook.operators.attach import attach
 from trialbook.session import pin
 
 EDGE = 1e-9
@@ -20,12 +25,23 @@ def distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     return F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by))
 
 
-def _cell(value: Column, size: float) -> Column:
-    return F.floor(value / F.lit(size))
+def _cell(value: Column, size: Column | float) -> Column:
+    return F.floor(value / (size if isinstance(size, Column) else F.lit(size)))
+
+
+def _finite(*values: Column) -> Column:
+    """Whether all values are numbers of finite size."""
+    tests = [F.coalesce(F.abs(x.cast("double")) < F.lit(float("inf")), F.lit(False)) for x in values]
+    return reduce(lambda a, b: a & b, tests)
 
 
-def _covering(areas: DataFrame, x: Column, y: Column, ex: Column, ey: Column, size: float):
-    """List each area under every cell its bounding box touches."""
+def _covering(areas: DataFrame, x: Column, y: Column, ex: Column, ey: Column) -> DataFrame:
+    """List each area under the cells its bounding box touches, in the grid ``_level`` whose
+    cells are at least as wide as the area."""
+    areas = areas.filter(_finite(x, y, ex, ey))
+    extent = F.greatest(ex, ey, F.lit(EDGE)) * 2 + 2 * EDGE
+    areas = areas.withColumn("_level", F.ceil(F.log2(extent)).cast("int"))
+    size = F.pow(F.lit(2.0), F.col("_level"))
     span_x = F.sequence(_cell(x - ex - EDGE, size), _cell(x + ex + EDGE, size))
     span_y = F.sequence(_cell(y - ey - EDGE, size), _cell(y + ey + EDGE, size))
     return areas.withColumn("_cx", F.explode(span_x)).withColumn("_cy", F.explode(span_y))
@@ -52,7 +68,25 @@ def _celled_points(points: DataFrame, size: float) -> DataFrame:
     )
 
 
-def _celled_circles(circles: DataFrame, run: str, size: float) -> DataFrame:
+def _levels(areas: DataFrame) -> list[int]:
+    """The grids in use: one per power of two that areas are as wide as."""
+    return sorted(r[0] for r in areas.select("_level").distinct().collect())
+
+
+CELL = ["_level", "_cx", "_cy"]
+
+
+def _meet(points: DataFrame, areas: DataFrame, run: str) -> DataFrame:
+    """Points with the areas listed under their cells."""
+    areas = pin(areas)
+    levels = F.array(*map(F.lit, _levels(areas))).cast("array<int>")
+    listed = points.filter(_finite(F.col("x"), F.col("y"))).withColumn("_level", F.explode(levels))
+    size = F.pow(F.lit(2.0), F.col("_level"))
+    listed = listed.withColumn("_cx", _cell(F.col("x"), size)).withColumn("_cy", _cell(F.col("y"), size))
+    return attach(listed, areas, [run, *CELL], how="inner").drop(*CELL)
+
+
+def _celled_circles(circles: DataFrame, run: str) -> DataFrame:
     named = circles.select(
         F.col(run),
         F.col("circle_no"),
@@ -61,10 +95,10 @@ def _celled_circles(circles: DataFrame, run: str, size: float) -> DataFrame:
         F.col("radius").alias("_r"),
         F.col("color").alias("circle_color"),
     )
-    return _covering(named, F.col("_ax"), F.col("_ay"), F.col("_r"), F.col("_r"), size)
+    return _covering(named, F.col("_ax"), F.col("_ay"), F.col("_r"), F.col("_r"))
 
 
-def _celled_rectangles(rects: DataFrame, run: str, size: float) -> DataFrame:
+def _celled_rectangles(rects: DataFrame, run: str) -> DataFrame:
     turn = F.radians(F.col("_t"))
     named = rects.select(
         F.col(run),
@@ -78,60 +112,69 @@ def _celled_rectangles(rects: DataFrame, run: str, size: float) -> DataFrame:
     )
     ex = F.abs(F.col("_w") * F.cos(turn)) + F.abs(F.col("_h") * F.sin(turn))
     ey = F.abs(F.col("_w") * F.sin(turn)) + F.abs(F.col("_h") * F.cos(turn))
-    return _covering(named, F.col("_ax"), F.col("_ay"), ex, ey, size)
+    return _covering(named, F.col("_ax"), F.col("_ay"), ex, ey)
 
 
-def points_in_circles(points: DataFrame, circles: DataFrame, run: str, cell: float = 1.0) -> DataFrame:
+def points_in_circles(points: DataFrame, circles: DataFrame, run: str) -> DataFrame:
     """One row per point and circle that holds it (edge included)."""
-    joined = _celled_points(points, cell).join(
-        _celled_circles(circles, run, cell), [run, "_cx", "_cy"]
-    )
+    joined = _meet(points, _celled_circles(circles, run), run)
     hit = in_circle(F.col("x"), F.col("y"), F.col("_ax"), F.col("_ay"), F.col("_r"))
-    return joined.filter(hit).drop("_cx", "_cy", "_ax", "_ay", "_r")
+    return joined.filter(hit).drop("_ax", "_ay", "_r")
 
 
-def points_in_rects(points: DataFrame, rects: DataFrame, run: str, cell: float = 1.0) -> DataFrame:
+def points_in_rects(points: DataFrame, rects: DataFrame, run: str) -> DataFrame:
     """One row per point and rectangle that holds it (edge excluded)."""
-    joined = _celled_points(points, cell).join(
-        _celled_rectangles(rects, run, cell), [run, "_cx", "_cy"]
-    )
+    joined = _meet(points, _celled_rectangles(rects, run), run)
     hit = in_rectangle(
         F.col("x"), F.col("y"), F.col("_ax"), F.col("_ay"), F.col("_w"), F.col("_h"), F.col("_t")
     )
-    return joined.filter(hit).drop("_cx", "_cy", "_ax", "_ay", "_w", "_h", "_t")
+    return joined.filter(hit).drop("_ax", "_ay", "_w", "_h", "_t")
 
 
 def floor_color(
-    points: DataFrame, circles: DataFrame, rects: DataFrame, run: str, key: list[str],
-    cell: float = 1.0,
+    points: DataFrame, circles: DataFrame, rects: DataFrame, run: str, key: list[str]
 ) -> DataFrame:
     """Floor colour under each point: black before white before gray.
 
-    Both kinds of area share one cell table, so there is one join; the colour per point
-    is a minimum over its matches.
+    Both kinds of area share one table with a row per cell that holds the areas listed
+    there, packed. A point looks up its cell in each grid in use and decides in its own row,
+    so positions are not shuffled to bring matches together.
     """
     shades = F.when(F.col("_color") == "black", 0).when(F.col("_color") == "white", 1)
     null = F.lit(None).cast("double")
-    round_ = _celled_circles(circles, run, cell).select(
-        run, "_cx", "_cy", "_ax", "_ay", "_r", null.alias("_w"), null.alias("_h"),
+    round_ = _celled_circles(circles, run).select(
+        run, *CELL, "_ax", "_ay", "_r", null.alias("_w"), null.alias("_h"),
         null.alias("_t"), F.col("circle_color").alias("_color"),
     )
-    angular = _celled_rectangles(rects, run, cell).select(
-        run, "_cx", "_cy", "_ax", "_ay", null.alias("_r"), "_w", "_h", "_t",
+    angular = _celled_rectangles(rects, run).select(
+        run, *CELL, "_ax", "_ay", null.alias("_r"), "_w", "_h", "_t",
         F.col("rect_color").alias("_color"),
     )
     areas = round_.unionByName(angular).withColumn("_shade", shades).filter("_shade is not null")
-    joined = _celled_points(points, cell).join(areas.drop("_color"), [run, "_cx", "_cy"], "left")
-    x, y, ax, ay = F.col("x"), F.col("y"), F.col("_ax"), F.col("_ay")
-    hit = F.coalesce(
-        F.when(F.col("_r").isNotNull(), in_circle(x, y, ax, ay, F.col("_r"))).otherwise(
-            in_rectangle(x, y, ax, ay, F.col("_w"), F.col("_h"), F.col("_t"))
-        ),
-        F.lit(False),
-    )
-    best = joined.groupBy(run, *key, "x", "y").agg(F.min(F.when(hit, F.col("_shade"))).alias("_s"))
-    color = F.when(F.col("_s") == 0, "black").when(F.col("_s") == 1, "white").otherwise("gray")
-    return best.withColumn("color", color).drop("_s")
+    parts = ["_ax", "_ay", "_r", "_w", "_h", "_t", "_shade"]
+    packed = pin(areas.groupBy(run, *CELL).agg(F.collect_list(F.struct(*parts)).alias("_areas")))
+    x, y = F.col("x"), F.col("y")
+
+    def shade(a: Column) -> Column:
+        hit = F.when(a["_r"].isNotNull(), in_circle(x, y, a["_ax"], a["_ay"], a["_r"])).otherwise(
+            in_rectangle(x, y, a["_ax"], a["_ay"], a["_w"], a["_h"], a["_t"])
+        )
+        return F.when(hit, a["_shade"])
+
+    rows = points.select(run, *key, "x", "y")
+    found = [F.lit(None).cast("int")]
+    for n, level in enumerate(_levels(packed)):
+        size = 2.0**level
+        side = packed.filter(F.col("_level") == level).select(
+            run, F.col("_cx").alias(f"_cx{n}"), F.col("_cy").alias(f"_cy{n}"), F.col("_areas").alias(f"_areas{n}")
+        )
+        rows = rows.withColumns({f"_cx{n}": _cell(x, size), f"_cy{n}": _cell(y, size)})
+        rows = attach(rows, side, [run, f"_cx{n}", f"_cy{n}"])
+        found.append(F.array_min(F.transform(f"_areas{n}", shade)))
+    best = F.least(*found) if len(found) > 1 else found[0]
+    best = F.when(_finite(x, y), best)
+    color = F.when(best == 0, "black").when(best == 1, "white").otherwise("gray")
+    return rows.select(run, *key, "x", "y", color.alias("color"))
 
 
 def nearest(
@@ -139,46 +182,37 @@ def nearest(
     targets: DataFrame,
     run: str,
     key: list[str],
-    cell: float = 0.5,
-    limit: int = BROADCAST_BYTES,
+    cell: float | None = None,
 ) -> DataFrame:
     """Nearest target of each point within its run; ties go to the lowest ``idx``.
 
-    ``targets`` has (run, idx, x, y). A target table of measured small size is packed per
-    run and searched inside each row. A larger one is searched through grid cells that
-    double in size until every point has a target within one cell length. Points of runs
-    without a target keep NULLs.
+    ``targets`` has (run, idx, x, y). Targets are searched through grid cells that double in
+    size until every point has a target within one cell length; the first size (``cell``)
+    follows the density of the targets if it is not given. Points of runs without a target,
+    and points without finite coordinates, keep NULLs; such targets are no targets.
     """
-    merged = pin(targets.groupBy(run, "x", "y").agg(F.min("idx").alias("idx")))
-    if measured_bytes(merged) <= limit:
-        packed = merged.groupBy(run).agg(
-            F.collect_list(
-                F.struct("idx", F.col("x").alias("tx"), F.col("y").alias("ty"))
-            ).alias("_targets")
-        )
-        best = F.array_min(
-            F.transform(
-                F.col("_targets"),
-                lambda t: F.struct(
-                    distance(F.col("x"), F.col("y"), t["tx"], t["ty"]).alias("dist"),
-                    t["idx"].alias("idx"),
-                ),
-            )
-        )
-        return (
-            attach(points, packed, [run])
-            .withColumn("_best", best)
-            .select(*points.columns, F.col("_best.idx").alias("idx"), F.col("_best.dist").alias("dist"))
-        )
-    return _nearest_by_rings(points, merged, run, key, cell)
+    usable = targets.filter(_finite(F.col("x"), F.col("y")))
+    merged = pin(usable.groupBy(run, "x", "y").agg(F.min("idx").alias("idx")))
+    return _nearest_by_rings(points, merged, run, key, cell or _cell_of_density(merged))
+
+
+def _cell_of_density(targets: DataFrame) -> float:
+    """The power of two near the mean distance between targets, over the box of all runs."""
+    box = targets.agg(
+        F.count(F.lit(1)).alias("n"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")
+    ).first()
+    width, height = box["w"] or 0.0, box["h"] or 0.0
+    spread = max(math.sqrt(width * height / box["n"]), max(width, height) / box["n"]) if box["n"] else 0.0
+    return 2.0 ** math.ceil(math.log2(spread)) if spread > 0 else 1.0
 
 
 def _nearest_by_rings(
     points: DataFrame, targets: DataFrame, run: str, key: list[str], cell: float
 ) -> DataFrame:
     served = targets.select(run).distinct()
-    open_ = pin(points.join(served, run, "left_semi"))
-    none = points.join(served, run, "left_anti").select(
+    finite = _finite(F.col("x"), F.col("y"))
+    open_ = pin(points.filter(finite).join(served, run, "left_semi"))
+    none = points.filter(~finite).unionByName(points.filter(finite).join(served, run, "left_anti")).select(
         *points.columns,
         F.lit(None).cast(targets.schema["idx"].dataType).alias("idx"),
         F.lit(None).cast("double").alias("dist"),
@@ -192,11 +226,11 @@ def _nearest_by_rings(
             .withColumn("_oy", F.explode(around))
             .withColumn("_cx", _cell(F.col("_tx"), size) + F.col("_ox"))
             .withColumn("_cy", _cell(F.col("_ty"), size) + F.col("_oy"))
+            .drop("_ox", "_oy")
         )
         d = distance(F.col("x"), F.col("y"), F.col("_tx"), F.col("_ty"))
         found = (
-            _celled_points(open_, size)
-            .join(listed, [run, "_cx", "_cy"])
+            attach(_celled_points(open_, size), listed, [run, "_cx", "_cy"], how="inner")
             .withColumn("_d", d)
             .filter(F.col("_d") <= F.lit(size))
             .groupBy(run, *key)

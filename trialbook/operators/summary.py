@@ -187,6 +187,11 @@ def run_lengths(df: DataFrame, by: list[str], scores: str) -> DataFrame:
     )
 
 
+def longest_overall(df: DataFrame, scores: str) -> DataFrame:
+    """The longest score array of all rows, as one row."""
+    return df.agg(F.coalesce(F.max(F.array_size(F.col(scores))), F.lit(0)).alias("longest"))
+
+
 def null_by_bucket(positioned: DataFrame, pos: str, value: str, size: int = 100) -> DataFrame:
     """Missing values per bucket of ``size`` consecutive positions (``pos`` from 0)."""
     return positioned.groupBy(F.floor(F.col(pos) / size).alias("bucket")).agg(

@@ -80,6 +80,11 @@ def run_lengths(spark, folder):
     return with_stable(out, ["average_length", "reciprocal"])
 
 
+@query("longest_overall", f"WITH {v.ARRAYS} SELECT CAST(coalesce(max(len(ls)), 0) AS INTEGER) AS longest FROM arrays")
+def longest_overall(spark, folder):
+    return summary.longest_overall(v.scored_arrays(spark, folder), "llm_scores")
+
+
 # --- row-wise comparison -------------------------------------------------------------
 
 

@@ -25,6 +25,26 @@ def _stream(spark, folder, name):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
+STRETCHES = 3
+
+
+def _arrivals(spark, table, order, into):
+    """Write a table's stretches of ``order`` one after the other below ``into``; after each,
+    whoever iterates may run its stream over what has arrived."""
+    low, high = table.agg(F.min(order), F.max(order)).first()
+    if low is None:
+        low = high = 0
+    step = (high - low) // STRETCHES + 1
+    for k in range(STRETCHES):
+        stretch = table.where((F.col(order) >= low + k * step) & (F.col(order) < low + (k + 1) * step))
+        stretch.write.mode("append").parquet(into)
+        yield k
+
+
+def _arriving(spark, table, into):
+    return spark.readStream.schema(table.schema).parquet(into)
+
+
 _DELIVERIES = f"""
 WITH {v.ARENA}, {m._VISITS}
 SELECT run_id, robot_id, tick, row_number() OVER (PARTITION BY run_id, robot_id ORDER BY tick) AS delivered
@@ -33,20 +53,42 @@ FROM visits WHERE zone = 'sink' AND prev = 'source'"""
 
 @query("stream_foraging", _DELIVERIES)
 def stream_foraging(spark, folder):
-    at = _run_folder(spark)
-    places = v.robot_positions_of(_stream(spark, folder, "events"))
+    at, events = _run_folder(spark), v.table(spark, folder, "events")
     arena = v.floor_circles(spark, folder), v.run_objectives(spark, folder)
-    sd.deliver_batches(places, *arena, f"{at}/out", f"{at}/state", f"{at}/checkpoint")
+    for _ in _arrivals(spark, events, "event_id", f"{at}/in"):
+        places = v.robot_positions_of(_arriving(spark, events, f"{at}/in"))
+        sd.deliver_batches(places, *arena, f"{at}/out", f"{at}/state", f"{at}/checkpoint")
     return spark.read.schema(sd.OUTPUT).parquet(f"{at}/out").select("run_id", "robot_id", "tick", "delivered")
 
 
+@query("stream_late", f"""
+WITH {v.ARENA}, {m._VISITS}, b AS (SELECT min(event_id) AS lo, (max(event_id) - min(event_id)) // 3 + 1 AS step FROM events),
+last AS (SELECT run_id, robot_id, max(tick) AS seen FROM kept, b WHERE tick >= lo + 2 * step OR tick % 10 <> 0 GROUP BY 1, 2)
+SELECT k.run_id, k.robot_id, k.tick FROM kept k JOIN last l ON l.run_id = k.run_id AND l.robot_id = k.robot_id, b
+WHERE k.tick < lo + 2 * step AND k.tick % 10 = 0 AND k.tick <= seen""")
+def stream_late(spark, folder):
+    """Every tenth tick of the first two stretches comes after all others."""
+    at, events = _run_folder(spark), v.table(spark, folder, "events")
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    border = low + 2 * ((high - low) // 3 + 1) if low is not None else 0
+    held = (F.col("event_id") < border) & (F.col("event_id") % 10 == 0)
+    arena = v.floor_circles(spark, folder), v.run_objectives(spark, folder)
+    for part in (events.where(~held), events.where(held)):
+        part.write.mode("append").parquet(f"{at}/in")
+        places = v.robot_positions_of(_arriving(spark, events, f"{at}/in"))
+        sd.deliver_batches(places, *arena, f"{at}/out", f"{at}/state", f"{at}/checkpoint", f"{at}/late")
+    late = spark.read.schema("run_id string, robot_id string, tick long, at_source boolean").parquet(f"{at}/late")
+    return late.select("run_id", "robot_id", "tick")
+
+
 @query("stream_foraging_state", _DELIVERIES)
 def stream_foraging_state(spark, folder):
-    at = _run_folder(spark)
-    places = v.robot_positions_of(_stream(spark, folder, "events"))
-    flow = sd.stream_deliveries(places, v.floor_circles(spark, folder), v.run_objectives(spark, folder))
-    sd.run_to_end(flow, f"{at}/out", f"{at}/checkpoint")
-    return spark.read.schema(sd.OUTPUT).parquet(f"{at}/out")
+    at, events = _run_folder(spark), v.table(spark, folder, "events")
+    arena = v.floor_circles(spark, folder), v.run_objectives(spark, folder)
+    for _ in _arrivals(spark, events, "event_id", f"{at}/in"):
+        places = v.robot_positions_of(_arriving(spark, events, f"{at}/in"))
+        sd.run_to_end(sd.stream_deliveries(places, *arena), f"{at}/out", f"{at}/checkpoint")
+    return spark.read.schema(sd.OUTPUT).parquet(f"{at}/out").where("delivered is not null")
 
 
 @query("stream_result_log", f"""
@@ -65,13 +107,15 @@ def stream_result_log(spark, folder):
 
 
 @query("stream_epochs", f"""
-WITH {v.JUDGED} SELECT 0 AS dataset_position, type, count(*) AS n FROM judged GROUP BY 2""")
+WITH b AS (SELECT min(doc_id) AS lo, (max(doc_id) - min(doc_id)) // {STRETCHES} + 1 AS step FROM documents)
+SELECT CAST((doc_id - lo) // step AS INTEGER) AS dataset_position, lang AS type, count(*) AS n FROM documents, b GROUP BY 1, 2""")
 def stream_epochs(spark, folder):
-    at = _run_folder(spark)
-    pairs = _stream(spark, folder, "documents").select(
-        F.col("doc_id").alias("scenario_id"), F.col("lang").alias("type")
-    )
-    sl.append_epochs(pairs, f"{at}/out", f"{at}/checkpoint")
+    at, documents = _run_folder(spark), v.table(spark, folder, "documents").select("doc_id", "lang")
+    for _ in _arrivals(spark, documents, "doc_id", f"{at}/in"):
+        pairs = _arriving(spark, documents, f"{at}/in").select(
+            F.col("doc_id").alias("scenario_id"), F.col("lang").alias("type")
+        )
+        sl.append_epochs(pairs, f"{at}/out", f"{at}/checkpoint")
     return spark.read.parquet(f"{at}/out").groupBy("dataset_position", "type").agg(
         F.count(F.lit(1)).alias("n")
     )

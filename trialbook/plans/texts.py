@@ -352,10 +352,13 @@ def bt_tokens(spark, folder):
     return rows.select("scenario_id", "pos", "flag", "value")
 
 
+MOST = 6  # branches of the controllers taken apart; the grammar allows four
+
+
 def _node_sql(i: int) -> str:
     cond, act = f"(p_partkey + {i}) % 6", f"(p_partkey // 7 + {i}) % 6"
     decimal = f"(p_partkey + {i}) % 6 + 0.25"
-    base = f"FROM part WHERE p_partkey % 23 <> 0 AND p_size % 4 >= {i}"
+    base = f"FROM part WHERE p_partkey % 23 <> 0 AND p_size % {MOST} >= {i}"
     return f"""
 SELECT p_partkey AS scenario_id, {i} AS branch, 'condition' AS role, CAST({cond} AS INTEGER) AS code,
   CAST(CASE WHEN {cond} IN (3, 4) THEN p_partkey % 10 + 1 ELSE ((p_partkey * {i + 3}) % 1000) / 1000.0 END AS DOUBLE) AS p,
@@ -366,9 +369,9 @@ UNION ALL SELECT p_partkey, {i}, 'action', CAST({act} AS INTEGER), 0.0, NULL,
   CASE WHEN {act} = 5 THEN {decimal} END {base}"""
 
 
-@query("bt_nodes", " UNION ALL ".join(_node_sql(i) for i in range(4)))
+@query("bt_nodes", " UNION ALL ".join(_node_sql(i) for i in range(MOST)))
 def bt_nodes(spark, folder):
-    return ctl.nodes(v.controllers(spark, folder), "scenario_id", "behavior_tree")
+    return ctl.nodes(v.controllers(spark, folder, MOST), "scenario_id", "behavior_tree")
 
 
 def _branch_ok(i: int) -> str:
@@ -384,7 +387,23 @@ SELECT p_partkey AS scenario_id, p_partkey % 23 <> 0 AND p_partkey % 29 <> 0
   AND {' AND '.join(_branch_ok(i) for i in range(4))} AS valid FROM part""")
 def bt_valid(spark, folder):
     trees = v.controllers(spark, folder)
-    checked = ctl.grammar_problems(trees, "behavior_tree", ctl.default_grammar(spark))
+    checked = ctl.grammar_problems(trees, "behavior_tree", ctl.default_grammar())
+    return checked.select("scenario_id", (F.size("problems") == 0).alias("valid"))
+
+
+def _branch_of_tree(i: int) -> str:
+    cond, act = f"(p_partkey + {i}) % 6", f"(p_partkey // 7 + {i}) % 6"
+    return f"""(p_size % 4 < {i} OR (
+  ({cond} NOT IN (3, 4) OR p_partkey % 25 <= 20) AND {act} <> 0
+  AND ({act} NOT IN (4, 5) OR (p_partkey + {i}) % 6 BETWEEN 1 AND 4)))"""
+
+
+@query("bt_valid_tree", f"""
+SELECT p_partkey AS scenario_id, p_partkey % 23 <> 0 AND p_partkey % 29 <> 0 AND p_size % 4 <= 2
+  AND {' AND '.join(_branch_of_tree(i) for i in range(3))} AS valid FROM part""")
+def bt_valid_tree(spark, folder):
+    trees = v.controllers(spark, folder)
+    checked = ctl.grammar_problems(trees, "behavior_tree", ctl.tree_grammar())
     return checked.select("scenario_id", (F.size("problems") == 0).alias("valid"))
 
 
@@ -412,24 +431,50 @@ def xml_objective(spark, folder):
 @query("xml_circles", f"""
 WITH {v.CONFIGURATIONS}
 SELECT scenario_id, 0 AS circle_no, CAST(cx AS DOUBLE) AS x, CAST(cy AS DOUBLE) AS y, CAST('0.' || r AS DOUBLE) AS radius, 'black' AS color FROM configs
-UNION ALL SELECT scenario_id, 1, 1.5, -1.5, 0.28, 'white' FROM configs""")
+UNION ALL SELECT scenario_id, 1, -1.25, 0.75, 0.36, 'white' FROM configs""")
 def xml_circles(spark, folder):
     return xmlconfig.circles(v.configurations(spark, folder), "configuration", "scenario_id")
 
 
 @query("xml_spawn_circles", f"""
 WITH {v.CONFIGURATIONS}
-SELECT scenario_id, 0 AS circle_no, CAST(0 AS DOUBLE) AS x, CAST(0 AS DOUBLE) AS y, CAST(0.45 AS DOUBLE) AS radius FROM configs""")
+SELECT scenario_id, 0 AS circle_no, CAST(0 AS DOUBLE) AS x, CAST(0 AS DOUBLE) AS y, CAST(0.55 AS DOUBLE) AS radius FROM configs""")
 def xml_spawn_circles(spark, folder):
     return xmlconfig.circles(
         v.configurations(spark, folder), "configuration", "scenario_id", "spawnCircle"
     )
 
 
+@query("xml_rectangles", f"""
+WITH {v.CONFIGURATIONS}
+SELECT scenario_id, 0 AS rect_no, CAST(cx AS DOUBLE) AS x, CAST(cy || '.25' AS DOUBLE) AS y, CAST('0.' || r AS DOUBLE) AS half_w,
+  CAST(0.15 AS DOUBLE) AS half_h, CAST(turn AS DOUBLE) AS angle_deg, 'white' AS color FROM configs""")
+def xml_rectangles(spark, folder):
+    return xmlconfig.rectangles(v.configurations(spark, folder), "configuration", "scenario_id")
+
+
+@query("xml_spawn_rectangles", f"""
+WITH {v.CONFIGURATIONS}
+SELECT scenario_id, 0 AS rect_no, CAST(0.3 AS DOUBLE) AS x, CAST(-0.2 AS DOUBLE) AS y, CAST('0.' || r AS DOUBLE) AS half_w,
+  CAST(0.4 AS DOUBLE) AS half_h, CAST(45 AS DOUBLE) AS angle_deg FROM configs""")
+def xml_spawn_rectangles(spark, folder):
+    return xmlconfig.rectangles(
+        v.configurations(spark, folder), "configuration", "scenario_id", "spawnRectangle"
+    )
+
+
+@query("xml_fixed_robots", f"""
+WITH {v.CONFIGURATIONS}
+SELECT scenario_id, 0 AS robot_no, CAST(cx AS DOUBLE) AS x, CAST(0.5 AS DOUBLE) AS y FROM configs
+UNION ALL SELECT scenario_id, 1, 1, 2 FROM configs""")
+def xml_fixed_robots(spark, folder):
+    return xmlconfig.fixed_robots(v.configurations(spark, folder), "configuration", "scenario_id")
+
+
 @query("xml_lights", f"""
 WITH {v.CONFIGURATIONS}
 SELECT scenario_id, 0 AS light_no, 'light_' || scenario_id AS light_id, CAST(cx AS DOUBLE) AS x, CAST(cy || '.5' AS DOUBLE) AS y,
-  CAST(0 AS DOUBLE) AS z, CAST(360 AS DOUBLE) AS turn_z, CAST(0 AS DOUBLE) AS turn_y, CAST(0 AS DOUBLE) AS turn_x,
+  CAST(0 AS DOUBLE) AS z, CAST(270 AS DOUBLE) AS turn_z, CAST(0 AS DOUBLE) AS turn_y, CAST(0 AS DOUBLE) AS turn_x,
   'yellow' AS color, CAST(r || '.25' AS DOUBLE) AS intensity, 'leds' AS medium FROM configs
 UNION ALL SELECT scenario_id, 1, 'extra', NULL, NULL, NULL, 0, 0, 0, 'red', 5, 'leds' FROM configs""")
 def xml_lights(spark, folder):
@@ -439,7 +484,7 @@ def xml_lights(spark, folder):
 @query("xml_arena", f"""
 WITH {v.CONFIGURATIONS}
 SELECT s_suppkey AS scenario_id, CAST(r AS DOUBLE) AS size_x, CAST(r || '.5' AS DOUBLE) AS size_y,
-  CASE WHEN r IS NOT NULL THEN CAST(2.19 AS DOUBLE) END AS size_z,
+  CASE WHEN r IS NOT NULL THEN CAST(1.95 AS DOUBLE) END AS size_z,
   CAST(NULL AS DOUBLE) AS center_x, CAST(NULL AS DOUBLE) AS center_y, CAST(NULL AS DOUBLE) AS center_z
 FROM supplier LEFT JOIN configs ON scenario_id = s_suppkey""")
 def xml_arena(spark, folder):

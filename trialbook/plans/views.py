@@ -107,8 +107,8 @@ COMPLETE = SCORED + """, complete AS (
 # --- controllers: flag/value text from part ----------------------------------------
 
 
-def _controller_text(div: str, text: str) -> str:
-    """SQL text of a controller with p_size % 4 + 1 branches; some break the grammar on purpose."""
+def _controller_text(div: str, text: str, most: int = 4) -> str:
+    """SQL text of a controller with p_size % most + 1 branches; some break the grammar on purpose."""
 
     def word(expr: str) -> str:
         return f"CAST({expr} AS {text})"
@@ -118,7 +118,7 @@ def _controller_text(div: str, text: str) -> str:
         act = f"((p_partkey {div} 7 + {i}) % 6)"
         fraction = f"'0.' || lpad({word(f'(p_partkey * {i + 3}) % 1000')}, 3, '0')"
         decimal = f"{word(f'(p_partkey + {i}) % 6')} || '.25'"
-        return f"""CASE WHEN p_size % 4 >= {i} THEN
+        return f"""CASE WHEN p_size % {most} >= {i} THEN
           ' --n{i} 0 --nchild{i} 2 --n{i}0 6 --c{i}0 ' || {word(cond)}
           || ' --p{i}0 ' || CASE WHEN {cond} IN (3, 4) THEN {word('p_partkey % 10 + 1')} ELSE {fraction} END
           || CASE WHEN {cond} IN (3, 4) THEN ' --w{i}0 ' || {word('p_partkey % 25')} ELSE '' END
@@ -128,20 +128,20 @@ def _controller_text(div: str, text: str) -> str:
                   WHEN {act} = 5 THEN ' --rep{i}1 ' || {decimal} ELSE '' END
           || ' --p{i}1 0' ELSE '' END"""
 
-    branches = " || ".join(branch(i) for i in range(4))
+    branches = " || ".join(branch(i) for i in range(most))
     return f"""CASE WHEN p_partkey % 23 = 0 THEN '' ELSE
-      '--nroot 3 --nchildroot ' || {word('p_size % 4 + 1')} || {branches}
+      '--nroot 3 --nchildroot ' || {word(f'p_size % {most} + 1')} || {branches}
       || CASE WHEN p_partkey % 29 = 0 THEN ' --zz 1' ELSE '' END END"""
 
 
-def controllers(spark: SparkSession, folder: str) -> DataFrame:
-    return controllers_of(table(spark, folder, "part"))
+def controllers(spark: SparkSession, folder: str, most: int = 4) -> DataFrame:
+    return controllers_of(table(spark, folder, "part"), most)
 
 
-def controllers_of(parts: DataFrame) -> DataFrame:
+def controllers_of(parts: DataFrame, most: int = 4) -> DataFrame:
     return parts.select(
         F.col("p_partkey").alias("scenario_id"),
-        F.expr(_controller_text("div", "STRING")).alias("behavior_tree"),
+        F.expr(_controller_text("div", "STRING", most)).alias("behavior_tree"),
     )
 
 
@@ -156,6 +156,7 @@ _CONFIG_NUMBERS = {
     "cy": "(s_suppkey % 7 - 3)",
     "r": "(s_suppkey % 9 + 1)",
     "kind": "(s_suppkey % 4)",
+    "turn": "(s_suppkey % 90)",
 }
 
 
@@ -164,12 +165,15 @@ def configurations(spark: SparkSession, folder: str) -> DataFrame:
     n = {k: f"CAST({v} AS STRING)" for k, v in _CONFIG_NUMBERS.items()}
     text = f"""
       '<?xml version="1.00" ?><config><env-elems><light id="light_' || CAST(s_suppkey AS STRING)
-      || '" position="' || {n['cx']} || ',' || {n['cy']} || '.5,0.00" orientation="360,0,0" color="yellow" intensity="'
+      || '" position="' || {n['cx']} || ',' || {n['cy']} || '.5,0.00" orientation="270,0,0" color="yellow" intensity="'
       || {n['r']} || '.25" medium="leds"/>'
       || '<light id="extra" position="bad" orientation="0,0,0" color="red" intensity="5.00" medium="leds"/>'
-      || '<arena-attrib size="' || {n['r']} || ',' || {n['r']} || '.5,2.19"/></env-elems><objective-elems>'
-      || '<spawnCircle position="0,0,0" radius="0.45"/><circle position="' || {n['cx']} || ',' || {n['cy']}
-      || '" radius="0.' || {n['r']} || '" color="black"/><circle position="1.5,-1.5" radius="0.28" color="white"/>'
+      || '<arena-attrib size="' || {n['r']} || ',' || {n['r']} || '.5,1.95"/></env-elems><objective-elems>'
+      || '<spawnCircle position="0,0,0" radius="0.55"/><circle position="' || {n['cx']} || ',' || {n['cy']}
+      || '" radius="0.' || {n['r']} || '" color="black"/><circle position="-1.25,0.75" radius="0.36" color="white"/>'
+      || '<rectangle center="' || {n['cx']} || ',' || {n['cy']} || '.25" angle="' || CAST(s_suppkey % 90 AS STRING) || '" width="0.' || {n['r']} || '" height="0.15" color="white"/>'
+      || '<spawnRectangle center="0.3,-0.2" angle="45" width="0.' || {n['r']} || '" height="0.4"/>'
+      || '<epuck position="' || {n['cx']} || ',0.5"/><epuck position="1,2"/>'
       || CASE WHEN s_suppkey % 17 = 0 THEN '<objective type=' ELSE
            CASE s_suppkey % 4
              WHEN 0 THEN '<objective type="aggregation"><objective-params target-color="black" radius="0.' || {n['r']} || '"/></objective>'

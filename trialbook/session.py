@@ -43,6 +43,27 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever file system its path names; nothing if it is not there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
+_pinned: list[str] = []
+
+
+def clear_pinned(spark: SparkSession) -> int:
+    """Delete the tables that ``pin`` has written in this process, and return their number.
+
+    Call it when a run's results have been written; DataFrames built on them end with it.
+    """
+    for path in _pinned:
+        remove(spark, path)
+    done = len(_pinned)
+    _pinned.clear()
+    return done
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
@@ -51,6 +72,7 @@ def pin(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/pinned-{uuid.uuid4().hex}"
+    _pinned.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

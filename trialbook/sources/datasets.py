@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,14 +53,51 @@ def write_training_shards(df: DataFrame, path: str, text: str = "text", shards:
     (only.repartition(shards) if shards else only).write.mode("overwrite").parquet(path)
 
 
-def export_folders(
-    df: DataFrame, path: str, key: str, mission: str, kind: str
-) -> None:
-    """One folder ``experiment_<id>`` per row below ``path``/mission and ``path``/mission_type."""
-    named = df.withColumn("dirname", F.concat(F.lit("experiment_"), F.col(key).cast("string")))
-    for part, column in (("mission", mission), ("mission_type", kind)):
-        text = named.select("dirname", F.col(column).alias("value"))
-        text.write.mode("overwrite").partitionBy("dirname").option("lineSep", "\u0000").text(f"{path}/{part}")
+MISSION_FILE, KIND_FILE = "experiments-folder/mission.argos", "mission_type.txt"
+
+
+def export_folders(df: DataFrame, path: str, key: str, mission: str, kind: str) -> int:
+    """One folder ``experiment_<id>`` per row with the mission and its kind; returns their number.
+
+    ``path`` is on a file system that all executors have mounted. Each row's files are
+    written by the task that holds the row, in one pass, as UTF-8, first under another name,
+    so a task that runs again replaces them whole. NULL text makes an empty file; rows
+    without an id are an error; of rows with the same id one is kept.
+    """
+    root = path.removeprefix("file://").removeprefix("file:") if path.startswith("file:") else path
+    if "://" in root:
+        raise ValueError("export_folders writes to a mounted file system")
+    name = F.concat(F.lit("experiment_"), F.col(key).cast("string"))
+    rows = df.select(F.coalesce(name, F.raise_error(F.lit("row without id")).cast("string")).alias("n"), F.col(mission).alias("m"), F.col(kind).alias("k"))
+
+    def write(batches):
+        for batch in batches:
+            for folder, text, of in zip(batch["n"], batch["m"], batch["k"]):
+                for file, value in ((MISSION_FILE, text), (KIND_FILE, of)):
+                    target = os.path.join(root, folder, file)
+                    os.makedirs(os.path.dirname(target), exist_ok=True)
+                    draft = f"{target}.{uuid.uuid4().hex}"
+                    with open(draft, "w", encoding="utf-8", newline="") as out:
+                        out.write(value or "")
+                    os.replace(draft, target)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return rows.mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def read_folders(spark: SparkSession, path: str) -> DataFrame:
+    """What ``export_folders`` wrote, as (dirname, mission, kind)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    named = files.select(
+        F.regexp_extract("path", r"/(experiment_[^/]+)/", 1).alias("dirname"),
+        F.regexp_extract("path", r"([^/]+)$", 1).alias("f"),
+        F.decode("content", "UTF-8").alias("value"),
+    )
+
+    def one(file: str, out: str):
+        return F.max(F.when(F.col("f") == file.rsplit("/")[-1], F.col("value"))).alias(out)
+
+    return named.groupBy("dirname").agg(one(MISSION_FILE, "mission"), one(KIND_FILE, "kind"))
 
 
 def row_lookup(df: DataFrame, key: str, value: int, columns: list[str]) -> DataFrame:

@@ -1,8 +1,10 @@
 """Deliveries of foraging robots over a stream of positions.
 
 The state of a robot is whether it carries an item, how many it delivered, and the last
-tick it was seen at. Ticks of a robot are put in order within a micro-batch; a tick at or
-before the last one seen is dropped, as its place in the order is gone.
+tick it was seen at. Ticks of a robot are put in order within a micro-batch. A tick at or
+before the last one seen is late: its place in the order is gone. Late ticks are never lost
+without a word: the state-store way returns them with a NULL count, the batch way writes them
+to a table of their own, from which the robots concerned can be worked out again.
 
 There are two ways with equal results. ``deliver_batches`` handles each micro-batch as a
 batch job that starts from the stored state of all robots; one robot's rows are spread
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +28,7 @@ from trialbook.operators.fitness import RUN, circle_pairs
 from trialbook.operators.ordering import positions as ordered_positions
 from trialbook.operators.ordering import previous
 from trialbook.operators.spatial import in_circle
+from trialbook.session import pin, remove
 
 OUTPUT = "run_id string, robot_id string, tick long, delivered long"
 STATE = "carries boolean, delivered long, tick long"
@@ -54,25 +58,26 @@ def zones(positions: DataFrame, circles: DataFrame, objectives: DataFrame) -> Da
 
 
 def _step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    carries, delivered, last = state.get if state.exists else (False, 0, -1)
+    carries, delivered, last = state.get if state.exists else (False, 0, None)
     rows = pd.concat(list(batches)).sort_values("tick")
-    out = []
-    for tick, at_source in zip(rows["tick"], rows["at_source"]):
-        if tick <= last:
-            continue
-        last = int(tick)
-        if at_source:
-            carries = True
-        elif carries:
-            carries = False
-            delivered += 1
-            out.append((key[0], key[1], last, delivered))
-    state.update((carries, delivered, last))
-    yield pd.DataFrame(out, columns=["run_id", "robot_id", "tick", "delivered"])
+    late = rows["tick"] <= last if last is not None else pd.Series(False, index=rows.index)
+    ticks, at_source = rows["tick"][~late].to_numpy(), rows["at_source"][~late].to_numpy(dtype=bool)
+    # a robot carries exactly if the zone before was the source
+    before = np.concatenate([[carries], at_source[:-1]]) if len(ticks) else at_source
+    drops = ticks[~at_source & before]
+    out = pd.DataFrame({"tick": np.concatenate([drops, rows["tick"][late]])})
+    out["delivered"] = pd.array([*range(delivered + 1, delivered + 1 + len(drops)), *[None] * int(late.sum())], dtype="Int64")
+    if len(ticks):
+        state.update((bool(at_source[-1]), delivered + len(drops), int(ticks[-1])))
+    yield out.assign(run_id=key[0], robot_id=key[1])[["run_id", "robot_id", "tick", "delivered"]]
 
 
 def stream_deliveries(positions: DataFrame, circles: DataFrame, objectives: DataFrame) -> DataFrame:
-    """One row per delivery with the robot's running count; ``positions`` is a stream."""
+    """One row per delivery with the robot's running count; ``positions`` is a stream.
+
+    Late ticks are rows without a count. Bound the source's files per trigger: a task holds
+    one robot's rows of one micro-batch.
+    """
     return (
         zones(positions, circles, objectives)
         .groupBy(RUN, "robot_id")
@@ -81,9 +86,17 @@ def stream_deliveries(positions: DataFrame, circles: DataFrame, objectives: Data
 
 
 ROBOT = [RUN, "robot_id"]
+#: Every so many micro-batches the state of all robots is written.
+WHOLE = 10
 ROBOT_STATE = "run_id string, robot_id string, tick long, at_source boolean, delivered long"
 
 
+def _latest(versions: DataFrame) -> DataFrame:
+    """The last state of each robot among several versions."""
+    newest = versions.groupBy(*ROBOT).agg(F.max(F.struct("tick", "at_source", "delivered")).alias("_s"))
+    return newest.select(*ROBOT, "_s.tick", "_s.at_source", "_s.delivered")
+
+
 def deliver_batches(
     positions: DataFrame,
     circles: DataFrame,
@@ -91,27 +104,36 @@ def deliver_batches(
     target: str,
     state: str,
     checkpoint: str,
+    late: str | None = None,
 ) -> None:
     """Append the deliveries of each micro-batch to ``target``, until the source is used up.
 
-    Micro-batch n reads state version n-1 and writes version n; run again after a
-    failure it reads and overwrites the same versions, so nothing counts twice.
+    Version n of the state holds the robots that micro-batch n has seen, every ``WHOLE``-th
+    one all robots; a batch reads the versions from the last whole one on, and what lies
+    before the one before that is removed. Run again after a failure it reads and overwrites
+    the same versions, so nothing counts twice. Late ticks go to ``late`` (``state``/late if
+    not given), a folder per batch.
     """
+    late = late or f"{state}/late"
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        since = max(0, (number - 1) // WHOLE * WHOLE)
         if number > 0:
-            prior = spark.read.schema(ROBOT_STATE).parquet(f"{state}/version={number - 1}")
+            versions = [f"{state}/version={n}" for n in range(since, number)]
+            prior = _latest(spark.read.schema(ROBOT_STATE).parquet(*versions))
         else:
             prior = spark.createDataFrame([], ROBOT_STATE)
         known = prior.select(*ROBOT, F.col("tick").alias("_seen"), F.col("delivered").alias("_before"))
-        fresh = attach(zones(batch, circles, objectives), known, ROBOT).filter(
-            F.col("_seen").isNull() | (F.col("tick") > F.col("_seen"))
-        )
+        placed = pin(attach(pin(zones(batch, circles, objectives)), known, ROBOT))
+        in_time = F.col("_seen").isNull() | (F.col("tick") > F.col("_seen"))
+        placed.filter(~in_time).select(*ROBOT, "tick", "at_source").write.mode("overwrite").parquet(f"{late}/batch={number}")
+        fresh = placed.filter(in_time)
         columns = [*ROBOT, "tick", "at_source"]
-        rows = fresh.select(*columns).unionByName(prior.select(*columns))
+        seen = prior.join(fresh.select(*ROBOT).distinct(), ROBOT, "left_semi")
+        rows = pin(fresh.select(*columns).unionByName(seen.select(*columns)))
         looked = previous(rows, ROBOT, ["tick"], ["at_source"])
-        dropped = looked.filter(~F.col("at_source") & F.col("prev_at_source")).select(*ROBOT, "tick")
+        dropped = pin(looked.filter(~F.col("at_source") & F.col("prev_at_source")).select(*ROBOT, "tick"))
         counted = attach(ordered_positions(dropped, ROBOT, ["tick"], "_n"), known, ROBOT)
         delivered = F.col("_n") + F.coalesce("_before", F.lit(0))
         out = counted.select(*ROBOT, "tick", delivered.cast("long").alias("delivered"))
@@ -119,7 +141,7 @@ def deliver_batches(
 
         added = dropped.groupBy(*ROBOT).agg(F.count(F.lit(1)).alias("delivered"))
         totals = (
-            prior.select(*ROBOT, "delivered").unionByName(added)
+            seen.select(*ROBOT, "delivered").unionByName(added)
             .groupBy(*ROBOT).agg(F.sum("delivered").alias("delivered"))
         )
         last = rows.groupBy(*ROBOT).agg(
@@ -128,7 +150,11 @@ def deliver_batches(
         after = last.join(totals, ROBOT, "left").withColumn(
             "delivered", F.coalesce("delivered", F.lit(0)).cast("long")
         )
+        if number % WHOLE == 0:
+            after = after.unionByName(prior.join(after.select(*ROBOT), ROBOT, "left_anti"))
         after.write.mode("overwrite").parquet(f"{state}/version={number}")
+        for n in range(max(0, since - WHOLE), since):
+            remove(spark, f"{state}/version={n}")
 
     started = (
         positions.writeStream.foreachBatch(write)
