@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from trialbook.operators.attach import attach
 from trialbook.operators.ordering import previous
 from trialbook.operators.spatial import bounding_box, distance, in_circle
+from trialbook.session import pin
 
 RUN, ROBOT = "run_id", "robot_id"
 KINDS = ("aggregation", "connection", "distribution", "foraging")
@@ -218,15 +219,24 @@ def foraging_fitness(positions: DataFrame, circles: DataFrame, objectives: DataF
 
 
 def fitness(positions: DataFrame, circles: DataFrame, objectives: DataFrame) -> DataFrame:
-    """Score of every run by the formula of its kind; an unknown kind raises an error."""
+    """Score of every run by the formula of its kind; an unknown kind raises an error.
+
+    The positions are read once and laid down by kind, so that each formula reads its own.
+    """
     message = F.concat(F.lit("objective not implemented: "), F.coalesce("kind", F.lit("NULL")))
     unknown = objectives.filter(~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False))).select(
         RUN, "kind", F.raise_error(message).cast("double").alias("fitness")
     )
+    kinds = objectives.filter(F.col("kind").isin(*KINDS)).select(RUN, F.col("kind").alias("_kind"))
+    laid = pin(attach(positions.select(RUN, ROBOT, "tick", "x", "y"), kinds, [RUN], "inner"), ["_kind"])
+
+    def of(kind: str) -> DataFrame:
+        return laid.filter(F.col("_kind") == kind).drop("_kind")
+
     return (
-        aggregation_fitness(positions, circles, objectives)
-        .unionByName(connection_fitness(positions, circles, objectives))
-        .unionByName(distribution_fitness(positions, objectives))
-        .unionByName(foraging_fitness(positions, circles, objectives))
+        aggregation_fitness(of("aggregation"), circles, objectives)
+        .unionByName(connection_fitness(of("connection"), circles, objectives))
+        .unionByName(distribution_fitness(of("distribution"), objectives))
+        .unionByName(foraging_fitness(of("foraging"), circles, objectives))
         .unionByName(unknown)
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from trialbook.functions.scores import array_sample_variance, min_max
 from trialbook.operators.attach import attach
 from trialbook.operators.ordering import percentiles
+from trialbook.session import pin
 
 
 def _with_total(parts: DataFrame, keys: list[str], by: str, outputs: dict[str, Column], label: str):
@@ -95,7 +96,7 @@ def median_overall(
 
 def multi_stats(df: DataFrame, by: list[str], values: list[str]) -> DataFrame:
     """min, max, mean and median of several columns, one row per group and column."""
-    long = df.unpivot(by, values, "metric", "score")
+    long = pin(df.select(*by, *values)).unpivot(by, values, "metric", "score")
     simple = long.groupBy(*by, "metric").agg(
         F.min("score").alias("min_score"),
         F.max("score").alias("max_score"),
@@ -107,6 +108,7 @@ def multi_stats(df: DataFrame, by: list[str], values: list[str]) -> DataFrame:
 
 def describe_by(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """count, mean, sample std, min, quartiles and max per group."""
+    df = pin(df.select(*by, value))  # read twice
     simple = df.groupBy(*by).agg(
         F.count(value).alias("count"),
         F.avg(value).alias("mean"),
@@ -202,7 +204,7 @@ def null_by_bucket(positioned: DataFrame, pos: str, value: str, size: int = 100)
 
 def side_by_side(df: DataFrame, columns: list[str]) -> DataFrame:
     """Statistics table: one row per statistic, one column per method."""
-    long = df.select(*columns).unpivot([], columns, "method", "score")
+    long = pin(df.select(*columns)).unpivot([], columns, "method", "score")
     simple = long.groupBy("method").agg(
         F.min("score").alias("Min"), F.max("score").alias("Max"), F.avg("score").alias("Mean")
     )

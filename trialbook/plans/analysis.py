@@ -10,6 +10,7 @@ from trialbook.operators import distribution, reshape, scaling, significance, sp
 from trialbook.operators.ordering import top_n
 from trialbook.plans import views as v
 from trialbook.plans.registry import query, stable, stable_sql as r, with_stable
+from trialbook.session import pin
 
 TYPES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
@@ -412,7 +413,7 @@ WITH {v.EPOCHS} SELECT scenario_id, dataset_position FROM epochs""")
 def epoch_union(spark, folder):
     from trialbook.operators.combine import concat
 
-    rows = v.judged(spark, folder).select("scenario_id")
+    rows = pin(v.judged(spark, folder).select("scenario_id"))
     parts = [
         rows.filter(F.col("scenario_id") % 5 == i).withColumn("dataset_position", F.lit(i))
         for i in range(5)

@@ -64,7 +64,7 @@ def clear_pinned(spark: SparkSession) -> int:
     return done
 
 
-def pin(df: DataFrame) -> DataFrame:
+def pin(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
     Later stages then read equal rows whatever is recomputed or lost, take only the
@@ -73,8 +73,8 @@ def pin(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/pinned-{uuid.uuid4().hex}"
     _pinned.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*(partition_by or [])).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
 
 
 def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
