@@ -203,8 +203,13 @@ def keep_one(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     doc_id and text one stays. An empty table gives no rows."""
     rows = grouped(docs, "doc_id", "text", bucket)
     first = rows.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("no"), "doc_id", "text_hash")).alias("k"))
-    kept = first.select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_hash").alias("kept_hash")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_hash"))
-    found = docs.join(kept, same, "left_semi")
-    row = F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")
-    return found.groupBy("doc_id", F.xxhash64("text")).agg(row).select("row.*")
+    # one shuffle of the texts serves the choice and the removal of repeated rows
+    place = ["_id", "_none", "_hash"]
+
+    def placed(ident, hashed) -> list:
+        return [F.coalesce(ident.cast("string"), F.lit("")).alias("_id"), ident.isNull().alias("_none"), hashed.alias("_hash")]
+
+    kept = first.select(*placed(F.col("k.doc_id"), F.col("k.text_hash"))).distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    found = docs.select(*placed(F.col("doc_id"), F.xxhash64("text")), row).join(kept, place, "left_semi")
+    return found.groupBy(*place).agg(F.first("_row").alias("_row")).select("_row.*")
