@@ -443,7 +443,7 @@ def sft_prepare(spark, folder):
 
 
 def _reverse_words():
-    return lambda texts: texts.map(lambda t: " ".join(reversed(t.split(" "))))
+    return lambda texts: texts.str.split(" ").map(lambda words: " ".join(words[::-1]), na_action="ignore")
 
 
 @query("map_generate", f"""
