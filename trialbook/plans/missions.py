@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from trialbook.operators import combine, fitness, hooks, ordering, preferences, spatial, splits, tracks
 from trialbook.plans import views as v
 from trialbook.plans.registry import query, stable, stable_sql as r, with_stable
-from trialbook.session import literal_table
+from trialbook.session import literal_table, pin
 
 # --- joins -------------------------------------------------------------------------------
 
@@ -23,7 +23,8 @@ def attach_controllers(spark, folder):
 
 
 def _two_experiments(spark, folder):
-    rows = v.scored(spark, folder)
+    """Two experiments over the same scenarios."""
+    rows = pin(v.scored(spark, folder))
     formal = rows.select("scenario_id", "type", F.col("avg_score").alias("score"))
     control = rows.select("scenario_id", "type", F.col("llm_avg_score").alias("score"))
     return formal, control
