@@ -117,7 +117,34 @@ def _personal_data(spark, folder):
     return pii.find_personal_data(table(spark, folder, "documents"))
 
 
-@query("op8_secret_scan")
+def _secrets_sql() -> str:
+    """Matches of each rule with the text between them; lengths give the places."""
+    rules = secret_scan.BASE + secret_scan.MORE
+
+    def matches(order: int, rule) -> str:
+        pattern = rule.pattern.replace("'", "''")
+        if rule.kind == "hex":  # runs are maximal, so the least length can stand in the pattern
+            pattern = f"{pattern[:-1]}{{{rule.least},}}"
+        return f"""SELECT doc_id, '{rule.kind}' AS kind, {order} AS ord, {rule.least} AS least, regexp_extract_all(t, '{pattern}') AS m,
+  regexp_extract_all(t, '{pattern}', {rule.group}) AS v, string_split_regex(t, '{pattern}') AS g FROM d"""
+
+    counts = ", ".join(f"CAST(count(*) FILTER (kind = '{r.kind}') AS BIGINT) AS n_{r.kind}" for r in rules)
+    base = ", ".join(f"'{r.kind}'" for r in secret_scan.BASE)
+    listed = "string_agg(kind || ':' || start_ || ':' || (start_ + n), ',' ORDER BY start_, ord)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+r AS ({' UNION ALL '.join(matches(k, r) for k, r in enumerate(rules))}),
+u AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM r WHERE len(m) > 0),
+p AS (
+  SELECT doc_id, kind, ord, length(m[i]) AS n, CAST(list_sum(list_transform(g[1:i], lambda x: length(x)))
+    + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start_
+  FROM u WHERE length(v[i]) >= least),
+s AS (SELECT d.doc_id, {counts}, coalesce({listed} FILTER (kind IN ({base})), '') AS b, coalesce({listed}, '') AS spans
+  FROM d LEFT JOIN p ON p.doc_id = d.doc_id GROUP BY d.doc_id)
+SELECT * EXCLUDE (b), sha256(b) AS base_sha256 FROM s"""
+
+
+@query("op8_secret_scan", _secrets_sql())
 def _secret_scan(spark, folder):
     return secret_scan.find_secrets(table(spark, folder, "documents"))
 
