@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trialbook.llm.arrow import slices
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 UPPER = {c: c + 32 for c in range(0x41, 0x5B)}
 #: Characters of benchmark text in one pass; its tables take about a hundred times as many bytes.
@@ -139,7 +141,7 @@ def _pass(listed, name: str, text: str, width: int):
             _TABLES.clear()
             _TABLES[name] = Windows(listed.value, width)
         windows = _TABLES[name]
-        for batch in batches:
+        for batch in slices(batches):
             names = batch.schema.names
             before = names.index("hit_spans") if "hit_spans" in names else None
             n, spans, items = [], [], []

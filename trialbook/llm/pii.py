@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trialbook.llm.arrow import slices
+
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 DIGITS = frozenset("0123456789")
 LOCAL = frozenset(LETTERS + "0123456789._%+-")
@@ -190,7 +192,7 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [spans_of(t or "") for t in batch.column(1).to_pylist()]
             joined = [",".join(f"{k}:{a}:{b}" for k, a, b in s) for s in found]
             base = [",".join(f"{k}:{a}:{b}" for k, a, b in s if k in BASE) for s in found]
