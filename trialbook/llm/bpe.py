@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -24,10 +25,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trialbook.llm.arrow import slices
+
 # How byte-level BPE splits text before merging.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 SPLIT = regex.compile(PRE_TOKEN)
+UNEVEN = re.compile(r" (?:\s|\Z)")
 #: What a run goes on with once its first part has been taken, by the class of its last character.
 LETTERS, NUMBERS, OTHERS, SPACES = (
     regex.compile(p) for p in (r"\p{L}*", r"\p{N}*", r"[^\s\p{L}\p{N}]*", r"\s+(?!\S)|\s+")
@@ -37,7 +41,9 @@ MARGIN = 3
 CHUNK = 1 << 16
 #: Longer pre-tokens are merged with a heap, and are not kept in the word table.
 SHORT = 48
-WORDS = 250_000
+WORDS = 100_000
+PAIR = 1 << 20
+NONE = 1 << 30
 
 
 def byte_letters() -> dict[int, str]:
@@ -59,9 +65,12 @@ class MergeTable:
             i: bytes(back[c] for c in t) for t, i in vocab.items() if all(c in back for c in t)
         }
         self.spelled.update({i: t.encode() for t, i in special.items()})
-        self.merge: dict[tuple[int, int], tuple[int, int]] = {}
+        #: Rank of a pair, by left id * PAIR + right id; what the merge of a rank makes.
+        self.rank: dict[int, int] = {}
+        self.made: list[int] = []
         for rank, (a, b) in enumerate(merges):
-            self.merge.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+            self.rank.setdefault(vocab[a] * PAIR + vocab[b], rank)
+            self.made.append(vocab[a + b])
         self.lookahead = self._lookahead()
 
     def _lookahead(self) -> int:
@@ -74,7 +83,8 @@ class MergeTable:
         """
         reach: dict[int, int] = {}
         edge: dict[int, int] = {}  # right part of the merge that makes a token
-        for (a, b), (_, made) in sorted(self.merge.items(), key=lambda x: x[1][0]):
+        for pair, rank in sorted(self.rank.items(), key=lambda x: x[1]):
+            (a, b), made = divmod(pair, PAIR), self.made[rank]
             furthest, t = 0, b
             while t is not None:
                 furthest = max(furthest, reach.get(t, 0))
@@ -88,59 +98,103 @@ class MergeTable:
         ids = [self.start[b] for b in data]
         if len(ids) > SHORT:
             return self._merged_long(ids)
-        merge = self.merge
-        while len(ids) > 1:
-            best = min((merge[p] for p in zip(ids, ids[1:]) if p in merge), default=None)
-            if best is None:
+        get, made = self.rank.get, self.made
+        ranks = [get(a * PAIR + b, NONE) for a, b in zip(ids, ids[1:])]
+        while ranks:
+            rank = min(ranks)
+            if rank == NONE:
                 break
-            rank, made = best
-            out, i, last = [], 0, len(ids) - 1
-            while i <= last:
-                if i < last and merge.get((ids[i], ids[i + 1]), best)[0] == rank and (ids[i], ids[i + 1]) in merge:
-                    out.append(made)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+            i = ranks.index(rank)
+            new = made[rank]
+            ids[i : i + 2] = (new,)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get(ids[i - 1] * PAIR + new, NONE)
+            if i < len(ranks):
+                ranks[i] = get(new * PAIR + ids[i + 1], NONE)
         return ids
 
     def _merged_long(self, ids: list[int]) -> list[int]:
-        merge, n = self.merge, len(ids)
+        get, n = self.rank.get, len(ids)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(merge[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in merge]
+        heap = [(r, i) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (r := get(a * PAIR + b)) is not None]
         heapq.heapify(heap)
         while heap:
             rank, i = heapq.heappop(heap)
             j = right[i] if ids[i] >= 0 else -1
-            if j < 0 or (found := merge.get((ids[i], ids[j]))) is None or found[0] != rank:
+            if j < 0 or get(ids[i] * PAIR + ids[j]) != rank:
                 continue
-            ids[i], ids[j] = found[1], -1
+            ids[i], ids[j] = self.made[rank], -1
             right[i] = right[j]
             if right[j] >= 0:
                 left[right[j]] = i
             for a, b in ((left[i], i), (i, right[i])):
-                if a >= 0 and b >= 0 and (p := merge.get((ids[a], ids[b]))) is not None:
-                    heapq.heappush(heap, (p[0], a))
+                if a >= 0 and b >= 0 and (r := get(ids[a] * PAIR + ids[b])) is not None:
+                    heapq.heappush(heap, (r, a))
         return [t for t in ids if t >= 0]
 
 
-class Words(dict):
-    """Tokens of short pre-tokens, computed when first met; emptied when full."""
+class Recent(dict):
+    """A table of bounded size: when full it is set aside, and what is used again comes back."""
+
+    def __init__(self) -> None:
+        self.before: dict = {}
+
+    def keep(self, key: str, value: tuple[int, ...]) -> tuple[int, ...]:
+        if len(self) >= WORDS:
+            self.before = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+class Words(Recent):
+    """Tokens of pre-tokens, computed when first met."""
 
     def __init__(self, table: MergeTable):
+        super().__init__()
         self.table = table
+        self.spaced = Spaced(self)
 
     def __missing__(self, word: str) -> tuple[int, ...]:
+        if (found := self.before.get(word)) is not None:
+            return self.keep(word, found)
         data = word.encode()
         if len(data) > SHORT:
             run = Run(self.table)
             found = list(chain.from_iterable(run.feed(data)))
             return (*found, *run.finish())
-        if len(self) >= WORDS:
-            self.clear()
-        found = self[word] = tuple(self.table.merged(data))
-        return found
+        return self.keep(word, tuple(self.table.merged(data)))
+
+    def tokens(self, text: str) -> list[int]:
+        """Tokens of a whole text. A space that something other than white space follows
+        always begins a pre-token, so an ordinary text is looked up from space to space."""
+        if UNEVEN.search(text):
+            return list(chain.from_iterable(map(self.__getitem__, SPLIT.findall(text))))
+        first, *pieces = text.split(" ")
+        ids = list(chain.from_iterable(map(self.__getitem__, SPLIT.findall(first))))
+        ids.extend(chain.from_iterable(map(self.spaced.__getitem__, pieces)))
+        return ids
+
+
+class Spaced(Recent):
+    """Tokens of what stands between two spaces, with the space before it."""
+
+    def __init__(self, words: Words):
+        super().__init__()
+        self.words = words
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        if (found := self.before.get(piece)) is not None:
+            return self.keep(piece, found)
+        first, *more = SPLIT.findall(" " + piece)
+        if more:
+            found = (*self[first[1:]], *chain.from_iterable(map(self.words.__getitem__, more)))
+        elif len(first) < SHORT // 4:
+            found = tuple(self.words.table.merged(first.encode()))
+        else:
+            found = self.words[first]
+        return found if len(piece) > SHORT or "\n" in piece else self.keep(piece, found)
 
 
 class Run:
@@ -199,9 +253,13 @@ class Encoder:
         if self.run is not None:
             yield from self._go_on(last)
         if self.run is None:
+            if last:
+                yield self.words.tokens(self.held)
+                self.held = ""
+                return
             found = SPLIT.findall(self.held)
             kept, end = len(found), len(self.held)
-            while not last and kept and end > len(self.held) - MARGIN:
+            while kept and end > len(self.held) - MARGIN:
                 kept -= 1
                 end -= len(found[kept])
             yield list(chain.from_iterable(map(self.words.__getitem__, found[:kept])))
@@ -302,7 +360,7 @@ def encode_column(docs: DataFrame, path: str, text: str = "text", ids: str = "to
 
     def run(batches):
         table, words, _ = load(path)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             coded = [list(chain.from_iterable(encode(table, words, chunked(t or "")))) for t in texts]
             yield pa.RecordBatch.from_arrays(
@@ -319,7 +377,7 @@ def decode_column(docs: DataFrame, path: str, ids: str = "token_ids", text: str
 
     def run(batches):
         table, _, _ = load(path)
-        for batch in batches:
+        for batch in slices(batches):
             coded = batch.column(batch.schema.get_field_index(ids)).to_pylist()
             texts = ["".join(decode(table, [c or []])) for c in coded]
             yield pa.RecordBatch.from_arrays(
@@ -350,7 +408,7 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
 
     def run(batches):
         table, words, names = load(path)
-        for batch in batches:
+        for batch in slices(batches):
             found = [digest(table, words, names, t or "") for t in batch.column(1).to_pylist()]
             n, ids, texts = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
