@@ -1,7 +1,6 @@
 """Files in, files out, logs, XML and streams."""
 
 import json
-import os
 import random
 
 import pandas as pd

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trialbook.operators import combine, fitness, hooks, ordering, preferences, spatial, splits, tracks
+from trialbook.operators import combine, fitness, hooks, preferences, spatial, splits, tracks
 from trialbook.plans import views as v
 from trialbook.plans.registry import query, stable, stable_sql as r, with_stable
 from trialbook.session import literal_table, pin
