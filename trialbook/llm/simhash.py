@@ -27,6 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trialbook.llm.arrow import slices
+from trialbook.operators.attach import attach
 from trialbook.session import pin
 
 WIDTHS = (22, 21, 21)
@@ -65,7 +67,7 @@ def fingerprints(docs: DataFrame, text: str = "text", words: int = WORDS, seed:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [_fingerprint(t, words, seed) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), *batch.columns[1:]], names=batch.schema.names)
 
@@ -162,10 +164,10 @@ def components(edges: DataFrame) -> DataFrame:
     labels = pin(both.groupBy("x").agg(F.least("x", F.min("y")).alias("root")).select("x", "root"))
     while True:
         heard = both.join(labels.withColumnRenamed("x", "y"), "y").groupBy("x").agg(F.min("root").alias("heard"))
-        lower = labels.join(heard, "x").select("x", F.least("root", "heard").alias("new"), "root")
+        lower = pin(labels.join(heard, "x").select("x", F.least("root", "heard").alias("new"), "root"))
         # a root that some member left for a smaller one tells all that still name it
-        told = lower.where("new < root").groupBy("root").agg(F.min("new").alias("told")).withColumnRenamed("root", "of")
-        moved = lower.join(told, F.col("root") == F.col("of"), "left").select("x", F.least("new", "told").alias("new"), "root")
+        told = lower.where("new < root").groupBy("root").agg(F.min("new").alias("told"))
+        moved = attach(lower, told, ["root"]).select("x", F.least("new", "told").alias("new"), "root")
         above = moved.select(F.col("x").alias("of"), F.col("new").alias("beyond"))
         step = pin(moved.join(above, F.col("new") == F.col("of"), "left").select("x", F.least("new", "beyond").alias("root"), F.col("root").alias("was")))
         if step.where("root < was").isEmpty():
@@ -179,7 +181,7 @@ def grouped(docs: DataFrame, key: str, text: str, bucket: int) -> DataFrame:
     nodes = pin(rows.select("fp").distinct())
     roots = components(links(nodes, bucket))
     rooted = nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    return rows.join(rooted, "fp")
+    return attach(rows, rooted, ["fp"], "inner")
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> DataFrame:
@@ -192,7 +194,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket
     """
     rows = pin(grouped(docs, key, text, bucket))
     least = rows.groupBy("root").agg(F.min(key).alias("component_id"))
-    return rows.join(least, "root").select(
+    return attach(rows, least, ["root"], "inner").select(
         key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
