@@ -24,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trialbook.llm.arrow import slices
+from trialbook.llm.bpe import Recent
+
 SPACE = "▁"
 PENALTY = 10.0
-WORDS = 250_000
 #: Cut-outs longer than this are counted anew each time.
 SHORT = 64
 
@@ -43,28 +45,25 @@ class Vocabulary:
                 self.single.add(piece)
         self.automaton.make_automaton()
         self.cuts_at_spaces = not any(SPACE in p.lstrip(SPACE) for p, _ in pieces)
-        self.known: dict[str, tuple[int, float]] = {}
+        self.cuts_at_lines = byte_fallback and not any("\n" in p for p, _ in pieces)
+        self.parts, self.spaced = Parts(self, ""), Parts(self, SPACE)
 
     def count(self, text: str) -> tuple[int, float]:
         """Pieces on the best path over ``text`` as it stands, and the path's score."""
         size = len(text)
-        best: list[float | None] = [0.0] + [None] * size
-        pieces = [0] * (size + 1)
+        best, pieces = [0.0] * (size + 1), [0] * (size + 1)
         open_run = [False] * (size + 1)  # the best path ends in an uncovered character
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(0)]
         matches = self.automaton.iter(text) if len(self.automaton) else iter(())
-        at, found = next(matches, (size, None))
+        done = (size, (0, 0.0))
+        at, (length, score) = next(matches, done)
         single, fallback, unknown = self.single, self.byte_fallback, self.unknown
         for end in range(1, size + 1):
-            ends = []
-            while found is not None and at == end - 1:
-                ends.append(found)
-                at, found = next(matches, (size, None))
             top, n, is_open = None, 0, False
-            for length, score in sorted(ends, key=lambda m: -m[0]):
+            while at == end - 1:  # pieces that end here, the longest first
                 value = best[end - length] + score
                 if top is None or value > top:
                     top, n = value, pieces[end - length] + 1
+                at, (length, score) = next(matches, done)
             if text[end - 1] not in single:
                 value = best[end - 1] + unknown
                 if top is None or value > top:
@@ -74,33 +73,46 @@ class Vocabulary:
             best[end], pieces[end], open_run[end] = top, n, is_open
         return pieces[size], best[size]
 
-    def of(self, part: str) -> tuple[int, float]:
-        found = self.known.get(part)
-        if found is None:
-            found = self.count(part)
-            if len(part) <= SHORT:
-                if len(self.known) >= WORDS:
-                    self.known.clear()
-                self.known[part] = found
-        return found
-
     def total(self, text: str) -> tuple[int, float]:
         """Pieces and score of a raw text: spaces marked, one mark before it, nothing if empty."""
         if not text:
             return 0, 0.0
-        marked = SPACE + text.replace(" ", SPACE)
         if not self.cuts_at_spaces or (not self.byte_fallback and SPACE not in self.single):
-            return self.count(marked)
-        n, score = 0, 0.0
-        for part in WORD.findall(marked):
-            a, b = self.of(part)
-            n += a
-            score += b
+            return self.count(SPACE + text.replace(" ", SPACE))
+        # a character in no piece stands alone on every path
+        lines = (" " + text).split("\n") if self.cuts_at_lines else [" " + text]
+        n = len(lines) - 1
+        score = n * self.unknown
+        for line in lines:
+            first, *words = line.split(" ")
+            if "" in words or SPACE in line:  # marks in a row belong together
+                found = map(self.parts.__getitem__, WORD.findall(line.replace(" ", SPACE)))
+            else:
+                found = map(self.spaced.__getitem__, words)
+                a, b = self.parts[first]
+                n += a
+                score += b
+            for a, b in found:
+                n += a
+                score += b
         return n, score
 
 
-#: A run of space marks with what follows it: between any two of these lies a sure border.
-WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
+class Parts(Recent):
+    """Counts of cut-outs, with what stands before each of them."""
+
+    def __init__(self, vocabulary: Vocabulary, before: str):
+        super().__init__()
+        self.vocabulary, self.start = vocabulary, before
+
+    def __missing__(self, part: str) -> tuple[int, float]:
+        found = self.before.get(part) or self.vocabulary.count(self.start + part)
+        return self.keep(part, found) if len(part) <= SHORT else found
+
+
+#: A run of space marks with what follows it, or what comes before the first of them: between
+#: any two of these lies a sure border.
+WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
 @lru_cache(maxsize=2)
@@ -124,7 +136,7 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
 
     def run(batches):
         vocabulary = load(path)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             found = [vocabulary.total(t or "") for t in texts]
             yield pa.RecordBatch.from_arrays(
