@@ -5,12 +5,13 @@ import itertools
 import random
 from collections import defaultdict
 
+import corpus_pipeline
 import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.tables import frame
-from trialbook.llm import fingerprints, line_dedup, simhash
+from trialbook.llm import fingerprints, line_dedup, resemblance, simhash
 
 
 def expected_fp(text):
@@ -114,6 +115,44 @@ def test_rows_and_kept_rows(spark):
     assert simhash.near_groups(docs.limit(0)).count() == 0 and simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def shingles_of(text):
+    words = (text or "").split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def alike(a, b):
+    return a == b or len(a & b) / len(a | b) >= 0.8
+
+
+def test_similar_texts_group_whatever_their_fingerprints(spark):
+    draw = random.Random(9)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(6))
+    texts = [None, "", "one two", "one two", "one two three"]
+    for edits in (60, 9):  # crowds of loose copies, and groups of few
+        for _ in range(1 if edits == 60 else 6):
+            base = [word() for _ in range(100)]
+            for k in range(edits):
+                copy = list(base)
+                for _ in range(k % 5):
+                    copy[draw.randrange(100)] = word()
+                texts.append(" ".join(copy))
+    texts += [" ".join(word() for _ in range(80)) for _ in range(40)]
+    sets = [shingles_of(t) for t in texts]
+    root = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if alike(sets[i], sets[j]) and root[i] != root[j]:
+            low, high = sorted((root[i], root[j]))
+            root = [low if r == high else r for r in root]
+    docs = frame(spark, list(enumerate(texts)))
+    for bucket in (2, 8, 1000):
+        kept = simhash.keep_one(docs, bucket, resemblance.SIMILARITY)
+        assert kept.columns == docs.columns
+        assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
+    assert len(set(root)) < simhash.keep_one(docs).count()
+    assert corpus_pipeline.one_of_each(spark, docs, "").count() == len(set(root))
+    assert corpus_pipeline.one_of_each(spark, docs.limit(0), "").count() == 0
+
+
 # --- fingerprints ----------------------------------------------------------------------
 
 

@@ -27,7 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trialbook.llm import resemblance
 from trialbook.llm.arrow import slices
+from trialbook.llm.components import components
 from trialbook.operators.attach import attach
 from trialbook.session import pin
 
@@ -158,23 +160,6 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return pairs.unionByName(met.select("a", "b")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(fp, root) for every fingerprint in ``edges``; root: the smallest in its component."""
-    both = pin(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b"), F.col("a")).toDF("x", "y")))
-    labels = pin(both.groupBy("x").agg(F.least("x", F.min("y")).alias("root")).select("x", "root"))
-    while True:
-        heard = both.join(labels.withColumnRenamed("x", "y"), "y").groupBy("x").agg(F.min("root").alias("heard"))
-        lower = pin(labels.join(heard, "x").select("x", F.least("root", "heard").alias("new"), "root"))
-        # a root that some member left for a smaller one tells all that still name it
-        told = lower.where("new < root").groupBy("root").agg(F.min("new").alias("told"))
-        moved = attach(lower, told, ["root"]).select("x", F.least("new", "told").alias("new"), "root")
-        above = moved.select(F.col("x").alias("of"), F.col("new").alias("beyond"))
-        step = pin(moved.join(above, F.col("new") == F.col("of"), "left").select("x", F.least("new", "beyond").alias("root"), F.col("root").alias("was")))
-        if step.where("root < was").isEmpty():
-            return step.select(F.col("x").alias("fp"), "root")
-        labels = step.select("x", "root")
-
-
 def grouped(docs: DataFrame, key: str, text: str, bucket: int) -> DataFrame:
     """Per row: key, text_hash, fp, root: the smallest fingerprint of the component."""
     rows = pin(fingerprints(docs.select(key, text, F.xxhash64(text).alias("text_hash")), text))
@@ -199,11 +184,15 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket
     )
 
 
-def keep_one(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def keep_one(docs: DataFrame, bucket: int = BUCKET, similarity: float | None = None) -> DataFrame:
     """One row of each near-duplicate group, with all its columns: that with the smallest
-    doc_id. A row without doc_id stays only if no row of its group has one; of rows equal in
+    doc_id. Groups are those of ``near_groups``, or with ``similarity`` those of five-word
+    shingle sets whose Jaccard similarity is at least that. A row without doc_id stays only if no row of its group has one; of rows equal in
     doc_id and text one stays. An empty table gives no rows."""
-    rows = grouped(docs, "doc_id", "text", bucket)
+    if similarity is None:
+        rows = grouped(docs, "doc_id", "text", bucket)
+    else:
+        rows = resemblance.grouped(docs, "doc_id", "text", similarity, bucket)
     first = rows.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("no"), "doc_id", "text_hash")).alias("k"))
     # one shuffle of the texts serves the choice and the removal of repeated rows
     place = ["_id", "_none", "_hash"]
