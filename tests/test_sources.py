@@ -194,3 +194,10 @@ def test_epochs_append_and_are_not_stored_twice(spark, tmp_path):
 
 def test_checkpoint_folder_is_taken_from_the_session(spark):
     assert checkpoint_folder(spark) == spark.sparkContext.getCheckpointDir()
+
+
+def test_exported_folders_refuse_repeated_ids(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", "x"), (2, "b", "x"), (1, "c", "y")], "i long, m string, t string")
+    with pytest.raises(ValueError, match="2 rows for experiment_1"):
+        datasets.export_folders(df, str(tmp_path / "r"), "i", "m", "t")
+    assert not (tmp_path / "r").exists()

@@ -62,12 +62,15 @@ def export_folders(df: DataFrame, path: str, key: str, mission: str, kind: str)
     ``path`` is on a file system that all executors have mounted. Each row's files are
     written by the task that holds the row, in one pass, as UTF-8, first under another name,
     so a task that runs again replaces them whole. NULL text makes an empty file; rows
-    without an id are an error; of rows with the same id one is kept.
+    without an id and ids that come twice are errors, found before anything is written.
     """
     root = path.removeprefix("file://").removeprefix("file:") if path.startswith("file:") else path
     if "://" in root:
         raise ValueError("export_folders writes to a mounted file system")
     name = F.concat(F.lit("experiment_"), F.col(key).cast("string"))
+    twice = df.where(F.col(key).isNotNull()).groupBy(name.alias("n")).agg(F.count("*").alias("c")).where("c > 1").first()
+    if twice is not None:
+        raise ValueError(f"{twice['c']} rows for {twice['n']}")
     rows = df.select(F.coalesce(name, F.raise_error(F.lit("row without id")).cast("string")).alias("n"), F.col(mission).alias("m"), F.col(kind).alias("k"))
 
     def write(batches):
