@@ -192,3 +192,17 @@ def test_secrets_equal_the_expressions(spark):
             assert (by_id[i]["spans"], by_id[i]["base_sha256"]) == (want, sha(want)), text[:80]
             assert by_id[i]["n_hex"] == want.count("hex:") and by_id[i]["n_assign"] == want.count("assign:")
     assert secret_scan.find_secrets(docs.limit(0)).count() == 0
+
+
+def test_blocks_are_bounded_for_repeated_and_long_items(spark):
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(1, "the same benchmark row again and again in one long list " * 3)] * 200 + [(2, " ".join(words)), (3, None), (4, "")]
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    sizes = [sum(len(r["text"]) for r in b.collect()) for b in decontamination.blocks(bench, "item_id", "text", 2000)]
+    assert max(sizes) < 4 * 2000 and len(sizes) > 5
+    docs = frame(spark, [(k, " ".join(words[k : k + 10])) for k in range(0, 2991, 13)] + [(5000, " ".join(words[:9])), (5001, " ".join(words[-9:]))])
+    got = {r["doc_id"]: r for r in decontamination.search_passages(docs, bench, block_chars=2000).collect()}
+    assert all(r["contaminated"] == (d < 5000) and r["n_items"] == (d < 5000) for d, r in got.items())
+    whole = decontamination.Windows([(0, " ".join(words))], 10).classes[0][3]
+    cut = decontamination.Windows([(0, p) for p in decontamination.pieces(" ".join(words), 10, 100)], 10)
+    assert [c[0] for c in cut.classes] == [10] and cut.classes[0][3].keys() == whole.keys()

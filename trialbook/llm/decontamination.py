@@ -7,7 +7,8 @@ shift 0, and its bucket names the windows to compare word by word. Blocks that n
 holds, nearly all in ordinary text, jump a whole window but one word.
 
 The benchmark is taken in blocks of bounded size, one pass of the documents' tasks each, so
-that neither the driver nor a worker holds more than one block; hits of earlier passes travel
+that neither the driver nor a worker holds more than one block: repeated items count once and
+long ones are cut into pieces that overlap by a window less a word. Hits of earlier passes travel
 with the row as word spans.
 """
 
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialbook.llm.arrow import slices
+from trialbook.session import pin
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 UPPER = {c: c + 32 for c in range(0x41, 0x5B)}
@@ -86,9 +88,39 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks(benchmark: DataFrame, item: str, text: str, block_chars: int) -> list[DataFrame]:
-    """The benchmark in parts of about ``block_chars`` characters; one item is never split."""
+def pieces(text: str, width: int, chars: int) -> list[str]:
+    """A text of over ``chars`` characters as overlapping runs of its words, with the same
+    windows: neighbours share ``width`` - 1 words, and each has at least ``width``."""
+    if len(text) <= chars:
+        return [text]
+    words, out, start = words_of(text), [], 0
+    while True:
+        end, size = start, 0
+        while end < len(words) and (size < chars or end - start < width):
+            size += len(words[end]) + 1
+            end += 1
+        out.append(" ".join(words[start:end]))
+        if end == len(words):
+            return out
+        start = end - width + 1
+
+
+def blocks(benchmark: DataFrame, item: str, text: str, block_chars: int, width: int = 10) -> list[DataFrame]:
+    """The different (item, text) of the benchmark in parts of about ``block_chars``
+    characters; a longer text counts as its pieces."""
+
+    def cut(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                found = pieces(batch.column(1)[at].as_py(), width, block_chars)
+                owner = pa.array([batch.column(0)[at].as_py()] * len(found), pa.string())
+                yield pa.RecordBatch.from_arrays([owner, pa.array(found, pa.string())], names=["item", "text"])
+
     narrow = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text"))
+    narrow = narrow.where(F.col("text").isNotNull()).distinct()
+    long = F.length("text") > block_chars
+    cuts = narrow.where(long).mapInArrow(cut, "item string, text string")
+    narrow = pin(narrow.where(~long).unionByName(cuts).distinct())
     total = narrow.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // block_chars))
     part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
@@ -113,8 +145,8 @@ def search_passages(
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     schema = f"{fields}, n_words long, hit_spans array<array<int>>, items array<string>"
     spark = docs.sparkSession
-    for part in blocks(benchmark, item, item_text, block_chars):
-        # at most block_chars characters, or one item
+    for part in blocks(benchmark, item, item_text, block_chars, width):
+        # about block_chars characters
         listed = spark.sparkContext.broadcast([(r["item"], r["text"]) for r in part.collect()])
         rows = rows.mapInArrow(_pass(listed, uuid.uuid4().hex, text, width), schema)
     hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
