@@ -13,6 +13,7 @@ from trialbook.llm import (
     decontamination,
     fingerprints,
     line_dedup,
+    merkle,
     pii,
     quality,
     secret_scan,
@@ -179,3 +180,56 @@ FROM k
 def _line_dedup(spark, folder):
     found = line_dedup.drop_boilerplate(table(spark, folder, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+def _hashed_field(name: str) -> str:
+    return f"coalesce(octet_length(encode({name}::VARCHAR))::VARCHAR || ':' || {name}::VARCHAR, '-')"
+
+
+_HEAD = " || ".join(map(_hashed_field, ("doc_id", "source", "lang")))
+_TAIL = _hashed_field("text")
+
+MANIFEST_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT *, row_number() OVER () AS row, xor(list_reduce(
+      list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) AS crc
+  FROM documents),
+l AS (
+  SELECT row, doc_id, lang, crc % 7 = 0 AS tampered, head, tail, coalesce(octet_length(encode(n_chars::VARCHAR))::VARCHAR || ':' || n_chars::VARCHAR, '-') AS own,
+         coalesce(octet_length(encode((n_chars + 1)::VARCHAR))::VARCHAR || ':' || (n_chars + 1)::VARCHAR, '-') AS other
+  FROM (SELECT *, {_HEAD} AS head, {_TAIL} AS tail FROM d)),
+leaves AS (
+  SELECT row, doc_id, lang, sha256(head || own || tail) AS leaf, CASE WHEN tampered THEN sha256(head || other || tail) ELSE sha256(head || own || tail) END AS claimed FROM l),
+trees AS (
+  SELECT lang, 0 AS level, list(leaf ORDER BY doc_id NULLS FIRST, leaf) AS nodes FROM leaves GROUP BY lang
+  UNION ALL
+  SELECT lang, level + 1, list_transform(range(0, len(nodes), 2), lambda i: sha256(nodes[i + 1] || coalesce(nodes[i + 2], ''))) FROM trees WHERE len(nodes) > 1),
+subroots AS (SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS spot FROM trees WHERE len(nodes) = 1),
+top AS (
+  SELECT 0 AS level, list(subroot ORDER BY spot) AS nodes FROM subroots HAVING count(*) > 0
+  UNION ALL
+  SELECT level + 1, list_transform(range(0, len(nodes), 2), lambda i: sha256(nodes[i + 1] || coalesce(nodes[i + 2], ''))) FROM top WHERE len(nodes) > 1),
+placed AS (
+  SELECT leaves.*, subroot, subroots.spot AS group_spot, row_number() OVER (PARTITION BY leaves.lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS spot
+  FROM leaves JOIN subroots ON leaves.lang IS NOT DISTINCT FROM subroots.lang),
+runs AS (
+  SELECT row, 0 AS part, level, placed.spot >> level AS i, nodes FROM placed JOIN trees ON placed.lang IS NOT DISTINCT FROM trees.lang AND len(nodes) > 1
+  UNION ALL
+  SELECT row, 1, level, group_spot >> level, nodes FROM placed JOIN top ON len(nodes) > 1),
+steps AS (
+  SELECT row, row_number() OVER (PARTITION BY row ORDER BY part, level) AS step, i % 2 = 0 AS is_left, coalesce(nodes[xor(i, 1) + 1], '') AS other FROM runs),
+folded AS (
+  SELECT row, 0 AS step, claimed AS node FROM placed
+  UNION ALL
+  SELECT folded.row, steps.step, sha256(CASE WHEN is_left THEN node || other ELSE other || node END) FROM folded JOIN steps ON steps.row = folded.row AND steps.step = folded.step + 1),
+ends AS (SELECT row, max_by(node, step) AS folded_root FROM folded GROUP BY row),
+proofs AS (SELECT row, string_agg(other, '' ORDER BY step) AS proof FROM steps GROUP BY row)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM placed JOIN ends USING (row) LEFT JOIN proofs USING (row), (SELECT nodes[1] AS root FROM top WHERE len(nodes) = 1)
+"""
+
+
+@query("op11_merkle_manifest", MANIFEST_SQL)
+def _manifest(spark, folder):
+    return merkle.tampered_proofs(table(spark, folder, "documents"))
