@@ -74,7 +74,7 @@ def _with_levels(pivot: DataFrame, fanout: int, depth: int) -> DataFrame:
 
 
 def climb(nodes: DataFrame, by: list[str], carried: list[str], fanout: int = FANOUT, depth: int = DEPTH) -> tuple[list[DataFrame], DataFrame]:
-    """The written pivots of all passes, lowest first, and the (by, node) that are left.
+    """The written pivots of all passes, lowest first, and the (by, at, node) that are left.
 
     ``nodes``: by, at (from 0), of (nodes of the group), node, and columns to carry in the slots
     of the first pass. A group of one node goes through unchanged.
@@ -92,19 +92,18 @@ def climb(nodes: DataFrame, by: list[str], carried: list[str], fanout: int = FAN
         nodes = _with_levels(pivot, fanout, depth).select(*by, "at", _counts(fanout, depth)[depth].alias("of"), left)
         most, carried = -(-most // span), []
         if most <= 1:
-            return passes, nodes.select(*by, "node")
+            return passes, nodes.select(*by, "at", "node")
 
 
 def descend(passes: list[DataFrame], by: list[str], tops: DataFrame, fanout: int = FANOUT, depth: int = DEPTH) -> DataFrame:
-    """One row for each lowest node: by, its slot's fields, and the other columns of ``tops``,
-    whose ``proof`` (by group) is continued downwards.
+    """One row for each lowest node: by, its slot's fields, and the other columns of ``tops``
+    (one row a group, ``at`` 0), whose ``proof`` is continued downwards.
 
     ``proof``: an array from the lowest level to the root of (before, after), the digests of the
     run on both sides of the node; both are empty where the node is the only one of its run.
     """
     span, counts = fanout**depth, _counts(fanout, depth)
-    rest = [c for c in tops.columns if c not in (*by, "proof")]
-    rows = tops.withColumn("at", F.lit(0).cast("long"))
+    rest, rows = [c for c in tops.columns if c not in (*by, "at", "proof")], tops
 
     def step(level: int) -> Column:
         """The rest of the run of slot ``_k``'s ancestor at a level."""
@@ -168,11 +167,11 @@ def manifest(
     placed = positions(pin(rows), ["group"], ["key", "node", "claimed", "row"], out="place")
     nodes = placed.select("group", "key", "claimed", "node", (F.col("place") - 1).alias("at"), F.col("place_total").alias("of"))
     passes, subroots = climb(nodes, ["group"], ["key", "claimed"], fanout, depth)
-    ordered = positions(pin(subroots), [], ["group", "node"], out="place")
+    ordered = positions(pin(subroots.drop("at")), [], ["group", "node"], out="place")
     ordered = ordered.select("group", "node", (F.col("place") - 1).alias("at"), F.col("place_total").alias("of"))
     above, root = climb(ordered, [], ["group"], fanout, depth)
-    start = root.select(F.col("node").alias("root"), F.array().cast("array<struct<before:string,after:string>>").alias("proof"))
-    of_groups = descend(above, [], start, fanout, depth).withColumnRenamed("node", "subroot")
+    start = root.select("at", F.col("node").alias("root"), F.array().cast("array<struct<before:string,after:string>>").alias("proof"))
+    of_groups = descend(above, [], start, fanout, depth).withColumnRenamed("node", "subroot").withColumn("at", F.lit(0).cast("long"))
     found = descend(passes, ["group"], of_groups, fanout, depth)
     folded = found.withColumn("folded_root", fold(F.coalesce("claimed", "node"), F.col("proof")))
     return folded.select(

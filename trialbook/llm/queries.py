@@ -12,6 +12,7 @@ from trialbook.llm import (
     bpe,
     decontamination,
     fingerprints,
+    licenses,
     line_dedup,
     merkle,
     pii,
@@ -233,3 +234,59 @@ FROM placed JOIN ends USING (row) LEFT JOIN proofs USING (row), (SELECT nodes[1]
 @query("op11_merkle_manifest", MANIFEST_SQL)
 def _manifest(spark, folder):
     return merkle.tampered_proofs(table(spark, folder, "documents"))
+
+
+def _licenses_sql() -> str:
+    """Templates as tables; starts of the looked-up words are grouped, and complete groups kept."""
+    templates = licenses.BASE + licenses.MORE
+    words, phrases = [], []
+    for t, template in enumerate(templates):
+        own = licenses.split(template.text)
+        words += [f"({t}, {p}, '{w}')" for p, w in enumerate(own)]
+        for phrase in template.phrases:
+            n = len(licenses.split(phrase))
+            at = next(i for i in range(len(own)) if " ".join(own[i : i + n]) == phrase)
+            phrases.append(f"({t}, {at}, {n}, '{phrase}')")
+    labels = ", ".join(f"({t}, '{x.label}', {x.base})" for t, x in enumerate(templates))
+    return f"""
+WITH tw(t, p, w) AS (VALUES {", ".join(words)}),
+tp(t, p, n, phrase) AS (VALUES {", ".join(phrases)}),
+tl(t, label, base) AS (VALUES {labels}),
+d AS (SELECT doc_id, row_number() OVER () AS row, coalesce({WORD_SQL}, []) AS w FROM documents),
+s AS (SELECT row, unnest(w) AS w, unnest(range(len(w))) AS i FROM d),
+v AS (SELECT s.row, s.w, s.i FROM s JOIN (SELECT DISTINCT w FROM tw) USING (w)),
+df AS (SELECT w, count(DISTINCT row) AS n FROM v GROUP BY w),
+idf AS (
+  SELECT t, p, tw.w, coalesce(n, 0) AS n, CAST(round(1000000 * ln(1 + (SELECT count(*) FROM d) / greatest(coalesce(n, 0), 1)::DOUBLE)) AS BIGINT) AS weight
+  FROM tw LEFT JOIN df USING (w)),
+rare AS (
+  SELECT t, w, p, k, least(2, count(*) OVER (PARTITION BY t)) AS least_n
+  FROM (SELECT t, w, min(p) AS p, row_number() OVER (PARTITION BY t ORDER BY min(n), -length(w), min(p)) AS k FROM idf GROUP BY t, w)
+  WHERE k <= {licenses.INDEXED}),
+have AS (
+  SELECT row, t, w, p, least_n, row_number() OVER (PARTITION BY row, t ORDER BY k) AS place
+  FROM rare JOIN (SELECT DISTINCT row, w FROM v) USING (w)),
+looked AS (SELECT *, count(*) OVER (PARTITION BY row, t) AS n FROM have WHERE place <= {licenses.LOOKED}),
+starts AS (
+  SELECT v.row, t, i - p AS start_ FROM looked JOIN v ON v.row = looked.row AND v.w = looked.w
+  WHERE n >= least_n GROUP BY v.row, t, i - p, n HAVING count(*) = n),
+verified AS (
+  SELECT row, t, start_, bool_and(start_ + p >= 0 AND array_to_string(d.w[start_ + p + 1 : start_ + p + n], ' ') = phrase) AS ok
+  FROM starts JOIN tp USING (t) JOIN d USING (row) GROUP BY row, t, start_),
+shares AS (
+  SELECT row, t, start_, sum(CASE WHEN start_ + p >= 0 AND d.w[start_ + p + 1] = idf.w THEN weight ELSE 0 END)::DOUBLE / sum(weight)::DOUBLE AS share
+  FROM starts JOIN idf USING (t) JOIN d USING (row) GROUP BY row, t, start_),
+f AS (
+  SELECT row, count(*) FILTER (ok AND base) AS n_base, min(start_) FILTER (ok AND base) AS first_word, max(start_) FILTER (ok AND base) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (ok AND base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (ok) AS labels,
+         max(CASE WHEN ok THEN share ELSE share / 2 END) AS score
+  FROM verified JOIN shares USING (row, t, start_) JOIN tl USING (t) GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN f USING (row)
+"""
+
+
+@query("op12_license_scan", _licenses_sql())
+def _license_scan(spark, folder):
+    return licenses.scan(table(spark, folder, "documents"))
