@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from trialbook.llm import (
     bpe,
+    collocations,
     decontamination,
     fingerprints,
     licenses,
@@ -290,3 +291,34 @@ FROM d LEFT JOIN f USING (row)
 @query("op12_license_scan", _licenses_sql())
 def _license_scan(spark, folder):
     return licenses.scan(table(spark, folder, "documents"))
+
+
+COLLOCATIONS_SQL = f"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+g AS (SELECT lang, size, w, unnest(range(len(w) - size + 1)) AS i FROM w, range(1, 4) AS s(size) WHERE len(w) >= size),
+f AS (SELECT lang, size, w[i + 1 : i + size] AS words, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, size, words, f AS a FROM f WHERE size > 1 AND f >= {collocations.THRESHOLD}),
+cuts AS (
+  SELECT c.lang, c.words, a, k, l.f AS l, r.f AS r, (1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM c) AS c
+  JOIN f AS l ON l.lang = c.lang AND l.words = c.words[1:k] JOIN f AS r ON r.lang = c.lang AND r.words = c.words[k + 1 :]),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1),
+over AS (
+  SELECT lang, words, max(a) AS longer
+  FROM (SELECT lang, words[1:2] AS words, a FROM c WHERE size = 3 UNION ALL SELECT lang, words[2:3], a FROM c WHERE size = 3) GROUP BY lang, words),
+k AS (
+  SELECT b.lang, array_to_string(b.words, ' ') AS phrase, a, l, r, score
+  FROM best AS b LEFT JOIN over AS o ON o.lang = b.lang AND o.words = b.words WHERE longer IS NULL OR 100 * longer < {collocations.CONTAINED} * a)
+SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM k JOIN n USING (lang) QUALIFY rank <= {collocations.FIRST}
+"""
+
+
+@query("op13_collocations", COLLOCATIONS_SQL)
+def _collocations(spark, folder):
+    return collocations.collocations(table(spark, folder, "documents"))
