@@ -39,10 +39,10 @@ UNKNOWN = "und"
 BITMAP = 27
 #: Bytes of the table for one hash partition, and the least and most number of partitions.
 PARTITION_BYTES, LEAST_PARTITIONS, MOST_PARTITIONS = 64 << 20, 64, 1 << 20
-#: A task hands its counts on beyond so many different n-grams, and forgets its words beyond so many.
-HELD, VOCABULARY = 1 << 21, 1 << 20  # the numbers of three words fill 60 bits
-#: Bytes of text cut into words at once, and n-grams sorted at once.
-BLOCK, BUFFER = 1 << 20, 1 << 21
+#: A task hands its counts on beyond so many different n-grams, occurrences or words.
+HELD, OCCURRENCES, WORDS = 1 << 20, 1 << 30, 1 << 18
+#: Bytes of text cut into words at once (half as many words at most), and n-grams sorted at once.
+BLOCK, BUFFER = 1 << 18, 1 << 20
 
 _SPACE, _BORDER = 0, 1
 _FOLD = bytes.maketrans(
@@ -70,32 +70,37 @@ class Counts:
     """Exact counts of words and n-grams (of two and three words) of a part of the texts.
 
     A word has a number below 2^20 within the part, so that an n-gram is one 64-bit number and
-    equal numbers are equal n-grams of one language.
+    equal numbers are equal n-grams of one language. With ``marks``, a packed bitmap, only n-grams
+    whose bit is set are kept.
     """
 
-    def __init__(self):
+    def __init__(self, marks: np.ndarray | None = None):
+        self.marks = marks
         self.forget()
 
     def forget(self) -> None:
         self.numbers: dict[str, dict[bytes, int]] = {}
         self.words: list[bytes] = [b"", b"\n"]
         self.langs: list[str] = ["", ""]
+        self.hashed: list[int] = [0, 0]
         self.reset()
 
     def reset(self) -> None:
         self.single = np.zeros(0, np.int64)
         self.pending: list[np.ndarray] = []
-        self.waiting = 0
+        self.waiting = self.mass = 0
         self.keys, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def add(self, lang: str, block: bytes, before: list[bytes]) -> list[bytes]:
         """Counts a block of a folded text behind the words ``before``, and returns its last two."""
         known = self.numbers.setdefault(lang, {b"": _SPACE, b"\n": _BORDER})
         words = [*before, *filter(None, block.replace(b"\n", b" \n ").split(b" "))]
+        seed = xxhash.xxh64_intdigest(lang.encode())
         for word in set(words).difference(known):
             known[word] = len(self.words)
             self.words.append(word)
             self.langs.append(lang)
+            self.hashed.append(xxhash.xxh64_intdigest(word, seed))
         ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         self._count(ids[len(before) :])
         self._pairs(ids, len(before))
@@ -124,28 +129,29 @@ class Counts:
         """Put the waiting n-grams to the sorted counts."""
         if self.pending:
             keys, n = np.unique(np.concatenate(self.pending), return_counts=True)
-            self.keys, self.n = added([self.keys, keys], [self.n, n])
+            self.mass += self.waiting
             self.pending, self.waiting = [], 0
+            if self.marks is not None:
+                place = self.hashes(keys) >> np.uint64(64 - BITMAP)
+                bit = self.marks[(place >> np.uint64(3)).astype(np.int64)] >> (7 - (place & np.uint64(7)).astype(np.uint8)) & 1
+                keys, n = keys[bit == 1], n[bit == 1]
+            self.keys, self.n = added([self.keys, keys], [self.n, n])
 
     def full(self) -> bool:
-        return len(self.keys) > HELD or self.crowded()
+        return len(self.keys) > HELD or self.mass > OCCURRENCES or self.crowded()
 
     def crowded(self) -> bool:
-        """Whether a further block may have more new words than there are numbers left."""
-        return len(self.words) > VOCABULARY - BLOCK // 2 - 4
+        return len(self.words) > WORDS
 
-    def parts(self) -> np.ndarray:
+    def parts(self, keys: np.ndarray) -> np.ndarray:
         """Numbers of the three words of each n-gram; the first is 0 for two words."""
         low = (1 << 20) - 1
-        return np.stack([self.keys >> 40, self.keys >> 20 & low, self.keys & low])
+        return np.stack([keys >> 40, keys >> 20 & low, keys & low])
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, keys: np.ndarray) -> np.ndarray:
         """A 64-bit hash of each n-gram with its language."""
-        digest = xxhash.xxh64_intdigest
-        of_lang = {lang: digest(lang.encode()) for lang in self.numbers}
-        of_word = np.fromiter((digest(w, of_lang.get(g, 0)) for w, g in zip(self.words, self.langs)), np.uint64, len(self.words))
-        of_word[0] = 0
-        a, b, c = (of_word[x] for x in self.parts())
+        of_word = np.array(self.hashed, np.uint64)
+        a, b, c = (of_word[x] for x in self.parts(keys))
         return _mixed(_mixed(_mixed(a) + b) + c)
 
 
@@ -170,7 +176,7 @@ class Summary:
 
     def __init__(self, mass: int, threshold: int):
         self.capacity = mass // threshold + 1
-        self.keys, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.keys, self.n = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         self.more: list[tuple[np.ndarray, np.ndarray]] = []
         self.waiting = 0
 
@@ -195,10 +201,10 @@ class Summary:
 SUMMARY = "part int, kind int, mass long, keys binary, counts binary"
 
 
-def _counted(batches, emit):
+def _counted(batches, emit, marks=None):
     """Runs the texts of (lang, text) batches through one ``Counts`` and yields what ``emit``
-    makes of it whenever it is full."""
-    counts = Counts()
+    makes of it whenever it is full. ``marks``: a broadcast bitmap."""
+    counts = Counts(marks and marks.value)
     for batch in slices(batches):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             before: list[bytes] = []
@@ -217,11 +223,13 @@ def _summaries(batches, bits: int):
     """Rows of SUMMARY: of each hash partition the mass (kind 0) and the counts (kind 1)."""
 
     def emit(counts: Counts):
-        hashes = counts.hashes()
+        hashes = counts.hashes(counts.keys)
         order = np.argsort(hashes)
-        hashes, n = hashes[order], counts.n[order]
+        hashes, n = hashes[order], counts.n[order].astype(np.uint32)
         cuts = np.searchsorted(hashes, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
         ends = [0, *cuts.tolist(), len(hashes)]
+        # the 32 bits behind those of the partition; n-grams that share them count as one
+        hashes = (hashes >> np.uint64(32 - bits)).astype(np.uint32)
         rows = []
         for part in range(1 << bits):
             at, end = ends[part], ends[part + 1]
@@ -252,7 +260,7 @@ def _survivors(batches, bits: int, threshold: int):
     def marked(part: int, summary: Summary) -> pa.RecordBatch:
         summary.settle()
         flags = np.zeros(stretch, bool)
-        flags[(summary.keys >> np.uint64(64 - BITMAP)).astype(np.int64) - part * stretch] = True
+        flags[summary.keys >> np.uint32(32 - BITMAP + bits)] = True
         return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(flags).tobytes()], pa.binary())], names=["part", "bits"])
 
     part, mass, summary = None, 0, None
@@ -267,7 +275,7 @@ def _survivors(batches, bits: int, threshold: int):
                 mass += more
                 continue
             summary = summary or Summary(mass, threshold)
-            summary.merge(np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int64))
+            summary.merge(np.frombuffer(keys, np.uint32), np.frombuffer(counts, np.uint32).astype(np.int64))
     if summary is not None:
         yield marked(part, summary)
 
@@ -298,10 +306,7 @@ def phrase_counts(texts: DataFrame, threshold: int) -> DataFrame:
     held = texts.sparkSession.sparkContext.broadcast(bitmap(texts, threshold))
 
     def emit(counts: Counts):
-        marks = held.value
-        places = counts.hashes() >> np.uint64(64 - BITMAP)
-        kept = np.flatnonzero(marks[(places >> np.uint64(3)).astype(np.int64)] >> (7 - (places & np.uint64(7)).astype(np.uint8)) & 1)
-        first, second, third = counts.parts()[:, kept]
+        first, second, third = counts.parts(counts.keys)
         langs, words = counts.langs, counts.words
         used = np.flatnonzero(counts.single)
         used = used[used > _BORDER]
@@ -312,11 +317,11 @@ def phrase_counts(texts: DataFrame, threshold: int) -> DataFrame:
         rows += [(langs[i], 1, words[i], n) for i, n in zip(used.tolist(), counts.single[used].tolist())]
         for at in range(0, len(rows), 1 << 14):
             yield listed(rows[at : at + (1 << 14)])
-        for at in range(0, len(kept), 1 << 14):
+        for at in range(0, len(counts.keys), 1 << 14):
             some = slice(at, at + (1 << 14))
             rows = [
                 (langs[c], 3 if a else 2, words[a] + b" " + words[b] + b" " + words[c] if a else words[b] + b" " + words[c], n)
-                for a, b, c, n in zip(first[some].tolist(), second[some].tolist(), third[some].tolist(), counts.n[kept[some]].tolist())
+                for a, b, c, n in zip(first[some].tolist(), second[some].tolist(), third[some].tolist(), counts.n[some].tolist())
             ]
             yield listed(rows)
 
@@ -327,7 +332,7 @@ def phrase_counts(texts: DataFrame, threshold: int) -> DataFrame:
             names=["lang", "size", "phrase", "f"],
         )
 
-    found = texts.mapInArrow(partial(_counted, emit=emit), PHRASES)
+    found = texts.mapInArrow(partial(_counted, emit=emit, marks=held), PHRASES)
     summed = found.groupBy("lang", "size", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("f").alias("f"))
     return pin(summed.where((F.col("f") >= threshold) | (F.col("size") == 0)))
 
