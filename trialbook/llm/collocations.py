@@ -5,10 +5,11 @@ First pass. Each task counts the n-grams of its texts exactly in a summary of bo
 hands it on, split by hash partition, whenever it is full; a summary comes with its mass (the
 occurrences it stands for). The summaries of a hash partition are merged as Misra-Gries
 summaries: they are added up, and what is over the capacity is cut by the count of the first
-n-gram beyond it. The capacity is over the partition's mass divided by the threshold, so all cuts
-together take less than the threshold from an n-gram, and every one that occurs that often
-survives; a partition holds at most mass / threshold counters. The masses are sorted before the
-summaries of their partition, so the capacity is known when the first summary is merged.
+n-gram beyond it. The capacity is over the partition's mass divided by the threshold (``ROOM``
+times that), so all cuts together take less than the threshold from an n-gram, and every one that
+occurs that often survives. An n-gram occurs at most as often as its counter and the cuts tell,
+so of the survivors those below the threshold by that bound are left out too. The masses are
+sorted before the summaries of their partition, so the capacity is known from the first one on.
 
 The survivors mark the bits of a bitmap of fixed size by their hash; a hash partition is a range
 of hashes and fills its own stretch.
@@ -37,8 +38,10 @@ THRESHOLD, CONTAINED, FIRST = 10, 50, 2000
 UNKNOWN = "und"
 #: Bits of the bitmap, as a power of two: 16 MiB whatever the corpus.
 BITMAP = 27
+#: Capacity of a summary, in masses divided by the threshold.
+ROOM = 2
 #: Bytes of the table for one hash partition, and the least and most number of partitions.
-PARTITION_BYTES, LEAST_PARTITIONS, MOST_PARTITIONS = 64 << 20, 64, 1 << 20
+PARTITION_BYTES, LEAST_PARTITIONS, MOST_PARTITIONS = 32 << 20, 64, 1 << 20
 #: A task hands its counts on beyond so many different n-grams, occurrences or words.
 HELD, OCCURRENCES, WORDS = 1 << 20, 1 << 30, 1 << 18
 #: Bytes of text cut into words at once (half as many words at most), and n-grams sorted at once.
@@ -171,11 +174,12 @@ def added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
 
 
 class Summary:
-    """A Misra-Gries summary of a hash partition with known mass: counts that are too low by less
-    than ``threshold`` in all, of at most mass / threshold + 1 keys between merges."""
+    """A Misra-Gries summary of a hash partition with known mass: counts that are too low by
+    ``cut`` at most, which stays below ``threshold``, of at most ``capacity`` keys between merges."""
 
     def __init__(self, mass: int, threshold: int):
-        self.capacity = mass // threshold + 1
+        self.threshold, self.cut = threshold, 0
+        self.capacity = ROOM * mass // threshold + 1
         self.keys, self.n = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         self.more: list[tuple[np.ndarray, np.ndarray]] = []
         self.waiting = 0
@@ -194,8 +198,14 @@ class Summary:
         over = len(self.keys) - self.capacity
         if over > 0:
             # the largest count beyond the capacity; capacity + 1 counters lose that much each
-            left = self.n - np.partition(self.n, over - 1)[over - 1]
-            self.keys, self.n = self.keys[left > 0], left[left > 0]
+            most = int(np.partition(self.n, over - 1)[over - 1])
+            kept = self.n > most
+            self.keys, self.n, self.cut = self.keys[kept], self.n[kept] - most, self.cut + most
+
+    def frequent(self) -> np.ndarray:
+        """The keys that may have occurred ``threshold`` times."""
+        self.settle()
+        return self.keys[self.n + self.cut >= self.threshold]
 
 
 SUMMARY = "part int, kind int, mass long, keys binary, counts binary"
@@ -258,9 +268,8 @@ def _survivors(batches, bits: int, threshold: int):
     stretch = 1 << (BITMAP - bits)
 
     def marked(part: int, summary: Summary) -> pa.RecordBatch:
-        summary.settle()
         flags = np.zeros(stretch, bool)
-        flags[summary.keys >> np.uint32(32 - BITMAP + bits)] = True
+        flags[summary.frequent() >> np.uint32(32 - BITMAP + bits)] = True
         return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(flags).tobytes()], pa.binary())], names=["part", "bits"])
 
     part, mass, summary = None, 0, None
