@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,16 +66,49 @@ def clear_pinned(spark: SparkSession) -> int:
     return done
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the tables pinned inside when it ends, but for those pinned with the function it yields."""
+    start, kept = len(_pinned), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        df = pin(df)
+        kept.append(_pinned[-1])
+        return df
+
+    try:
+        yield keep
+    finally:
+        for path in set(_pinned[start:]).difference(kept):
+            remove(spark, path)
+        _pinned[start:] = kept
+
+
+@contextmanager
+def released_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries set up and run inside delete their shuffle files as soon as they have ended; a
+    stage that is needed once more is run again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def pin(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
     Later stages then read equal rows whatever is recomputed or lost, take only the
-    columns they need, and the planner knows the size of what it reads.
+    columns they need, and the planner knows the size of what it reads. The shuffle files
+    of the write are deleted with its end.
     """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/pinned-{uuid.uuid4().hex}"
     _pinned.append(path)
-    df.write.partitionBy(*(partition_by or [])).parquet(path)
+    with released_shuffles(spark):
+        df.write.partitionBy(*(partition_by or [])).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
 
 
