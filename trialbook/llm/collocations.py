@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from trialbook.llm.arrow import slices
 from trialbook.operators.attach import attach, planned_bytes
 from trialbook.operators.ordering import top_n
-from trialbook.session import pin
+from trialbook.session import pin, released_shuffles
 
 THRESHOLD, CONTAINED, FIRST = 10, 50, 2000
 UNKNOWN = "und"
@@ -297,11 +297,12 @@ def bitmap(texts: DataFrame, threshold: int) -> np.ndarray:
     found = texts.mapInArrow(partial(_summaries, bits=bits), SUMMARY)
     least = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = found.repartition(min(1 << bits, max(least, 64)), "part").sortWithinPartitions("part", "kind")
-    stretches = dealt.mapInArrow(partial(_survivors, bits=bits, threshold=threshold), "part int, bits binary")
+    with released_shuffles(texts.sparkSession):
+        stretches = dealt.mapInArrow(partial(_survivors, bits=bits, threshold=threshold), "part int, bits binary").collect()
     # 16 MiB in all, however many rows and n-grams there are
     whole = np.zeros(1 << (BITMAP - 3), np.uint8)
     size = len(whole) >> bits
-    for row in stretches.collect():
+    for row in stretches:
         whole[row["part"] * size : (row["part"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
     return whole
 

@@ -31,7 +31,7 @@ from trialbook.llm import resemblance
 from trialbook.llm.arrow import slices
 from trialbook.llm.components import components
 from trialbook.operators.attach import attach
-from trialbook.session import pin
+from trialbook.session import pin, scratch
 
 WIDTHS = (22, 21, 21)
 #: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 makes the code.
@@ -189,18 +189,19 @@ def keep_one(docs: DataFrame, bucket: int = BUCKET, similarity: float | None = N
     doc_id. Groups are those of ``near_groups``, or with ``similarity`` those of five-word
     shingle sets whose Jaccard similarity is at least that. A row without doc_id stays only if no row of its group has one; of rows equal in
     doc_id and text one stays. An empty table gives no rows."""
-    if similarity is None:
-        rows = grouped(docs, "doc_id", "text", bucket)
-    else:
-        rows = resemblance.grouped(docs, "doc_id", "text", similarity, bucket)
-    first = rows.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("no"), "doc_id", "text_hash")).alias("k"))
     # one shuffle of the texts serves the choice and the removal of repeated rows
     place = ["_id", "_none", "_hash"]
 
     def placed(ident, hashed) -> list:
         return [F.coalesce(ident.cast("string"), F.lit("")).alias("_id"), ident.isNull().alias("_none"), hashed.alias("_hash")]
 
-    kept = first.select(*placed(F.col("k.doc_id"), F.col("k.text_hash"))).distinct()
+    with scratch(docs.sparkSession) as keep:
+        if similarity is None:
+            rows = grouped(docs, "doc_id", "text", bucket)
+        else:
+            rows = resemblance.grouped(docs, "doc_id", "text", similarity, bucket)
+        first = rows.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("no"), "doc_id", "text_hash")).alias("k"))
+        kept = keep(first.select(*placed(F.col("k.doc_id"), F.col("k.text_hash"))).distinct())
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     found = docs.select(*placed(F.col("doc_id"), F.xxhash64("text")), row).join(kept, place, "left_semi")
     return found.groupBy(*place).agg(F.first("_row").alias("_row")).select("_row.*")
