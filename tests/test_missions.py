@@ -185,22 +185,47 @@ def test_rectangles_and_circles(spark):
     assert dict(rows(spatial.floor_color(p, c, r, "run_id", ["i"]), "i", "color")) == color
 
 
-@pytest.mark.parametrize("cell", [None, 0.4, 50.0])
-def test_nearest(spark, cell):
+@pytest.mark.parametrize("leaf", [1, 4, 32])
+def test_nearest(spark, leaf):
     rng = random.Random(4)
     points = [("r" if i % 3 else "s", i, rng.uniform(-9, 9), rng.uniform(-2, 2)) for i in range(150)] + [("lonely", 999, 0.0, 0.0), ("r", 998, None, 0.0), ("r", 997, 0.0, float("inf"))]
     targets = [("r" if j % 3 else "s", j, round(rng.uniform(-2, 2), 1), round(rng.uniform(-2, 2), 1)) for j in range(40)]
-    targets += [("r", 500, None, 1.0)]
+    # far away, and a crowd much closer together than the others
+    targets += [("r", 500, None, 1.0), ("r", 501, 1e7, -1e7), ("s", 502, -1e9, 0.0)]
+    targets += [("s", 600 + j, 1.0 + j * 1e-9, 1.0) for j in range(20)]
     targets += [(r, j + 100, x, y) for r, j, x, y in targets[:5]]
     p = spark.createDataFrame(points, "run_id string, i int, x double, y double")
     t = spark.createDataFrame(targets, "run_id string, idx int, x double, y double")
-    got = {i: (idx, d) for i, idx, d in rows(spatial.nearest(p, t, "run_id", ["i"], cell), "i", "idx", "dist")}
+    got = {i: (idx, d) for i, idx, d in rows(spatial.nearest(p, t, "run_id", ["i"], leaf), "i", "idx", "dist")}
     assert got.pop(999) == got.pop(998) == got.pop(997) == (None, None)
     for run, i, x, y in points[:-3]:
         best = min((math.sqrt((x - a) ** 2 + (y - b) ** 2), j) for q, j, a, b in targets if q == run and a is not None)
         assert got[i][0] == best[1] and got[i][1] == pytest.approx(best[0])
 
 
+@pytest.mark.parametrize("chunk_rows", [1, 7, 100_000])
+def test_tracks_over_stretches(spark, chunk_rows):
+    rng = random.Random(11)
+    data = [
+        (clip, frame, det, rng.uniform(0, 90), rng.uniform(0, 30))
+        for clip, frames in (("a", 40), ("b", 3), ("c", 25))
+        for frame in range(frames)
+        for det in range(rng.randint(1, 6))
+        if not (clip == "c" and frame == 17)
+    ]
+    got = rows(tracks.link_tracks(spark.createDataFrame(data, "clip string, frame long, det int, x double, y double"), chunk_rows=chunk_rows), "clip", "frame", "det")
+    want = []
+    for clip in "abc":
+        at = next((r for r in data if r[:3] == (clip, 0, 0)), None)
+        while at:
+            near = [(math.hypot(r[3] - at[3], r[4] - at[4]), r) for r in data if r[0] == clip and r[1] == at[1] + 1]
+            near = [x for x in near if x[0] < 50.0]
+            at = min(near, key=lambda x: (x[0], x[1][2]))[1] if near else None
+            if at:
+                want.append(at[:3])
+    assert got == sorted(want)
+
+
 def test_track(spark):
     data = [("c", 0, 0, 0, 0), ("c", 1, 0, 10, 0), ("c", 1, 1, 30, 0), ("c", 2, 0, 80, 0), ("c", 3, 0, 12, 0)]
     df = spark.createDataFrame([(c, f, d, float(x), float(y)) for c, f, d, x, y in data], "clip string, frame int, det int, x double, y double")

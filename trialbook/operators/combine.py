@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialbook.operators.ordering import positions
+from trialbook.session import pin
 
 
 def attach_controllers(scenarios: DataFrame, controllers: DataFrame, key: str = "scenario_id") -> DataFrame:
@@ -63,3 +64,9 @@ def concat(*parts: DataFrame) -> DataFrame:
 
 def tagged_union(parts: dict[str, DataFrame], tag: str = "Dataset") -> DataFrame:
     return concat(*[df.withColumn(tag, F.lit(name)) for name, df in parts.items()])
+
+
+def by_position(df: DataFrame, position: Column, name: str = "dataset_position") -> DataFrame:
+    """Epochs stored by their position: written once, a folder for each position, and read in one
+    scan that takes the position from the folder, so a filter on it reads only its epochs."""
+    return pin(df.withColumn(name, position), [name])

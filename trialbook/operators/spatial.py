@@ -4,7 +4,8 @@ Each area is listed under the cells of a grid whose cell size fits it (the power
 its extent up), so it lies in four cells at most, however large it is; each point is listed
 under its cell in every grid in use. An inequality join becomes a join on (run, grid, cell)
 that spreads one busy run over all of its cells. The listed areas are measured before they
-are broadcast. Areas and points with a coordinate that is NULL, NaN or infinite meet nothing.
+are broadcast. Nearest targets are searched down a tree of boxes that refines itself where the
+targets are. Areas and points with a coordinate that is NULL, NaN or infinite meet nothing.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialbook.operators.attach import attach
@@ -177,72 +178,94 @@ def floor_color(
     return rows.select(run, *key, "x", "y", color.alias("color"))
 
 
+#: Targets in a leaf of the tree, cuts of a box along each axis, and levels below the root.
+LEAF, CUTS, LEVELS = 32, 4, 15
+BOX = ["x0", "x1", "y0", "y1"]
+
+
+def _boxes(targets: DataFrame, run: str) -> DataFrame:
+    """One row per (run, node): its targets' number and bounding box."""
+    ends = [f(c).alias(f"{c}{k}") for c in "xy" for k, f in enumerate((F.min, F.max))]
+    return targets.groupBy(run, "node").agg(F.count(F.lit(1)).alias("n"), *ends)
+
+
+def _tree(targets: DataFrame, run: str, leaf: int) -> tuple[list[DataFrame], DataFrame]:
+    """The nodes of each level below the root (run, node, parent, leaf, box), and the targets
+    with their leaf. A node of more than ``leaf`` targets is cut into equal cells of the bounding
+    box of its own targets, so one far target costs one level and not one for each doubling."""
+    levels, settled = [], []
+    active = targets.withColumn("node", F.lit(1).cast("long"))
+    for level in range(LEVELS + 1):
+        active = pin(active)
+        boxes = pin(_boxes(active, run))
+        width = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+        ends = (F.col("n") <= leaf) | (width <= 0) if level < LEVELS else F.lit(True)
+        boxes = boxes.withColumn("leaf", ends)
+        parent = F.floor(F.col("node") / F.lit(CUTS * CUTS)).cast("long")
+        levels.append(boxes.select(run, "node", parent.alias("parent"), "leaf", *BOX))
+        placed = attach(active, boxes.select(run, "node", "leaf", *BOX), [run, "node"], how="inner")
+        settled.append(placed.filter("leaf").select(*active.columns))
+
+        def cut(c: str, low: str) -> Column:
+            return F.least(F.floor((F.col(c) - F.col(low)) / width * CUTS), F.lit(CUTS - 1))
+
+        child = F.col("node") * (CUTS * CUTS) + cut("x", "x0") * CUTS + cut("y", "y0")
+        active = placed.filter(~F.col("leaf")).select(*targets.columns, child.cast("long").alias("node"))
+        if boxes.filter(~F.col("leaf")).isEmpty():
+            break
+    return levels, reduce(DataFrame.unionByName, settled)
+
+
 def nearest(
     points: DataFrame,
     targets: DataFrame,
     run: str,
     key: list[str],
-    cell: float | None = None,
+    leaf: int = LEAF,
 ) -> DataFrame:
     """Nearest target of each point within its run; ties go to the lowest ``idx``.
 
-    ``targets`` has (run, idx, x, y). Targets are searched through grid cells that double in
-    size until every point has a target within one cell length; the first size (``cell``)
-    follows the density of the targets if it is not given. Points of runs without a target,
-    and points without finite coordinates, keep NULLs; such targets are no targets.
+    ``targets`` has (run, idx, x, y); (run, ``key``) names a point. The targets of each run form
+    a tree of boxes whose leaves hold at most ``leaf`` of them. All points go down their trees at
+    once: a level offers the children of the boxes a point still considers, the farthest corner of
+    the best one bounds the distance, and boxes that begin beyond it are left out. What is
+    compared with a point are the targets of the few leaves that are left, whatever the density
+    of its own or other runs. Points of runs without a target, and points without finite
+    coordinates, keep NULLs; such targets are no targets.
     """
     usable = targets.filter(_finite(F.col("x"), F.col("y")))
     merged = pin(usable.groupBy(run, "x", "y").agg(F.min("idx").alias("idx")))
-    return _nearest_by_rings(points, merged, run, key, cell or _cell_of_density(merged))
-
-
-def _cell_of_density(targets: DataFrame) -> float:
-    """The power of two near the mean distance between targets, over the box of all runs."""
-    box = targets.agg(
-        F.count(F.lit(1)).alias("n"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")
-    ).first()
-    width, height = box["w"] or 0.0, box["h"] or 0.0
-    spread = max(math.sqrt(width * height / box["n"]), max(width, height) / box["n"]) if box["n"] else 0.0
-    return 2.0 ** math.ceil(math.log2(spread)) if spread > 0 else 1.0
+    levels, leaves = _tree(merged, run, leaf)
+    finite = _finite(F.col("x"), F.col("y"))
+    names = [run, *key]
 
+    def within(low: Column, value: Column, high: Column) -> Column:
+        return F.greatest(low - value, value - high, F.lit(0.0))
 
-def _nearest_by_rings(
-    points: DataFrame, targets: DataFrame, run: str, key: list[str], cell: float
-) -> DataFrame:
-    served = targets.select(run).distinct()
-    finite = _finite(F.col("x"), F.col("y"))
-    open_ = pin(points.filter(finite).join(served, run, "left_semi"))
-    none = points.filter(~finite).unionByName(points.filter(finite).join(served, run, "left_anti")).select(
-        *points.columns,
-        F.lit(None).cast(targets.schema["idx"].dataType).alias("idx"),
-        F.lit(None).cast("double").alias("dist"),
-    )
-    results, size = none, cell
-    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    while not open_.isEmpty():
-        listed = (
-            targets.select(run, "idx", F.col("x").alias("_tx"), F.col("y").alias("_ty"))
-            .withColumn("_ox", F.explode(around))
-            .withColumn("_oy", F.explode(around))
-            .withColumn("_cx", _cell(F.col("_tx"), size) + F.col("_ox"))
-            .withColumn("_cy", _cell(F.col("_ty"), size) + F.col("_oy"))
-            .drop("_ox", "_oy")
-        )
-        d = distance(F.col("x"), F.col("y"), F.col("_tx"), F.col("_ty"))
-        found = (
-            attach(_celled_points(open_, size), listed, [run, "_cx", "_cy"], how="inner")
-            .withColumn("_d", d)
-            .filter(F.col("_d") <= F.lit(size))
-            .groupBy(run, *key)
-            .agg(F.min(F.struct(F.col("_d").alias("dist"), F.col("idx"))).alias("_best"))
-        )
-        tried = pin(open_.join(found, [run, *key], "left"))
-        results = results.unionByName(
-            tried.filter("_best is not null").select(*points.columns, "_best.idx", "_best.dist")
-        )
-        open_ = tried.filter("_best is null").drop("_best")
-        size *= 2
-    return results
+    x, y = F.col("x"), F.col("y")
+    box = [F.col(c) for c in BOX]
+    begins = F.sqrt(F.pow(within(box[0], x, box[1]), 2) + F.pow(within(box[2], y, box[3]), 2))
+    far = [F.greatest(F.abs(v - low), F.abs(high - v)) for v, low, high in ((x, *box[:2]), (y, *box[2:]))]
+    ends = F.sqrt(far[0] * far[0] + far[1] * far[1])
+    # rounding must not lose a target at the very bound
+    near = F.col("begins") <= F.col("bound") * (1 + EDGE)
+    open_ = points.filter(finite).select(*names, "x", "y", F.lit(0).cast("long").alias("_in"), F.lit(float("inf")).alias("bound"))
+    found = []
+    for nodes in levels:
+        met = attach(open_, nodes.withColumnRenamed("parent", "_in"), [run, "_in"], how="inner").withColumn("begins", begins)
+        best = F.min(F.least("bound", ends)).over(Window.partitionBy(*names))
+        left = pin(met.filter(near).withColumn("bound", best).filter(near).select(*names, "x", "y", "node", "leaf", "begins", "bound"))
+        found.append(left.filter("leaf").drop("leaf"))
+        open_ = left.filter(~F.col("leaf")).select(*names, "x", "y", F.col("node").alias("_in"), "bound")
+    # the last bound of a point is the best one
+    pool = reduce(DataFrame.unionByName, found)
+    pool = pool.withColumn("bound", F.min("bound").over(Window.partitionBy(*names))).filter(near)
+    held = leaves.select(run, "node", "idx", F.col("x").alias("_tx"), F.col("y").alias("_ty"))
+    pairs = attach(pool.select(*names, "x", "y", "node"), held, [run, "node"], how="inner")
+    d = distance(x, y, F.col("_tx"), F.col("_ty"))
+    best = pairs.groupBy(*names).agg(F.min(F.struct(d.alias("dist"), F.col("idx"))).alias("_best"))
+    joined = points.join(best, names, "left")
+    return joined.select(*points.columns, "_best.idx", "_best.dist")
 
 
 def crowding(assigned: DataFrame, run: str, target: str) -> DataFrame:

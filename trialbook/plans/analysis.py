@@ -411,14 +411,10 @@ def epoch_rows(spark, folder):
 @query("epoch_union", f"""
 WITH {v.EPOCHS} SELECT scenario_id, dataset_position FROM epochs""")
 def epoch_union(spark, folder):
-    from trialbook.operators.combine import concat
-
-    rows = pin(v.judged(spark, folder).select("scenario_id"))
-    parts = [
-        rows.filter(F.col("scenario_id") % 5 == i).withColumn("dataset_position", F.lit(i))
-        for i in range(5)
-    ]
-    return concat(*parts)
+    from trialbook.operators.combine import by_position
+
+    rows = v.judged(spark, folder).select("scenario_id")
+    return by_position(rows, (F.col("scenario_id") % 5).cast("int"))
 
 
 # --- ranks and order ---------------------------------------------------------------------

@@ -37,6 +37,23 @@ def paired_experiments(spark, folder):
     return combine.paired_experiments(*_two_experiments(spark, folder), "scenario_id")
 
 
+@query("paired_unequal", f"""
+WITH {v.SCORED}, c AS (SELECT * FROM scored WHERE scenario_id <> (SELECT max(scenario_id) FROM scored)),
+both_same AS (SELECT (SELECT count(*) FROM scored) = (SELECT count(*) FROM c) AS same)
+SELECT 'equal' AS experiments, count(*) AS n, count(llm_avg_score) AS scored FROM scored
+UNION ALL SELECT 'one key short', count(*), count(llm_avg_score) FROM c, both_same WHERE same""")
+def paired_unequal(spark, folder):
+    """Experiments over the same scenarios give their pairs; with one scenario missing they give none."""
+    formal, control = _two_experiments(spark, folder)
+    short = control.join(control.agg(F.max("scenario_id").alias("scenario_id")), "scenario_id", "left_anti")
+
+    def counted(name, other):
+        pairs = combine.paired_experiments(formal, other, "scenario_id")
+        return pairs.agg(F.count(F.lit(1)).alias("n"), F.count("score_control").alias("scored")).withColumn("experiments", F.lit(name))
+
+    return counted("equal", control).unionByName(counted("one key short", short))
+
+
 @query("key_set_equal", """
 SELECT (SELECT count(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)) AS only_left,
   (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)) AS only_right,
@@ -142,6 +159,24 @@ def nearest_point(spark, folder):
     return near.select("run_id", "robot_id", "tick", "idx", stable("dist").alias("dist"))
 
 
+@query("nearest_uneven", f"""
+WITH {v.POSITIONS}, {v.CIRCLES}, t AS (
+  SELECT run_id, circle_no AS idx, x, y FROM circles
+  UNION ALL SELECT run_id, circle_no + 100, x + 1000000, y - 1000000 FROM circles WHERE length(run_id) % 2 = 0
+  UNION ALL SELECT run_id, circle_no + 200, x + 0.0009765625, y FROM circles WHERE ascii(right(run_id, 1)) % 3 = 0),
+d AS (SELECT p.run_id, robot_id, tick, idx, sqrt((p.x - t.x) * (p.x - t.x) + (p.y - t.y) * (p.y - t.y)) AS dist
+  FROM positions p JOIN t ON t.run_id = p.run_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY run_id, robot_id, tick ORDER BY dist, idx) AS i FROM d)
+SELECT run_id, robot_id, tick, idx, {r('dist')} AS dist FROM k WHERE i = 1""")
+def nearest_uneven(spark, folder):
+    """Runs with targets far from all others beside runs with crowded ones."""
+    own = v.floor_circles(spark, folder).select("run_id", F.col("circle_no").alias("idx"), "x", "y")
+    moved = own.select("run_id", F.col("idx") + 100, F.col("x") + 1_000_000, F.col("y") - 1_000_000).filter("length(run_id) % 2 = 0")
+    beside = own.select("run_id", F.col("idx") + 200, F.col("x") + 0.0009765625, "y").filter("ascii(right(run_id, 1)) % 3 = 0")
+    near = spatial.nearest(v.robot_positions(spark, folder), own.union(moved).union(beside), "run_id", ["robot_id", "tick"], leaf=4)
+    return near.select("run_id", "robot_id", "tick", "idx", stable("dist").alias("dist"))
+
+
 @query("bounding_box", f"""
 WITH {v.POSITIONS}
 SELECT run_id, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y,

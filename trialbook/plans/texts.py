@@ -30,6 +30,19 @@ def read_tagged(spark, folder):
     )
 
 
+@query("read_tagged_several", """
+SELECT 'documents.parquet' AS dataset, count(text) AS n, count(lang) AS n_lang, count(turn) AS n_turn, sum(length(text))::BIGINT AS chars
+FROM (SELECT text, lang, NULL AS turn FROM documents)
+UNION ALL SELECT 'benchmark.parquet', count(text), 0, 0, sum(length(text))::BIGINT FROM benchmark
+UNION ALL SELECT 'conversations.parquet', count(text), 0, count(turn), sum(length(text))::BIGINT FROM conversations""")
+def read_tagged_several(spark, folder):
+    """Three files that share one column; what a file lacks is NULL."""
+    shared = "text string, lang string, turn long"
+    rows = datasets.read_tagged(spark, folder, shared, suffix="{documents,benchmark,conversations}.parquet")
+    counts = [F.count(c).alias(n) for c, n in (("text", "n"), ("lang", "n_lang"), ("turn", "n_turn"))]
+    return rows.groupBy(F.col("Dataset").alias("dataset")).agg(*counts, F.sum(F.length("text")).alias("chars"))
+
+
 @query("result_log", f"""
 WITH {v.CONTROLLERS} SELECT scenario_id, behavior_tree FROM controllers WHERE scenario_id % 31 <> 0""")
 def result_log(spark, folder):
