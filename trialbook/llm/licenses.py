@@ -179,7 +179,8 @@ def find_licenses(docs: DataFrame, text: str = "text", templates: tuple[Template
     listed = F.from_json(F.lit(json.dumps(entries)), INDEX_TYPE)
     found = F.flatten(F.transform(listed, lambda t: _candidates(F.col("words"), F.col("spots"), F.col("present"), t)))
     found = F.when(F.size("spots") > 0, found).otherwise(F.array().cast(FOUND_TYPE))
-    return rows.select("row.*", F.size("words").cast("long").alias("license_words"), found.alias("licenses"))
+    rows = rows.select("row", F.size("words").cast("long").alias("license_words"), found.alias("licenses"))
+    return rows.select("row.*", "license_words", "licenses")
 
 
 def scan(docs: DataFrame) -> DataFrame:
