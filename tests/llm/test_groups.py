@@ -238,3 +238,12 @@ def test_hosts_without_name_are_one_host(spark):
     rows = [(i, f"head\nline {i}", None) for i in range(10)]
     got = line_dedup.drop_boilerplate(frame(spark, rows), min_pages=5).collect()
     assert {r["text"] for r in got} == {f"line {i}" for i in range(10)}
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    names = ["_host", "_drop", "_stay", "row", "host", "drop", "stay", "n", "dropped", "changed"]
+    docs = frame(spark, [(i, f"same line\nown {i}") for i in range(6)]).withColumns({c: F.lit(c) for c in names})
+    found = line_dedup.drop_boilerplate(docs, ratio=0.5)
+    assert found.columns == [*docs.columns, "n_lines", "n_dropped"]
+    for r in found.collect():
+        assert r["text"] == f"own {r['doc_id']}" and all(r[c] == c for c in names)

@@ -52,18 +52,20 @@ def drop_boilerplate(
     """``docs`` with ``text`` less its host's boilerplate lines; new columns n_lines, n_dropped.
 
     Null text stays null with 0 lines; an empty text is one blank line. Rows of a null host
-    form a host of their own. Repeated rows stay repeated; other columns are untouched, but
-    columns called n_lines or n_dropped are replaced. An empty table gives no rows.
+    form a host of their own. Repeated rows stay repeated; other columns are untouched, whatever
+    their names, but columns called n_lines or n_dropped are replaced. An empty table gives no rows.
     """
-    docs = docs.drop("n_lines", "n_dropped")
+    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     found = boilerplate(docs, host, text, ratio, min_pages)
-    lists = found.groupBy(F.col("host").alias("_host")).agg(F.collect_list("line").alias("_drop"))
-    marked = attach(docs.withColumn("_host", F.col(host)), lists, ["_host"], null_safe=True)
-    stay = F.filter(_lines(F.col(text)), lambda x: ~F.array_contains(F.col("_drop"), _hash(x)))
-    marked = marked.withColumn("_stay", F.when(F.col("_drop").isNotNull(), stay))
-    n = F.coalesce(F.size(_lines(F.col(text))), F.lit(0))
-    n = F.when(F.col(text).isNull(), 0).otherwise(n)
-    left = F.when(F.col("_stay").isNotNull(), F.size("_stay")).otherwise(n)
-    changed = F.when(F.col("_stay").isNotNull() & (left < n), F.array_join("_stay", "\n")).otherwise(F.col(text))
-    out = marked.withColumns({"n_lines": n.cast("long"), "n_dropped": (n - left).cast("long"), text: changed})
-    return out.select(*docs.columns, "n_lines", "n_dropped")
+    lists = found.groupBy("host").agg(F.collect_list("line").alias("drop"))
+    row = F.struct(*[F.col(f"`{c}`") for c in own]).alias("row")
+    rows = docs.select(row, F.col(f"`{host}`").alias("host"), F.col(f"`{text}`").alias("text"))
+    marked = attach(rows, lists, ["host"], null_safe=True)
+    stay = F.filter(_lines(F.col("text")), lambda x: ~F.array_contains(F.col("drop"), _hash(x)))
+    marked = marked.withColumn("stay", F.when(F.col("drop").isNotNull(), stay))
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines(F.col("text"))))
+    left = F.when(F.col("stay").isNotNull(), F.size("stay")).otherwise(n)
+    changed = F.when(F.col("stay").isNotNull() & (left < n), F.array_join("stay", "\n")).otherwise(F.col("text"))
+    out = marked.select("row", n.cast("long").alias("n"), (n - left).cast("long").alias("dropped"), changed.alias("changed"))
+    kept = [F.col("changed").alias(c) if c == text else F.col("row")[c].alias(c) for c in own]
+    return out.select(*kept, F.col("n").alias("n_lines"), F.col("dropped").alias("n_dropped"))
