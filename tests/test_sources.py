@@ -1,6 +1,7 @@
 """Files in, files out, logs, XML and streams."""
 
 import json
+import os
 import random
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tests.conftest import rows
 from trialbook.operators import hooks, xmlconfig
 from trialbook.operators.fitness import deliveries
-from trialbook.session import checkpoint_folder
+from trialbook.session import checkpoint_folder, pin
 from trialbook.sources import datasets, logs
 from trialbook.streaming import deliveries as sd
 from trialbook.streaming import logs as sl
@@ -168,13 +169,60 @@ def test_stream_matches_batch_over_several_micro_batches(spark, tmp_path, way):
     assert sum(g[3] for g in got) > 10
 
 
-def test_stream_result_log(spark, tmp_path):
+def test_a_robot_with_most_ticks_is_many_stretches(spark):
+    """Deliveries and states by composition, over two batches, against a walk through the ticks."""
+    rng = random.Random(4)
+    ticks = {("r", str(k)): sorted(rng.sample(range(100_000), 6000 if k == 0 else 40)) for k in range(200)}
+    data = [(*robot, t, rng.random() < 0.5) for robot, at in ticks.items() for t in at]
+    df = pin(spark.createDataFrame(data, "run_id string, robot_id string, tick long, at_source boolean"))
+    prior = spark.createDataFrame([], sd.ROBOT_STATE)
+    got = {}
+    for part in (df.where("tick < 50000"), df.where("tick >= 50000")):
+        found = sd.stretches(part).cache()
+        whole = sd.composed(found.where("summary"), prior).cache()
+        shares = [r[1] for r in found.where("summary").groupBy(sd.CHUNK).agg(F.sum("ticks")).collect()]
+        assert max(shares) <= 2 * sorted(shares)[len(shares) // 2] and sum(shares) == part.count()
+        assert whole.where("robot_id = '0'").count() > 2
+        inside = found.where("not summary").join(whole.select(*sd.ROBOT, sd.CHUNK, "_base", "_first"), [*sd.ROBOT, sd.CHUNK])
+        for r in inside.collect():
+            got[r["robot_id"], r["tick"]] = r["_base"] + r["_first"] + r["n"]
+        for r in whole.where("_first = 1").collect():
+            got[r["robot_id"], r["tick"]] = r["_base"] + 1
+        last = whole.groupBy(*sd.ROBOT).agg(F.max_by(F.struct("last_tick", "last_at_source", "_base", "_first", "n"), sd.CHUNK).alias("s"))
+        prior = last.select(*sd.ROBOT, F.col("s.last_tick").alias("tick"), F.col("s.last_at_source").alias("at_source"), F.expr("s._base + s._first + s.n").alias("delivered"))
+    want, zone, count = {}, {}, {}
+    for _, robot, tick, source in sorted(data):
+        if not source and zone.get(robot):
+            count[robot] = want[robot, tick] = count.get(robot, 0) + 1
+        zone[robot] = source
+    assert got == want
+
+
+def results_of(spark, folder):
+    return rows(spark.read.schema(sl.RESULTS).parquet(folder), "scenario_id", "behavior_tree")
+
+
+@pytest.mark.parametrize("files", [1, None])
+def test_first_result_by_file_and_line(spark, tmp_path, files):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.txt").write_text("experiment_2;x\nexperiment_1;\n")
-    (tmp_path / "in" / "b.txt").write_text("experiment_2;x\n\nexperiment_3;y\n")
-    flow = sl.stream_result_log(spark, str(tmp_path / "in"), files_per_batch=1)
-    sd.run_to_end(flow, str(tmp_path / "out"), str(tmp_path / "cp"))
-    assert rows(spark.read.schema(flow.schema).parquet(str(tmp_path / "out"))) == [(1, ""), (2, "x"), (3, "y")]
+    texts = {"b": "experiment_2;x\nexperiment_1;\nexperiment_2;other\n", "a": "experiment_2;late\n\nexperiment_3;y\nexperiment_1;late\n"}
+    for at, (name, text) in enumerate(texts.items()):
+        (tmp_path / "in" / f"{name}.txt").write_text(text)
+        os.utime(tmp_path / "in" / f"{name}.txt", (1e9 + at, 1e9 + at))
+    args = spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), files
+    sl.append_results(*args)
+    assert results_of(spark, args[2]) == [(1, ""), (2, "x"), (3, "y")]
+    (tmp_path / "in" / "c.txt").write_text("experiment_1;again\nexperiment_4;z\n")
+    sl.append_results(*args)
+    assert results_of(spark, args[2]) == [(1, ""), (2, "x"), (3, "y"), (4, "z")]
+
+
+def test_results_are_remembered_for_some_batches(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for at, text in enumerate(["experiment_1;a", "experiment_1;b\nexperiment_2;c", "experiment_1;d"]):
+        (tmp_path / "in" / f"{at}.txt").write_text(text + "\n")
+        sl.append_results(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), remember=1)
+    assert results_of(spark, str(tmp_path / "out")) == [(1, "a"), (1, "d"), (2, "c")]
 
 
 def test_epochs_append_and_are_not_stored_twice(spark, tmp_path):

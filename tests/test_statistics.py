@@ -201,6 +201,45 @@ def test_a_group_called_like_the_total_stays_its_own(spark):
     assert got == [("Overall", 2, 2), ("Overall", 5, 5), ("b", 2, 2)]
 
 
+def test_groups_and_total_from_one_order(spark):
+    """Rank sums against plain ranks: ties within and between groups, zeros, batches of few rows."""
+    rng = random.Random(3)
+    data = [(rng.choice(["a", "a", "b", "c", None]), float(rng.randint(0, 40)), float(rng.randint(0, 40))) for _ in range(3000)]
+    data += [("flat", 1.0, 1.0), ("gap", None, 1.0), ("gap", 2.0, None)]
+    df = spark.createDataFrame(data, "g string, a double, b double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = significance.wilcoxon_with_total(df, "g", "a", "b", "all").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(r["g"] for r in found) == ["a", "all", "b", "c", "flat"]
+    for r in found:
+        d = [x - y for g, x, y in data if x is not None and y is not None and (r["_total"] or g == r["g"])]
+        size = np.sort([abs(x) for x in d if x])
+        rank = lambda x: (np.searchsorted(size, abs(x)) + 1 + np.searchsorted(size, abs(x), "right")) / 2
+        assert r["zeros"] == d.count(0)
+        assert (r["n"] or 0) == len(size)
+        assert (r["w_plus"] or 0) == sum(rank(x) for x in d if x > 0) and (r["w_minus"] or 0) == sum(rank(x) for x in d if x < 0)
+        assert not len(size) or r["has_ties"]
+    plain = {r["g"]: r for r in significance.wilcoxon_statistics(df.na.drop(subset=["g"]), ["g"], "a", "b").collect()}
+    assert all(r["z"] == pytest.approx(plain[r["g"]]["z"]) for r in found if not r["_total"] and r["z"] is not None)
+
+
+def test_density_by_moments_is_that_of_all_values(spark):
+    rng = random.Random(5)
+    data = {"g": [rng.gauss(0, 1) for _ in range(300)] + [40.0], "h": [float(rng.randint(0, 3)) for _ in range(50)], "flat": [1.0, 1.0]}
+    df = spark.createDataFrame([(g, x) for g, xs in data.items() for x in [*xs, None]], "g string, x double")
+    found = distribution.kernel_density(df, ["g"], "x", grid=80)
+    got = {g: [(x, d) for _, x, d in rows(found.where(F.col("g") == g), "i", "x", "density")] for g in data}
+    assert got["flat"] == []
+    for g in "gh":
+        xs = np.array(data[g])
+        h = xs.std(ddof=1) * len(xs) ** -0.2
+        at = np.array([x for x, _ in got[g]])
+        want = np.exp(-0.5 * ((at[:, None] - xs) / h) ** 2).sum(1) / (len(xs) * h * np.sqrt(2 * np.pi))
+        assert len(at) == 80 and np.abs(want - [d for _, d in got[g]]).max() < 1e-14
+
+
 def test_chunks_follow_the_size(spark, monkeypatch):
     monkeypatch.setattr(ordering, "CHUNK_BYTES", 1000)
     df = spark.range(10_000)

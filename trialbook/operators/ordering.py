@@ -37,13 +37,14 @@ def _chunk_count(df: DataFrame) -> int:
     return max(least, min(MOST_CHUNKS, -(-planned_bytes(df) // CHUNK_BYTES)))
 
 
-def _ranged(df: DataFrame, keys: list[str]) -> DataFrame:
+def ranged(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` dealt by ranges of ``keys``, in as many parts as its size asks for."""
     return df.repartitionByRange(_chunk_count(df), *keys)
 
 
 def chunk(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Range-partition by (by, order) and keep the partition number; pinned, so it cannot shift."""
-    return pin(_ranged(df, [*by, *order]).withColumn(CHUNK, F.spark_partition_id()))
+    return pin(ranged(df, [*by, *order]).withColumn(CHUNK, F.spark_partition_id()))
 
 
 def _chunk_windows(by: list[str]) -> tuple[WindowSpec, WindowSpec]:
@@ -105,7 +106,7 @@ def positions(df: DataFrame, by: list[str], order: list[str], out: str = "pos")
         return df.join(named, same).drop(*[f"_k_{k}" for k in keys])
     # within a sorted partition the low 33 bits of this id count the rows from 0
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    ordered = _ranged(df, keys).sortWithinPartitions(*keys)
+    ordered = ranged(df, keys).sortWithinPartitions(*keys)
     chunks = pin(ordered.select("*", F.spark_partition_id().alias(CHUNK), place.alias("_at")))
     before, whole = _chunk_windows(by)
     shifts = (

@@ -1,16 +1,21 @@
 """Correlation, effect size and paired tests by group.
 
 Everything is a grouped aggregate; ranks come from ``ranked_values``, where equal values
-are merged before they are ordered, so rank sums need no join back to the rows.
+are merged before they are ordered, so rank sums need no join back to the rows. Where groups
+and all rows are ranked together, one order serves both.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialbook.functions.pvalues import EXACT_PAIRS, t_test_p, wilcoxon_method, wilcoxon_p
-from trialbook.operators.ordering import mean_rank, ranked_values
+from trialbook.operators.ordering import CHUNK, mean_rank, ranged, ranked_values
 from trialbook.session import pin
 
 
@@ -133,12 +138,16 @@ def wilcoxon_statistics(df: DataFrame, by: list[str], a: str, b: str) -> DataFra
         F.sum(ties * ties * ties - ties).alias("_ties"),
     )
     zeros = diffs.groupBy(*by).agg(F.count(F.when(F.col("_d") == 0, 1)).alias("zeros"))
+    return _scored(zeros.join(sums, by, "left"))
+
+
+def _scored(sums: DataFrame) -> DataFrame:
+    """Rank sums with ``has_ties`` and the normal score ``z``."""
     n = F.col("n").cast("double")
     mean = n * (n + 1) / 4.0
     variance = n * (n + 1) * (2 * n + 1) / 24.0 - F.col("_ties") / 48.0
-    joined = zeros.join(sums, by, "left")
     return (
-        joined.withColumn("has_ties", F.col("_ties") > 0)
+        sums.withColumn("has_ties", F.col("_ties") > 0)
         .withColumn(
             "z",
             F.when(variance > 0, F.try_divide(F.col("w_plus") - mean, F.sqrt(F.greatest(variance, F.lit(0.0))))),
@@ -147,6 +156,89 @@ def wilcoxon_statistics(df: DataFrame, by: list[str], a: str, b: str) -> DataFra
     )
 
 
+#: Of one part of an order, for a group or all rows (``whole``): pairs, zeros, and pairs up and
+#: down with the sums of their ranks within the part.
+RANK_SUMS = f"{CHUNK} int, g string, whole boolean, n long, zeros long, up long, down long, up_ranks double, down_ranks double, ties double"
+_SUMMED = ["n", "up", "down", "up_ranks", "down_ranks", "ties"]
+
+
+def _rank_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Merged differences (part, g, m, n, up, down) in order of m as rows of ``RANK_SUMS``."""
+    sums: dict = {}  # (group, whole) -> _SUMMED
+    zeros: dict = {}
+    part, held = 0, None  # held: the rows of the last value, which may go on in the next batch
+
+    def add(rows: pd.DataFrame) -> None:
+        for whole in (False, True):
+            keys = rows["g"] if not whole else pd.Series([None] * len(rows), index=rows.index, dtype=object)
+            for g, own in rows.groupby(keys, dropna=False, sort=False):
+                at = (None if g is None or g != g else g, whole)
+                total = sums.setdefault(at, np.zeros(len(_SUMMED)))
+                m, n = own["m"].to_numpy(), own["n"].to_numpy(np.float64)
+                starts = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])
+                tied = np.add.reduceat(n, starts)
+                rank = total[0] + np.cumsum(tied) - tied + (tied + 1) / 2
+                rank = np.repeat(rank, np.diff(np.r_[starts, len(m)]))
+                up, down = own["up"].to_numpy(np.float64), own["down"].to_numpy(np.float64)
+                total += [n.sum(), up.sum(), down.sum(), up @ rank, down @ rank, (tied**3 - tied).sum()]
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        part = int(batch[CHUNK].iloc[0])
+        for g, n in batch.loc[batch["m"] == 0, ["g", "n"]].itertuples(index=False):
+            for at in ((g, False), (None, True)):
+                zeros[at] = zeros.get(at, 0) + int(n)
+        rows = batch[batch["m"] != 0]
+        if not len(rows):
+            continue
+        rows = rows if held is None else pd.concat([held, rows])
+        last = rows["m"] == rows["m"].iloc[-1]
+        held = rows[last]
+        if len(rows) > len(held):
+            add(rows[~last])
+    if held is not None:
+        add(held)
+    keys = list(dict.fromkeys([*sums, *zeros]))
+    if keys:
+        out = pd.DataFrame([sums.get(k, np.zeros(len(_SUMMED))) for k in keys], columns=_SUMMED)
+        out = out.astype({"n": "int64", "up": "int64", "down": "int64"})
+        yield out.assign(**{CHUNK: part, "g": [g for g, _ in keys], "whole": [w for _, w in keys], "zeros": [zeros.get(k, 0) for k in keys]})[
+            [c.split()[0] for c in RANK_SUMS.split(", ")]
+        ]
+
+
+def wilcoxon_with_total(df: DataFrame, by: str, a: str, b: str, label: str) -> DataFrame:
+    """``wilcoxon_statistics`` per group and over all rows (``label``, with ``_total``).
+
+    Differences of equal size are merged per group and dealt by ranges of their size. Every
+    range is ranked by itself, for each group and for all rows in one pass; what the ranges
+    before it hold shifts its ranks, so a few sums per range and group give the rank sums.
+    """
+    d = F.col(a) - F.col(b)
+    signs = {"up": F.col("_d") > 0, "down": F.col("_d") < 0}
+    diffs = df.select(F.col(by).cast("string").alias("g"), d.alias("_d")).where("_d is not null")
+    merged = diffs.groupBy("g", F.abs("_d").cast("double").alias("m")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.count(F.when(c, 1)).alias(s) for s, c in signs.items()]
+    )
+    parts = ranged(merged, ["m"]).sortWithinPartitions("m").withColumn(CHUNK, F.spark_partition_id())
+    sums = pin(parts.mapInPandas(_rank_sums, RANK_SUMS)).where("whole or g is not null")
+    before = Window.partitionBy("whole", "g").orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    shifted = sums.withColumn("_base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    found = shifted.groupBy("whole", "g").agg(
+        F.sum("zeros").alias("zeros"),
+        F.nullif(F.sum("n"), F.lit(0)).alias("n"),
+        *[F.sum(F.col(s) * F.col("_base") + F.col(f"{s}_ranks")).alias(w) for s, w in (("up", "w_plus"), ("down", "w_minus"))],
+        F.sum("ties").alias("_ties"),
+    )
+    known = F.col("n").isNotNull()
+    found = found.select(
+        F.when(F.col("whole"), F.lit(label)).otherwise(F.col("g")).cast(df.schema[by].dataType).alias(by),
+        F.col("whole").alias("_total"), "zeros", "n", *[F.when(known, F.col(c)).alias(c) for c in ("w_plus", "w_minus", "_ties")],
+    )
+    return _scored(found)
+
+
 def wilcoxon_by(
     df: DataFrame,
     by: list[str],
@@ -158,7 +250,10 @@ def wilcoxon_by(
 ) -> DataFrame:
     """Wilcoxon signed-rank test; two-sided reports min(W+, W-), one-sided W+. ``w_method`` tells
     which distribution ``w_p`` is from."""
-    stats = wilcoxon_statistics(df, by, a, b)
+    return _tested(wilcoxon_statistics(df, by, a, b), alternative, method, exact_pairs)
+
+
+def _tested(stats: DataFrame, alternative: str, method: str, exact_pairs: int) -> DataFrame:
     statistic = (
         F.least("w_plus", "w_minus") if alternative == "two-sided" else F.col("w_plus")
     )
@@ -173,9 +268,9 @@ def compare_methods(
 ) -> DataFrame:
     """Means, difference, t, p, d, W, its p and method, per group and over all rows.
 
-    The three columns are computed once. The total's moments are merged from the groups'; its
-    ranks need the rows once more, marked, so a group that is called like ``label`` stays one
-    of its own. Rows without a group count in the total only.
+    The three columns are computed once. The total's moments are merged from the groups', and
+    its ranks come from the order of the groups' ranks. A group that is called like ``label``
+    stays one of its own. Rows without a group count in the total only.
     """
     rows = pin(df.select(by, a, b))
     moments = pin(_moments(rows, [by], a, b))
@@ -183,11 +278,7 @@ def compare_methods(
     total = _merged(moments.drop(by)).select(F.lit(label).alias(by), "*", F.lit(True).alias("_total"))
     effects = _effects(groups.unionByName(total))
     effects = effects.withColumn("t_p", t_test_p(alternative)(F.col("t"), F.col("dof").cast("double")))
-    own = F.struct(F.col(by).alias("g"), F.lit(False).alias("t"))
-    all_ = F.struct(F.lit(label).alias("g"), F.lit(True).alias("t"))
-    marked = rows.select(F.explode(F.array(own, all_)).alias("_k"), a, b).filter("_k.g is not null")
-    marked = marked.select(F.col("_k.g").alias(by), F.col("_k.t").alias("_total"), a, b)
-    tests = wilcoxon_by(marked, [by, "_total"], a, b, alternative, exact_pairs=exact_pairs).drop("zeros", "has_ties")
+    tests = _tested(wilcoxon_with_total(rows, by, a, b, label), alternative, "auto", exact_pairs).drop("zeros", "has_ties")
     joined = effects.join(tests.withColumnRenamed("n", "n_pairs"), [by, "_total"], "left")
     return joined.drop("_total")
 

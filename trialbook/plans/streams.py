@@ -10,7 +10,6 @@ from trialbook.plans import missions as m
 from trialbook.plans import views as v
 from trialbook.plans.registry import query
 from trialbook.session import checkpoint_folder
-from trialbook.sources.logs import parse_result_log
 from trialbook.streaming import deliveries as sd
 from trialbook.streaming import logs as sl
 
@@ -41,8 +40,8 @@ def _arrivals(spark, table, order, into):
         yield k
 
 
-def _arriving(spark, table, into):
-    return spark.readStream.schema(table.schema).parquet(into)
+def _arriving(spark, table, into, files=100):
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(into)
 
 
 _DELIVERIES = f"""
@@ -86,7 +85,7 @@ def stream_foraging_state(spark, folder):
     at, events = _run_folder(spark), v.table(spark, folder, "events")
     arena = v.floor_circles(spark, folder), v.run_objectives(spark, folder)
     for _ in _arrivals(spark, events, "event_id", f"{at}/in"):
-        places = v.robot_positions_of(_arriving(spark, events, f"{at}/in"))
+        places = v.robot_positions_of(_arriving(spark, events, f"{at}/in", files=50))
         sd.run_to_end(sd.stream_deliveries(places, *arena), f"{at}/out", f"{at}/checkpoint")
     return spark.read.schema(sd.OUTPUT).parquet(f"{at}/out").where("delivered is not null")
 
@@ -94,16 +93,15 @@ def stream_foraging_state(spark, folder):
 @query("stream_result_log", f"""
 WITH {v.CONTROLLERS} SELECT scenario_id, behavior_tree FROM controllers""")
 def stream_result_log(spark, folder):
+    """Every scenario has two results in the first files and another one in later files."""
     at = _run_folder(spark)
-    trees = v.controllers_of(_stream(spark, folder, "part"))
+    trees = v.controllers_of(v.table(spark, folder, "part"))
     tag = F.concat(F.lit("experiment_"), F.col("scenario_id").cast("string"), F.lit(";"))
-    # every line comes twice, as after a restart of the writer
-    lines = trees.select(
-        F.explode(F.array_repeat(F.concat(tag, F.col("behavior_tree")), 2)).alias("value")
-    )
-    flow = sl.first_per_scenario(parse_result_log(lines))
-    sd.run_to_end(flow, f"{at}/out", f"{at}/checkpoint")
-    return spark.read.schema(flow.schema).parquet(f"{at}/out")
+    first, second, third = (F.concat(tag, F.col("behavior_tree"), F.lit(end)) for end in ("", " --again", " --later"))
+    for lines in (F.array(first, second), F.array(third)):
+        trees.select(F.explode(lines).alias("value")).write.mode("append").text(f"{at}/in")
+        sl.append_results(spark, f"{at}/in", f"{at}/out", f"{at}/checkpoint")
+    return spark.read.schema(sl.RESULTS).parquet(f"{at}/out").select("scenario_id", "behavior_tree")
 
 
 @query("stream_epochs", f"""

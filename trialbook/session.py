@@ -85,16 +85,23 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
 
 
 @contextmanager
-def released_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Queries set up and run inside delete their shuffle files as soon as they have ended; a
-    stage that is needed once more is run again."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session for what is set up and run inside."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def released_shuffles(spark: SparkSession):
+    """Queries set up and run inside delete their shuffle files as soon as they have ended; a
+    stage that is needed once more is run again."""
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def pin(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:

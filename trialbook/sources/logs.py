@@ -11,10 +11,10 @@ TRAINING_LOG_SCHEMA = (
 )
 
 
-def parse_result_log(lines: DataFrame, text: str = "value") -> DataFrame:
+def parse_result_log(lines: DataFrame, text: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """``experiment_<id>;<controller>`` lines as rows; a line with another number of parts is an error.
 
-    Blank lines are skipped and an empty controller is kept as ''.
+    Blank lines are skipped and an empty controller is kept as ''. ``keep``: columns that stay.
     """
     kept = lines.filter(F.length(F.trim(F.col(text))) > 0)
     parts = F.split(F.trim(F.col(text)), ";")
@@ -23,6 +23,7 @@ def parse_result_log(lines: DataFrame, text: str = "value") -> DataFrame:
     return kept.select(
         F.when(F.size(parts) == 2, id_text.cast("long")).otherwise(bad.cast("long")).alias("scenario_id"),
         F.trim(F.try_element_at(parts, F.lit(2))).alias("behavior_tree"),
+        *keep,
     )
 
 

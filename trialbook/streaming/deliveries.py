@@ -4,11 +4,14 @@ The state of a robot is whether it carries an item, how many it delivered, and t
 tick it was seen at. Ticks of a robot are put in order within a micro-batch. A tick at or
 before the last one seen is late: its place in the order is gone. Late ticks are never lost
 without a word: the state-store way returns them with a NULL count, the batch way writes them
-to a table of their own, from which the robots concerned can be worked out again.
+to a table of their own, from which the robots concerned can be worked out again. A position
+without a tick has no place at all and is left out.
 
 There are two ways with equal results. ``deliver_batches`` handles each micro-batch as a
-batch job that starts from the stored state of all robots; one robot's rows are spread
-over many tasks, so it also catches up on a long history. ``stream_deliveries`` keeps the
+batch job that starts from the stored state of all robots. The ticks are cut into stretches by
+ranges of (robot, tick); a stretch is summed up by its first and last zone and the deliveries
+inside, and these summaries are put together in order, so one robot's rows are spread over
+many tasks and only deliveries and summaries are written. ``stream_deliveries`` keeps the
 state in Spark's state store, for short micro-batches: a task holds the rows of one
 robot and one micro-batch, which the source's per-trigger limits bound.
 """
@@ -19,16 +22,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from trialbook.operators.attach import attach
 from trialbook.operators.fitness import RUN, circle_pairs
-from trialbook.operators.ordering import positions as ordered_positions
-from trialbook.operators.ordering import previous
+from trialbook.operators.ordering import CHUNK, ranged
 from trialbook.operators.spatial import in_circle
-from trialbook.session import pin, remove
+from trialbook.session import pin, remove, scratch
 
 OUTPUT = "run_id string, robot_id string, tick long, delivered long"
 STATE = "carries boolean, delivered long, tick long"
@@ -52,7 +54,7 @@ def zones(positions: DataFrame, circles: DataFrame, objectives: DataFrame) -> Da
         )
 
     on_source, on_sink = inside("first"), inside("second")
-    return placed.filter(on_source != on_sink).select(
+    return placed.filter((on_source != on_sink) & F.col("tick").isNotNull()).select(
         RUN, "robot_id", F.col("tick").cast("long"), on_source.alias("at_source")
     )
 
@@ -89,6 +91,70 @@ ROBOT = [RUN, "robot_id"]
 #: Every so many micro-batches the state of all robots is written.
 WHOLE = 10
 ROBOT_STATE = "run_id string, robot_id string, tick long, at_source boolean, delivered long"
+#: A delivery inside a stretch (tick, n: how many of the stretch with it), or with ``summary``
+#: the stretch itself: its first and last tick and zone, its deliveries and its ticks.
+STRETCHES = (
+    f"run_id string, robot_id string, {CHUNK} int, summary boolean, tick long, n long, "
+    "at_source boolean, last_tick long, last_at_source boolean, ticks long"
+)
+
+
+def _stretch_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Ticks in order of robot and tick as rows of ``STRETCHES``, one batch at a time."""
+    names = [c.split()[0] for c in STRETCHES.split(", ")]
+    held: dict | None = None  # the robot's stretch so far
+
+    def drops(of: dict, ticks: np.ndarray) -> pd.DataFrame:
+        rows = pd.DataFrame({"tick": ticks, "n": np.arange(of["n"] + 1, of["n"] + 1 + len(ticks))})
+        rows = rows.assign(**{c: of[c] for c in (*ROBOT, CHUNK)}, summary=False)
+        return rows.assign(at_source=None, last_tick=None, last_at_source=None, ticks=None)[names]
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        out, ended = [], []
+        robots = batch[ROBOT].to_numpy(dtype=object)
+        starts = np.flatnonzero(np.r_[True, (robots[1:] != robots[:-1]).any(axis=1)])
+        all_ticks, zone = batch["tick"].to_numpy(), batch["at_source"].to_numpy(dtype=bool)
+        for start, end in zip(starts, [*starts[1:], len(batch)]):
+            ticks, at_source = all_ticks[start:end], zone[start:end]
+            if held is None or [held[c] for c in ROBOT] != list(robots[start]):
+                ended += [held] * (held is not None)
+                held = dict(zip(ROBOT, robots[start])) | {CHUNK: int(batch[CHUNK].iloc[start]), "summary": True, "n": 0, "ticks": 0}
+                held |= {"tick": int(ticks[0]), "at_source": bool(at_source[0])}
+                carries = False  # what the stretches before bring is not known here
+            else:
+                carries = held["last_at_source"]
+            found = ticks[~at_source & np.r_[carries, at_source[:-1]]]
+            if len(found):
+                out.append(drops(held, found))
+            held["n"] += len(found)
+            held["ticks"] += len(ticks)
+            held |= {"last_tick": int(ticks[-1]), "last_at_source": bool(at_source[-1])}
+        if ended:
+            out.append(pd.DataFrame(ended)[names])
+        if out:
+            yield pd.concat(out)
+    if held is not None:
+        yield pd.DataFrame([held])[names]
+
+
+def stretches(ticks: DataFrame) -> DataFrame:
+    """Ticks (run, robot, tick, at_source) as rows of ``STRETCHES``: the ranges of (robot, tick)
+    are the tasks, so a robot with most of the ticks is many stretches."""
+    rows = ranged(ticks, [*ROBOT, "tick"]).sortWithinPartitions(*ROBOT, "tick")
+    return rows.withColumn(CHUNK, F.spark_partition_id()).mapInPandas(_stretch_rows, STRETCHES)
+
+
+def composed(summaries: DataFrame, prior: DataFrame) -> DataFrame:
+    """Each stretch with ``_first`` (1 if its first tick is a delivery, else 0) and ``_base``, the
+    robot's deliveries before the stretch. ``prior``: the robots' states before all of them."""
+    known = prior.select(*ROBOT, F.col("at_source").alias("_carried"), F.col("delivered").alias("_before"))
+    order = Window.partitionBy(*ROBOT).orderBy(CHUNK)
+    entered = F.coalesce(F.lag("last_at_source").over(order), "_carried", F.lit(False))
+    rows = attach(summaries, known, ROBOT).withColumn("_first", (~F.col("at_source") & entered).cast("long"))
+    sums = F.sum(F.col("n") + F.col("_first")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("_base", F.coalesce("_before", F.lit(0)) + F.coalesce(sums, F.lit(0)))
 
 
 def _latest(versions: DataFrame) -> DataFrame:
@@ -117,6 +183,10 @@ def deliver_batches(
     late = late or f"{state}/late"
 
     def write(batch: DataFrame, number: int) -> None:
+        with scratch(batch.sparkSession):  # the tables of a micro-batch go with it
+            advance(batch, number)
+
+    def advance(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         since = max(0, (number - 1) // WHOLE * WHOLE)
         if number > 0:
@@ -124,31 +194,20 @@ def deliver_batches(
             prior = _latest(spark.read.schema(ROBOT_STATE).parquet(*versions))
         else:
             prior = spark.createDataFrame([], ROBOT_STATE)
-        known = prior.select(*ROBOT, F.col("tick").alias("_seen"), F.col("delivered").alias("_before"))
-        placed = pin(attach(pin(zones(batch, circles, objectives)), known, ROBOT))
+        placed = pin(attach(pin(zones(batch, circles, objectives)), prior.select(*ROBOT, F.col("tick").alias("_seen")), ROBOT))
         in_time = F.col("_seen").isNull() | (F.col("tick") > F.col("_seen"))
         placed.filter(~in_time).select(*ROBOT, "tick", "at_source").write.mode("overwrite").parquet(f"{late}/batch={number}")
-        fresh = placed.filter(in_time)
-        columns = [*ROBOT, "tick", "at_source"]
-        seen = prior.join(fresh.select(*ROBOT).distinct(), ROBOT, "left_semi")
-        rows = pin(fresh.select(*columns).unionByName(seen.select(*columns)))
-        looked = previous(rows, ROBOT, ["tick"], ["at_source"])
-        dropped = pin(looked.filter(~F.col("at_source") & F.col("prev_at_source")).select(*ROBOT, "tick"))
-        counted = attach(ordered_positions(dropped, ROBOT, ["tick"], "_n"), known, ROBOT)
-        delivered = F.col("_n") + F.coalesce("_before", F.lit(0))
-        out = counted.select(*ROBOT, "tick", delivered.cast("long").alias("delivered"))
-        out.write.mode("overwrite").parquet(f"{target}/batch={number}")
-
-        added = dropped.groupBy(*ROBOT).agg(F.count(F.lit(1)).alias("delivered"))
-        totals = (
-            seen.select(*ROBOT, "delivered").unionByName(added)
-            .groupBy(*ROBOT).agg(F.sum("delivered").alias("delivered"))
-        )
-        last = rows.groupBy(*ROBOT).agg(
-            F.max("tick").alias("tick"), F.max_by("at_source", "tick").alias("at_source")
-        )
-        after = last.join(totals, ROBOT, "left").withColumn(
-            "delivered", F.coalesce("delivered", F.lit(0)).cast("long")
+        found = pin(stretches(placed.filter(in_time).drop("_seen")))
+        whole = pin(composed(found.filter("summary"), prior))
+        inside = attach(found.filter("not summary"), whole.select(*ROBOT, CHUNK, "_first", "_base"), [*ROBOT, CHUNK], "inner")
+        entries = whole.filter("_first = 1").select(*ROBOT, "tick", (F.col("_base") + 1).alias("delivered"))
+        counted = inside.select(*ROBOT, "tick", (F.col("_base") + F.col("_first") + F.col("n")).alias("delivered"))
+        counted.unionByName(entries).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+        reached = F.struct("last_tick", "last_at_source", (F.col("_base") + F.col("_first") + F.col("n")).alias("delivered"))
+        after = whole.groupBy(*ROBOT).agg(F.max_by(reached, CHUNK).alias("_s"))
+        after = after.select(
+            *ROBOT, F.col("_s.last_tick").alias("tick"), F.col("_s.last_at_source").alias("at_source"), "_s.delivered"
         )
         if number % WHOLE == 0:
             after = after.unionByName(prior.join(after.select(*ROBOT), ROBOT, "left_anti"))
