@@ -200,3 +200,11 @@ def test_pipeline(spark):
     assert all(r["n_tokens"] == len(r["token_ids"]) for r in rows)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), folder).count() == 0
+
+
+def test_records_whose_length_is_no_number(spark, tmp_path):
+    record = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <a>\r\nContent-Length: many\r\n\r\nHTTP/1.1 200 OK\r\n\r\nx\r\n\r\n"
+    good = "WARC/1.0\r\nWARC-Type: metadata\r\nWARC-Record-ID: <b>\r\nContent-Length: 1\r\n\r\ny\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes((record + good).encode())
+    got = {r["record_id"]: (r["complete"], r["block"]) for r in warc.read_archives(spark, str(tmp_path)).collect()}
+    assert got["<a>"] == (False, None) and got["<b>"][0] and bytes(got["<b>"][1]) == b"y"

@@ -74,7 +74,9 @@ def test_search_in_one_block_and_in_many(spark):
     items, texts = passages()
     docs, bench = frame(spark, list(enumerate(texts)) + [(None, "a b"), (3, "A b c")]), benchmark(spark, items)
     for chars in (10**6, 40):
-        got = decontamination.search_passages(docs, bench, block_chars=chars).collect()
+        found = decontamination.search_passages(docs, bench, block_chars=chars)
+        assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") <= decontamination.PASSES
+        got = found.collect()
         by_id = {r["doc_id"]: r for r in got if r["doc_id"] not in (None, 3)}
         for i, text in enumerate(texts):
             if i != 3:
@@ -137,6 +139,16 @@ def test_links_and_accounts():
     assert [s[:2] for s in found if s[0] == "account"] == [("account", 35)]
 
 
+def test_anchors_in_any_case_and_with_words_between():
+    number = "GB82 WEST 1234 5698 7654 32"
+    for cue in ("iBAN", "IBAN no. ", "IBAN\t", "Account number: ", "ACCT #", "account (no) "):
+        text = f"\u0130 {cue}{'' if cue[-1] in ' \t#' else ' '}{number}."
+        assert [text[a:b] for k, a, b in pii.spans_of(text) if k == "account"] == [number], cue
+    text = "\u0130 HTTP://A.example/x, Https://b.example"
+    assert [text[a:b] for k, a, b in pii.spans_of(text) if k == "url"] == ["HTTP://A.example/x", "Https://b.example"]
+    assert pii.spans_of("account of GB82 nothing, IBAN") == []
+
+
 def test_personal_rows(spark):
     docs = frame(spark, [(1, "a@b.c +49 30 1234567"), (1, "a@b.c +49 30 1234567"), (2, None), (3, ""), (None, "1.2.3.4")])
     got = pii.find_personal_data(docs.withColumn("spans", F.lit(1))).collect()

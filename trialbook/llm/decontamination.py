@@ -7,7 +7,8 @@ shift 0, and its bucket names the windows to compare word by word. Blocks that n
 holds, nearly all in ordinary text, jump a whole window but one word.
 
 The benchmark is taken in blocks of bounded size, one pass of the documents' tasks each, so
-that neither the driver nor a worker holds more than one block: repeated items count once and
+that the driver and a worker hold one block and a task ``PASSES`` of them; beyond these the
+rows are written and read again: repeated items count once and
 long ones are cut into pieces that overlap by a window less a word. Hits of earlier passes travel
 with the row as word spans.
 """
@@ -23,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialbook.llm.arrow import slices
-from trialbook.session import pin
+from trialbook.session import pin, scratch
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 UPPER = {c: c + 32 for c in range(0x41, 0x5B)}
 #: Characters of benchmark text in one pass; its tables take about a hundred times as many bytes.
 BLOCK_CHARS = 1_000_000
+#: Blocks searched one after the other in a task before the rows are written.
+PASSES = 4
 
 
 def words_of(text: str | None) -> list[str]:
@@ -145,10 +148,18 @@ def search_passages(
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     schema = f"{fields}, n_words long, hit_spans array<array<int>>, items array<string>"
     spark = docs.sparkSession
-    for part in blocks(benchmark, item, item_text, block_chars, width):
-        # about block_chars characters
-        listed = spark.sparkContext.broadcast([(r["item"], r["text"]) for r in part.collect()])
-        rows = rows.mapInArrow(_pass(listed, uuid.uuid4().hex, text, width), schema)
+    parts, listed = blocks(benchmark, item, item_text, block_chars, width), []
+    with scratch(spark) as keep:
+        for k, part in enumerate(parts):
+            if k and k % PASSES == 0:
+                # only the table of the last passes is read again
+                rows = (keep if k == (len(parts) - 1) // PASSES * PASSES else pin)(rows)
+                for done in listed:
+                    done.unpersist()
+                listed = []
+            # about block_chars characters
+            listed.append(spark.sparkContext.broadcast([(r["item"], r["text"]) for r in part.collect()]))
+            rows = rows.mapInArrow(_pass(listed[-1], uuid.uuid4().hex, text, width), schema)
     hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
     ids = F.array_sort(F.array_distinct("items"))
     rows = rows.withColumns(

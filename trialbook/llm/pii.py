@@ -25,12 +25,16 @@ DIGITS = frozenset("0123456789")
 LOCAL = frozenset(LETTERS + "0123456789._%+-")
 LABEL = frozenset(LETTERS + "0123456789-")
 PHONE = frozenset(" ().0123456789-")
+#: Schemes and cues are looked for in the text with A-Z lower-cased, which keeps all places.
 SCHEMES = ("http://", "https://", "ftp://")
-CUES = ("IBAN", "iban", "Iban")
+CUES = ("iban", "account", "acct", "konto", "a/c")
 ALNUM = frozenset(LETTERS + "0123456789")
 URL = frozenset(LETTERS + "0123456789-._~:/?#[]@!$&'()*+,;=%")
 KINDS = ("email", "ip", "card", "phone", "url", "account")
 
+LOWER = {ord(c): c.lower() for c in LETTERS[:26]}
+#: What may stand between a cue and its number.
+_gap = re.compile(r"[\s:=#.()-]*(?:(?:no|nr|num|number|code)(?![a-z0-9])[\s:=#.()-]*)?", re.IGNORECASE)
 #: Runs of a class from a position on; only used to step over characters of that class.
 _label, _digits, _phone, _chain = (
     re.compile(p) for p in (r"[A-Za-z0-9-]+", r"[0-9]+", r"[ ().0-9-]+", r"(?:[ -]?[0-9])*")
@@ -118,8 +122,7 @@ def url_at(text: str, start: int, end: int) -> tuple[int, int] | None:
 
 def account_at(text: str, end: int) -> tuple[int, int] | None:
     """The account number after a cue: country, check digits, 11 to 30 more, checked mod 97."""
-    while end < len(text) and text[end] in " :=#":
-        end += 1
+    end = _end(_gap, text, end)
     start, taken = end, []
     while end < len(text) and len(taken) < 34:
         if text[end] in ALNUM:
@@ -146,7 +149,7 @@ def spans_of(text: str) -> list[tuple[str, int, int]]:
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     email = ip = chain = phone = url = account = 0  # where each kind may start again
     run_end = 0
-    for last, (anchor, size) in automaton().iter(text):
+    for last, (anchor, size) in automaton().iter(text.translate(LOWER)):
         if anchor == "digit":
             if last >= chain:
                 end = _end(_chain, text, last + 1)

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trialbook.llm.arrow import slices
 from trialbook.operators.attach import attach
 from trialbook.session import checkpoint_folder, pin
 
@@ -102,7 +103,10 @@ def _parsed(file: str, chunk: bytes) -> dict | None:
         name, _, value = line.partition(":")
         headers.setdefault(name.strip().lower(), []).append(value.strip())
     one = lambda name: headers.get(name, [None])[0]
-    size = int(one("content-length") or 0)
+    length = one("content-length") or "0"
+    if not (length.isascii() and length.isdigit()):
+        return {"file": file, "record_id": one("warc-record-id"), "record_type": one("warc-type"), "complete": False}
+    size = int(length)
     if len(rest) < size:
         return None
     block = rest[:size]
@@ -122,7 +126,8 @@ def read_archives(spark: SparkSession, folder: str, blocks: bool = True) -> Data
     """The records of the gzip archives below ``folder``, columns as in ``RECORDS``.
 
     ``digest``: of a response's payload as read, else the digest that the record names. A
-    record cut off by the end of its file has complete false and no block. ``blocks``: False
+    record cut off by the end of its file, or whose length is no number, has complete false and
+    no block. ``blocks``: False
     leaves block and payload of responses null, so that they are not carried on.
     """
     chunks = spark.read.option("lineSep", VERSION).text(folder)
@@ -136,7 +141,7 @@ def read_archives(spark: SparkSession, folder: str, blocks: bool = True) -> Data
 
     def run(batches):
         file, held = None, None  # held: a record whose end has not been read yet
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for path, chunk in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if path != file:
