@@ -11,7 +11,7 @@ There are two ways with equal results. ``deliver_batches`` handles each micro-ba
 batch job that starts from the stored state of all robots. The ticks are cut into stretches by
 ranges of (robot, tick); a stretch is summed up by its first and last zone and the deliveries
 inside, and these summaries are put together in order, so one robot's rows are spread over
-many tasks and only deliveries and summaries are written. ``stream_deliveries`` keeps the
+many tasks; beyond the micro-batch's own ticks only deliveries and summaries are written. ``stream_deliveries`` keeps the
 state in Spark's state store, for short micro-batches: a task holds the rows of one
 robot and one micro-batch, which the source's per-trigger limits bound.
 """
