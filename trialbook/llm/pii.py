@@ -32,7 +32,6 @@ ALNUM = frozenset(LETTERS + "0123456789")
 URL = frozenset(LETTERS + "0123456789-._~:/?#[]@!$&'()*+,;=%")
 KINDS = ("email", "ip", "card", "phone", "url", "account")
 
-LOWER = {ord(c): c.lower() for c in LETTERS[:26]}
 #: What may stand between a cue and its number.
 _gap = re.compile(r"[\s:=#.()-]*(?:(?:no|nr|num|number|code)(?![a-z0-9])[\s:=#.()-]*)?", re.IGNORECASE)
 #: Runs of a class from a position on; only used to step over characters of that class.
@@ -149,7 +148,7 @@ def spans_of(text: str) -> list[tuple[str, int, int]]:
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     email = ip = chain = phone = url = account = 0  # where each kind may start again
     run_end = 0
-    for last, (anchor, size) in automaton().iter(text.translate(LOWER)):
+    for last, (anchor, size) in automaton().iter(text.encode().lower().decode()):
         if anchor == "digit":
             if last >= chain:
                 end = _end(_chain, text, last + 1)
