@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 from collections import defaultdict
 
@@ -124,6 +125,17 @@ def alike(a, b):
     return a == b or len(a & b) / len(a | b) >= 0.8
 
 
+def first_of_group(texts):
+    """For each text the first one of its group, over all pairs."""
+    sets = [shingles_of(t) for t in texts]
+    root = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if alike(sets[i], sets[j]) and root[i] != root[j]:
+            low, high = sorted((root[i], root[j]))
+            root = [low if r == high else r for r in root]
+    return root
+
+
 def test_similar_texts_group_whatever_their_fingerprints(spark):
     draw = random.Random(9)
     word = lambda: "".join(draw.choice("abcdefgh") for _ in range(6))
@@ -137,12 +149,7 @@ def test_similar_texts_group_whatever_their_fingerprints(spark):
                     copy[draw.randrange(100)] = word()
                 texts.append(" ".join(copy))
     texts += [" ".join(word() for _ in range(80)) for _ in range(40)]
-    sets = [shingles_of(t) for t in texts]
-    root = list(range(len(texts)))
-    for i, j in itertools.combinations(range(len(texts)), 2):
-        if alike(sets[i], sets[j]) and root[i] != root[j]:
-            low, high = sorted((root[i], root[j]))
-            root = [low if r == high else r for r in root]
+    root = first_of_group(texts)
     docs = frame(spark, list(enumerate(texts)))
     for bucket in (2, 8, 1000):
         kept = simhash.keep_one(docs, bucket, resemblance.SIMILARITY)
@@ -153,6 +160,38 @@ def test_similar_texts_group_whatever_their_fingerprints(spark):
     assert corpus_pipeline.one_of_each(spark, docs.limit(0), "").count() == 0
 
 
+def test_pages_of_one_template(spark):
+    """Pages that share a template and differ by a part of their own, around the threshold."""
+    draw = random.Random(4)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(6))
+    template = [word() for _ in range(90)]
+    texts = [" ".join(template[: draw.choice((80, 85, 90))] + [word() for _ in range(draw.randrange(2, 24))]) for _ in range(150)]
+    root = first_of_group(texts)
+    assert 10 < len(set(root)) < 140
+    docs = frame(spark, list(enumerate(texts)))
+    for bucket in (2, 16):
+        kept = simhash.keep_one(docs, bucket, resemblance.SIMILARITY)
+        assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(set(root))
+
+
+def test_bands_hold_every_size_that_a_place_allows(spark):
+    rows = [(n, p) for n in (1, 2, 3, 7, 20, 101, 1000) for p in range(n) if p <= 0.2 * n]
+    banded = resemblance.in_bands(spark.createDataFrame(rows, "n long, pos int"), 0.8)
+    listed = {(r["n"], r["pos"], r["other"]) for r in banded.collect()}
+    own = {n: b for n, b in spark.range(1, 1300).select("id", resemblance.band(F.col("id"))).collect()}
+    for n, p in rows:
+        for m in range(1, 1300):
+            asked = math.ceil((n + m) * 0.8 / 1.8 - 1e-9)
+            if min(n, m) >= 0.8 * max(n, m) and p <= n - asked:
+                assert (n, p, own[m]) in listed
+
+
+def test_different_sets_of_one_node_are_told_apart(spark):
+    signs = spark.createDataFrame([(1, 7, 5), (2, 7, 5), (3, 7, 6), (4, 8, 1), (5, 7, 9)], "doc_id int, node long, check long")
+    node = {r["doc_id"]: r["node"] for r in resemblance.told_apart(signs).collect()}
+    assert node[1] == node[2] == 7 and node[4] == 8 and len(set(node.values())) == 4
+
+
 # --- fingerprints ----------------------------------------------------------------------
 
 

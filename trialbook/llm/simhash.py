@@ -197,11 +197,11 @@ def keep_one(docs: DataFrame, bucket: int = BUCKET, similarity: float | None = N
 
     with scratch(docs.sparkSession) as keep:
         if similarity is None:
-            rows = grouped(docs, "doc_id", "text", bucket)
+            rows, named = grouped(docs, "doc_id", "text", bucket), F.xxhash64("text")
         else:
-            rows = resemblance.grouped(docs, "doc_id", "text", similarity, bucket)
+            rows, named = resemblance.grouped(docs, "doc_id", "text", similarity, bucket), resemblance.text_name("text")
         first = rows.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("no"), "doc_id", "text_hash")).alias("k"))
         kept = keep(first.select(*placed(F.col("k.doc_id"), F.col("k.text_hash"))).distinct())
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    found = docs.select(*placed(F.col("doc_id"), F.xxhash64("text")), row).join(kept, place, "left_semi")
+    found = docs.select(*placed(F.col("doc_id"), named), row).join(kept, place, "left_semi")
     return found.groupBy(*place).agg(F.first("_row").alias("_row")).select("_row.*")
