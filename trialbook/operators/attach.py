@@ -20,10 +20,10 @@ BROADCAST_BYTES = 32 << 20
 
 
 def measured_bytes(df: DataFrame) -> int:
-    """Bytes of a pinned table: eight per fixed-width value, octets for text, text form for the rest."""
+    """Bytes of a pinned table: eight per fixed-width value, octets for text and bytes, text form for the rest."""
     parts = [F.lit(8)]
     for field in df.schema.fields:
-        if isinstance(field.dataType, T.StringType):
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
             parts.append(F.coalesce(F.octet_length(F.col(f"`{field.name}`")), F.lit(0)))
         elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
             text = F.to_json(F.struct(F.col(f"`{field.name}`")))
