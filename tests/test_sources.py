@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tests.conftest import rows
 from trialbook.operators import hooks, xmlconfig
 from trialbook.operators.fitness import deliveries
+from trialbook.plans import catalog
 from trialbook.session import checkpoint_folder, pin
 from trialbook.sources import datasets, logs
 from trialbook.streaming import deliveries as sd
@@ -32,6 +33,25 @@ def test_tagged_folder(spark, tmp_path):
     assert got == [(1.0, "run_225.parquet"), (2.0, "run_225.parquet"), (3.0, "run_450.parquet")]
 
 
+def test_tagged_folders_of_files(spark, tmp_path):
+    """Datasets written by Spark are folders; a name may hold what a path encodes."""
+    at = tmp_path / "some runs"
+    spark.range(4).selectExpr("CAST(id AS double) AS x").repartition(3).write.parquet(f"{at}/run a+1%.parquet")
+    spark.range(1).selectExpr("9.0D AS x").write.parquet(f"{at}/_draft.parquet")
+    pd.DataFrame({"x": [7.0]}).to_parquet(at / "run_b.parquet")
+    got = rows(datasets.read_tagged(spark, str(at), "x double"), "x", "Dataset")
+    assert got == [*((float(i), "run a+1%.parquet") for i in range(4)), (7.0, "run_b.parquet")]
+    assert datasets.read_tagged(spark, str(at), "x double", suffix="run_c*").columns == ["x", "Dataset"]
+    assert datasets.read_tagged(spark, str(at), "x double", suffix="run_c*").count() == 0
+
+
+def test_tagged_query_on_folders(spark, small, tmp_path):
+    for name in ("documents", "benchmark", "conversations"):
+        spark.read.parquet(f"{small}/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    query = catalog.QUERIES["read_tagged_several"]
+    assert rows(query(spark, str(tmp_path)), "dataset", "n", "n_lang", "n_turn", "chars") == rows(query(spark, small), "dataset", "n", "n_lang", "n_turn", "chars")
+
+
 def test_export_and_shards(spark, tmp_path):
     df = spark.createDataFrame([(7, "<a/>\nline", "Foraging")], "i int, m string, t string")
     assert datasets.export_folders(df, str(tmp_path / "e"), "i", "m", "t") == 1

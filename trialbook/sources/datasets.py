@@ -31,15 +31,32 @@ def read_tagged(
     suffix: str = "*.parquet",
     tag: str = "Dataset",
 ) -> DataFrame:
-    """All files of a folder with a matching name, the file name in column ``tag``.
+    """All datasets of a folder with a matching name, that name in column ``tag``.
 
-    The name comes from the scan itself, so one scan reads all files and no union grows
-    with their number.
+    A dataset is a file or a folder of files; names that begin with ``_`` or ``.`` are no
+    datasets. The name comes from the scan itself, so one scan reads all datasets and no union
+    grows with their number.
     """
-    reader = spark.read.option("pathGlobFilter", suffix)
-    reader = reader.schema(schema) if schema else reader
-    raw = reader.parquet(folder).select("*", F.col("_metadata.file_name").alias(tag))
-    return missing_as_null(raw)
+    reader = spark.read.schema(schema) if schema else spark.read
+    depth = found_below(spark, folder, suffix)
+    if depth is None:
+        raw, name = reader.option("pathGlobFilter", suffix).parquet(folder), F.lit(None).cast("string")
+    else:
+        raw = reader.parquet(f"{folder}/{suffix}")
+        path = F.regexp_replace("_metadata.file_path", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+        name = F.get(F.filter(F.split(path, "/"), lambda n: n != ""), F.lit(depth))
+        name = F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+        raw = raw.where(~name.rlike("^[_.]"))
+    return missing_as_null(raw.select("*", name.alias(tag)))
+
+
+def found_below(spark: SparkSession, folder: str, names: str) -> int | None:
+    """The number of names in the whole path of ``folder``; None if nothing below matches ``names``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, names)):
+        return None
+    return len([n for n in system.makeQualified(path).toUri().getPath().split("/") if n])
 
 
 def write_dataset(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
