@@ -88,6 +88,14 @@ def test_search_in_one_block_and_in_many(spark):
     assert decontamination.search_passages(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_other_columns_stay_only_if_asked(spark):
+    docs, bench = frame(spark, [(1, "a b"), (2, "c")]), benchmark(spark, [(1, "a b"), (2, "c d"), (3, "e f g")])
+    results = ["n_words", "hit_spans", "n_hit", "n_items", "items_sha256", "contaminated"]
+    for chars in (10**6, 2):
+        assert decontamination.search_passages(docs, bench, block_chars=chars).columns == ["doc_id", *results]
+        assert decontamination.search_passages(docs, bench, block_chars=chars, keep=True).columns == [*docs.columns, *results]
+
+
 def test_contaminated_rows_go_and_columns_stay(spark):
     docs = frame(spark, [(1, "one two three four five six seven eight nine ten"), (2, "clean"), (None, None)])
     docs = docs.withColumn("n_words", F.lit("clash")).withColumn("hit_spans", F.lit(1))

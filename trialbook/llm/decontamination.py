@@ -149,11 +149,11 @@ def search_passages(
     schema = f"{fields}, n_words long, hit_spans array<array<int>>, items array<string>"
     spark = docs.sparkSession
     parts, listed = blocks(benchmark, item, item_text, block_chars, width), []
-    with scratch(spark) as keep:
+    with scratch(spark) as lasting:
         for k, part in enumerate(parts):
             if k and k % PASSES == 0:
                 # only the table of the last passes is read again
-                rows = (keep if k == (len(parts) - 1) // PASSES * PASSES else pin)(rows)
+                rows = (lasting if k == (len(parts) - 1) // PASSES * PASSES else pin)(rows)
                 for done in listed:
                     done.unpersist()
                 listed = []
