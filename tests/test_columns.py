@@ -201,3 +201,12 @@ def test_tokens_and_nodes(spark):
     assert len(nodes) == 6
     assert (2, "condition", 4, 7.0, 12.5, None, None) in nodes
     assert (0, "action", 0, 0.0, None, 41.0, None) in nodes
+
+
+def test_controllers_of_one_split_are_checked_by_many_tasks(spark):
+    df = spark.range(0, 400, 1, 1).selectExpr("id AS k", "'--nroot 3 --nchildroot 1 --zz ' || id AS t")
+    for grammar in (ctl.default_grammar(), ctl.tree_grammar()):
+        found = ctl.grammar_problems(df, "t", grammar)
+        of = found.select("k", F.spark_partition_id().alias("task")).groupBy("task").count().collect()
+        assert len(of) >= 8 and max(r["count"] for r in of) <= 100
+        assert sorted(r["k"] for r in found.where("exists(problems, p -> p.flag = 'zz')").collect()) == list(range(400))

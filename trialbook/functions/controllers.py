@@ -26,9 +26,17 @@ def pairs(col: Column) -> Column:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly over the tasks of a shuffle. Controllers are short and take long to
+    take apart: a file of a few splits holds millions of them."""
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks)
+
+
 def tokens(df: DataFrame, controller: str) -> DataFrame:
     """One row per flag: its place ``pos`` (from 0), ``flag`` and ``value``."""
-    return df.select("*", F.posexplode(pairs(F.col(controller))).alias("pos", "_p")).select(
+    return spread(df).select("*", F.posexplode(pairs(F.col(controller))).alias("pos", "_p")).select(
         *df.columns, "pos", "_p.flag", "_p.value"
     )
 
@@ -164,7 +172,7 @@ def grammar_problems(df: DataFrame, controller: str, grammar: list[Rule]) -> Dat
     place = {f: i + 1 for i, f in enumerate(flags)}
     text = F.coalesce(F.col(controller), F.lit(""))
     listed = F.array(*map(F.lit, flags))
-    rows = df.select("*", pairs(text).alias("_p"), F.size(argv(text)).alias("_words"))
+    rows = spread(df).select("*", pairs(text).alias("_p"), F.size(argv(text)).alias("_words"))
     rows = rows.withColumn("_names", F.transform("_p", lambda p: p["flag"]))
     # where each flag is used first, 0 if nowhere, and its value there
     rows = rows.withColumn("_where", F.transform(listed, lambda f: F.array_position("_names", f).cast("int")))
