@@ -210,3 +210,10 @@ def test_controllers_of_one_split_are_checked_by_many_tasks(spark):
         of = found.select("k", F.spark_partition_id().alias("task")).groupBy("task").count().collect()
         assert len(of) >= 8 and max(r["count"] for r in of) <= 100
         assert sorted(r["k"] for r in found.where("exists(problems, p -> p.flag = 'zz')").collect()) == list(range(400))
+
+
+def test_controllers_of_one_split_are_taken_apart_by_many_tasks(spark):
+    df = spark.range(0, 400, 1, 1).selectExpr("id AS k", "'--n0 0 --n00 6 --c00 ' || id AS t")
+    for found in (ctl.nodes(df, "k", "t"), ctl.tokens(df, "t").where("flag = 'c00'")):
+        of = found.select("k", F.spark_partition_id().alias("task")).groupBy("task").count().collect()
+        assert len(of) >= 8 and max(r["count"] for r in of) <= 100 and sum(r["count"] for r in of) == 400

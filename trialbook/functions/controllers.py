@@ -57,7 +57,7 @@ def nodes(df: DataFrame, key: str, controller: str) -> DataFrame:
     are; the last digit is the slot (0: condition, others: action). A flag of that form with
     the branch code as its value is a branch of its own and no node.
     """
-    mapped = _with_values(df.select(key, pairs(F.col(controller)).alias("_p")), [key])
+    mapped = _with_values(spread(df.select(key, controller)).select(key, pairs(F.col(controller)).alias("_p")), [key])
 
     def value(name: Column) -> Column:
         return F.try_element_at(F.col("_m"), name)
