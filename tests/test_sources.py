@@ -168,6 +168,27 @@ def positions_in_files(spark, tmp_path, files):
     return places
 
 
+class Held:
+    """A group's state as the step sees it."""
+
+    def __init__(self, value=None):
+        self.get, self.exists = value, value is not None
+
+    def update(self, value):
+        self.get, self.exists = value, True
+
+
+def test_step_makes_no_frame_without_deliveries_or_late_ticks():
+    def frame(ticks, zone):
+        return pd.DataFrame({"run_id": "r", "robot_id": "7", "tick": ticks, "at_source": zone})
+
+    state = Held()
+    assert list(sd._step(("r", "7"), iter([frame([5, 3], [True, False])]), state)) == [] and state.get == (True, 0, 5)
+    (found,) = sd._step(("r", "7"), iter([frame([9, 4], [False, True]), frame([8, 10, 5], [True, False, False])]), state)
+    assert [tuple(r) for r in found.astype(object).where(found.notna(), None).to_numpy()] == [("r", "7", 9, 1), ("r", "7", 4, None), ("r", "7", 5, None)]
+    assert state.get == (False, 1, 10)
+
+
 @pytest.mark.parametrize("way", ["state store", "batches"])
 def test_stream_matches_batch_over_several_micro_batches(spark, tmp_path, way):
     batch = positions_in_files(spark, tmp_path, 3)

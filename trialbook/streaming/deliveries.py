@@ -60,18 +60,23 @@ def zones(positions: DataFrame, circles: DataFrame, objectives: DataFrame) -> Da
 
 
 def _step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    # most robots have a few ticks a micro-batch, so that a frame of pandas costs more than they do
     carries, delivered, last = state.get if state.exists else (False, 0, None)
-    rows = pd.concat(list(batches)).sort_values("tick")
-    late = rows["tick"] <= last if last is not None else pd.Series(False, index=rows.index)
-    ticks, at_source = rows["tick"][~late].to_numpy(), rows["at_source"][~late].to_numpy(dtype=bool)
+    parts = [(b["tick"].to_numpy(), b["at_source"].to_numpy(dtype=bool)) for b in batches]
+    ticks, at_source = (np.concatenate(p) if len(p) > 1 else p[0] for p in zip(*parts))
+    order = np.argsort(ticks)
+    ticks, at_source = ticks[order], at_source[order]
+    # those up to the last tick seen are late
+    new = int(np.searchsorted(ticks, last, "right")) if last is not None else 0
+    late, ticks, at_source = ticks[:new], ticks[new:], at_source[new:]
     # a robot carries exactly if the zone before was the source
     before = np.concatenate([[carries], at_source[:-1]]) if len(ticks) else at_source
     drops = ticks[~at_source & before]
-    out = pd.DataFrame({"tick": np.concatenate([drops, rows["tick"][late]])})
-    out["delivered"] = pd.array([*range(delivered + 1, delivered + 1 + len(drops)), *[None] * int(late.sum())], dtype="Int64")
     if len(ticks):
         state.update((bool(at_source[-1]), delivered + len(drops), int(ticks[-1])))
-    yield out.assign(run_id=key[0], robot_id=key[1])[["run_id", "robot_id", "tick", "delivered"]]
+    if len(drops) or len(late):
+        count = pd.array([*range(delivered + 1, delivered + 1 + len(drops)), *[None] * len(late)], dtype="Int64")
+        yield pd.DataFrame({"run_id": key[0], "robot_id": key[1], "tick": np.concatenate([drops, late]), "delivered": count})
 
 
 def stream_deliveries(positions: DataFrame, circles: DataFrame, objectives: DataFrame) -> DataFrame:
