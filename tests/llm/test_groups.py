@@ -174,6 +174,26 @@ def test_pages_of_one_template(spark):
         assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(set(root))
 
 
+def test_loose_copies_do_not_meet_at_what_their_crowd_shares(spark):
+    """A copy whose own shingles fill the places where a similar pair must meet has none of the base there."""
+    draw = random.Random(12)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(8))
+    base = [word() for _ in range(150)]
+    texts = [" ".join(base)]
+    for k in range(600):
+        copy = list(base)
+        for at in draw.sample(range(4, 140, 6), 1 + k % 8):
+            copy[at] = word()
+        texts.append(" ".join(copy))
+    docs = frame(spark, list(enumerate(texts))).select("doc_id", "text")
+    last = resemblance.crowded_last(docs, "text", 0.8, 32)
+    signs = resemblance.signed(docs, "text", 0.8, last)
+    common = set(resemblance.shingle_set(texts[0].encode()).tolist())
+    for r in signs.where("doc_id > 0").collect():
+        own = 5 * (1 + (r["doc_id"] - 1) % 8)
+        assert not common.intersection(r["shingles"][:own])
+
+
 def test_bands_hold_every_size_that_a_place_allows(spark):
     rows = [(n, p) for n in (1, 2, 3, 7, 20, 101, 1000) for p in range(n) if p <= 0.2 * n]
     banded = resemblance.in_bands(spark.createDataFrame(rows, "n long, pos int"), 0.8)

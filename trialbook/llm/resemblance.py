@@ -3,8 +3,9 @@
 A text's set holds the XXH64 of its five-word shingles. Candidates come from prefixes: with
 all shingles in one order, two sets of similarity t share a shingle among the first
 n - ceil(t n) + 1 of each, n the set's own size. So no pair is missed, whatever the order. The
-order is by hash, with shingles found crowded in the prefixes (common lines and passages)
-moved to the end in ``ROUNDS`` rounds. Candidates are verified with the whole sets.
+order is by hash, with crowded shingles (common lines and passages) moved to the end, the most
+crowded last: what a near copy has of its own comes before what its crowd shares, so one that
+shares too little with its crowd does not meet it. Candidates are verified with the whole sets.
 
 Members of a key over ``BUCKET`` sets, which a large group of near copies makes, first meet
 ``LEADERS`` of them: the one with the most crowded prefix, and some by hash. Of the members, only those that are
@@ -36,10 +37,10 @@ from trialbook.session import pin, scratch
 
 WORDS, SEED = 5, 42
 SIMILARITY = 0.8
-BUCKET, LEADERS, ROUNDS = 32, 4, 2
+BUCKET, LEADERS = 32, 4
 #: Ratio of the largest to the smallest size in a band.
 STEP = 1.05
-#: Crowded shingles moved to the end in one round, the most crowded first; eight bytes each.
+#: Crowded shingles moved to the end, the most crowded first; twelve bytes each.
 MOVED = 1_000_000
 #: Crowded shingles are looked for in one of so many texts.
 PART = 8
@@ -56,13 +57,14 @@ def shingle_set(data: bytes | None, words: int = WORDS, seed: int = SEED) -> np.
     return np.unique(np.fromiter((digest(s, seed) for s in shingles), np.uint64).view(np.int64))
 
 
-def prefix(shingles: np.ndarray, similarity: float, last: np.ndarray) -> np.ndarray:
-    """The first shingles of a set; those in ``last`` (in order) come after all others."""
+def prefix(shingles: np.ndarray, similarity: float, last: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles of a set; those in ``last`` (in order) come after all others, by ``rank``."""
     n = len(shingles)
     size = n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
     if len(last) and n:
-        moved = last[np.minimum(np.searchsorted(last, shingles), len(last) - 1)] == shingles
-        shingles = np.concatenate([shingles[~moved], shingles[moved]])
+        at = np.minimum(np.searchsorted(last, shingles), len(last) - 1)
+        moved = last[at] == shingles
+        shingles = np.concatenate([shingles[~moved], shingles[moved][np.argsort(rank[at[moved]])]])
     return shingles[:size]
 
 
@@ -81,11 +83,11 @@ def signed(docs: DataFrame, text: str, similarity: float, last=None, whole: bool
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:])
 
     def run(batches):
-        behind = np.empty(0, np.int64) if last is None else last.value
+        behind = last.value if last else (np.empty(0, np.int64), np.empty(0, np.int32))
         for batch in slices(batches):
             sets = [shingle_set(t) for t in batch.column(0).to_pylist()]
             names = [np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED + k) for s in sets), np.uint64, len(sets)) for k in (0, 1)]
-            kept = sets if whole else [prefix(s, similarity, behind) for s in sets]
+            kept = sets if whole else [prefix(s, similarity, *behind) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns[1:],
@@ -129,21 +131,18 @@ def in_bands(members: DataFrame, similarity: float) -> DataFrame:
 
 
 def crowded_last(docs: DataFrame, text: str, similarity: float, bucket: int):
-    """A broadcast of the shingles to put last, in order. They are counted in a part of the
-    texts, as any list leaves the result whole; it only decides how many candidates there are."""
+    """A broadcast of the shingles to put last, in order, and their ranks, the most crowded last.
+    They are counted in a part of the texts, as any list leaves the result whole; it only decides
+    how many candidates there are."""
     some = docs.where(F.pmod(F.xxhash64(text), F.lit(PART)) == 0).select(text)
     least = max(2, bucket // PART)
-    sc = docs.sparkSession.sparkContext
-    last, held = np.empty(0, np.int64), None
-    for _ in range(ROUNDS):
-        keys = signed(some, text, similarity, held).select(F.explode("shingles").alias("key"))
-        counts = keys.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > least)
+    spark = docs.sparkSession
+    with scratch(spark):
+        keys = signed(some, text, similarity, whole=True).select(F.explode("shingles").alias("key"))
+        counts = pin(keys.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > least))
         found = counts.orderBy(F.col("c").desc(), "key").limit(MOVED).select("key").toPandas()["key"].to_numpy(np.int64)
-        more = np.union1d(last, found)
-        if len(more) == len(last):
-            break
-        last, held = more, sc.broadcast(more)
-    return held
+    order = np.argsort(found)
+    return spark.sparkContext.broadcast((found[order], (len(found) - order).astype(np.int32)))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
