@@ -194,6 +194,34 @@ def test_loose_copies_do_not_meet_at_what_their_crowd_shares(spark):
         assert not common.intersection(r["shingles"][:own])
 
 
+def test_near_dedup_meets_by_fingerprints(spark, monkeypatch):
+    draw = random.Random(13)
+    base = ["".join(draw.choice("abcdefgh") for _ in range(6)) for _ in range(1500)]
+    texts = [None, "", "one two"]
+    for k in range(40):
+        texts.append(" ".join("zz" if i == 30 * k else w for i, w in enumerate(base)))
+    docs = frame(spark, list(enumerate(texts)))
+    signs = {r["doc_id"]: r for r in resemblance.signed(docs.select("doc_id", "text"), "text", 0.8).collect()}
+    fps = []
+    for i, t in enumerate(texts):
+        hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles_of(t)]
+        fps.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+        assert signs[i]["fp"] & (1 << 64) - 1 == fps[i]
+    # nodes in the order of the texts; the last two have the fingerprint of others
+    nodes = spark.createDataFrame([(i, signs[i]["fp"]) for i in range(2, 43)] + [(43, signs[7]["fp"]), (44, signs[2]["fp"])], "node long, fp long")
+    roots = expected_roots(fps[2:] + [fps[7], fps[2]])
+    for bucket in (2, 32):
+        found = simhash.close_nodes(nodes, bucket)
+        assert found.where("a >= b").isEmpty()
+        got = {r["fp"]: r["root"] for r in simhash.components(found).collect()}
+        assert [got.get(i, i) for i in range(2, 45)] == [r + 2 for r in roots]
+    assert len(set(roots)) < 30
+    seen = []
+    links = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda fps, bucket: seen.append(fps.count()) or links(fps, bucket))
+    assert corpus_pipeline.one_of_each(spark, docs, "").count() == 3 and seen == [len(set(fps[2:]))]
+
+
 def test_bands_hold_every_size_that_a_place_allows(spark):
     rows = [(n, p) for n in (1, 2, 3, 7, 20, 101, 1000) for p in range(n) if p <= 0.2 * n]
     banded = resemblance.in_bands(spark.createDataFrame(rows, "n long, pos int"), 0.8)

@@ -1,7 +1,8 @@
 """Documents whose word shingles have a Jaccard similarity of at least a threshold.
 
-A text's set holds the XXH64 of its five-word shingles. Candidates come from prefixes: with
-all shingles in one order, two sets of similarity t share a shingle among the first
+A text's set holds the XXH64 of its five-word shingles. The first candidates are sets whose
+SimHash fingerprints meet on Golay keys and differ in at most two bits, as in ``simhash``. At this
+similarity most pairs differ in more, so prefixes lead to the others: with all shingles in one order, two sets of similarity t share a shingle among the first
 n - ceil(t n) + 1 of each, n the set's own size. So no pair is missed, whatever the order. The
 order is by hash, with crowded shingles (common lines and passages) moved to the end, the most
 crowded last: what a near copy has of its own comes before what its crowd shares, so one that
@@ -23,6 +24,7 @@ one node nodes of their own.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +70,15 @@ def prefix(shingles: np.ndarray, similarity: float, last: np.ndarray, rank: np.n
     return shingles[:size]
 
 
+def fingerprint(shingles: np.ndarray) -> int:
+    """SimHash of a set: a bit is set if over half of the hashes have it."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(shingles), 1 << 14):
+        some = shingles[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(some, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(shingles), bitorder="little").view(np.int64)[0])
+
+
 def parities(shingles: np.ndarray) -> np.ndarray:
     """1024 bits, each the parity of the hashes that fall on it. Two sets differ in at least as
     many shingles as these in bits."""
@@ -77,7 +88,7 @@ def parities(shingles: np.ndarray) -> np.ndarray:
 
 def signed(docs: DataFrame, text: str, similarity: float, last=None, whole: bool = False) -> DataFrame:
     """``docs`` without ``text``, with node and check (two hashes of the set), n, its parities and
-    the prefix or whole set."""
+    the prefix or whole set; with the prefix also fp, the set's fingerprint."""
     rest = [c for c in docs.columns if c != text]
     rows = docs.select(F.col(text).cast("binary").alias("_text"), *rest)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:])
@@ -95,11 +106,12 @@ def signed(docs: DataFrame, text: str, similarity: float, last=None, whole: bool
                     pa.array([len(s) for s in sets], pa.int64()),
                     *(pa.array(column) for column in np.stack([parities(s) for s in sets], 1)),
                     pa.array(kept, pa.list_(pa.int64())),
+                    *([] if whole else [pa.array([fingerprint(s) for s in sets], pa.int64())]),
                 ],
-                names=[*batch.schema.names[1:], "node", "check", "n", *PARITIES, "shingles"],
+                names=[*batch.schema.names[1:], "node", "check", "n", *PARITIES, "shingles", *([] if whole else ["fp"])],
             )
 
-    return rows.mapInArrow(run, (f"{fields}, " if fields else "") + "node long, check long, n long, " + "".join(f"{b} long, " for b in PARITIES) + "shingles array<long>")
+    return rows.mapInArrow(run, (f"{fields}, " if fields else "") + "node long, check long, n long, " + "".join(f"{b} long, " for b in PARITIES) + "shingles array<long>" + ("" if whole else ", fp long"))
 
 
 def text_name(text: str) -> Column:
@@ -154,10 +166,13 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(shared / (F.col("na") + F.col("nb") - shared) >= similarity).select("a", "b")
 
 
-def links(docs: DataFrame, nodes: DataFrame, text: str, similarity: float, bucket: int) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, text: str, similarity: float, bucket: int, meet: Callable) -> DataFrame:
     """Links (a, b) between nodes, enough for the components of all similar pairs. ``nodes``:
-    node, n, parities, shingles (the prefix) and text_hash of every different set. Sets without
-    shingles have no keys and are linked by nothing but their equal node; no nodes, no links."""
+    node, n, parities, shingles (the prefix), fp and text_hash of every different set; ``meet``:
+    the pairs (a, b) of nodes whose fingerprints are close. Sets without shingles have no keys and
+    are linked by nothing but their equal node; no nodes, no links."""
+    with scratch(docs.sparkSession) as keep:
+        close = keep(meet(nodes.where("n > 0").select("node", "fp"), bucket))
     keys = nodes.select("node", "n", F.posexplode("shingles").alias("pos", "key"))
     sizes = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     shared = pin(attach(keys, pin(sizes), ["key"], "inner"))
@@ -196,7 +211,8 @@ def links(docs: DataFrame, nodes: DataFrame, text: str, similarity: float, bucke
     heads = attach(many, share, ["node"], "inner").groupBy("key").agg(F.array_distinct(F.array(*[f.dropFields("o") for f in firsts])).alias("of"))
     heads = pin(heads.select("key", F.inline("of")))
     star = sides(heads, many.drop("pos")).where("a <> b").select("a", "b").distinct()
-    pairs = pin(pairs.unionByName(possible(star, about, F.lit(True))).distinct())
+    met = star.unionByName(close).distinct()
+    pairs = pin(pairs.unionByName(possible(met, about, F.lit(True))).distinct())
 
     def with_sets(found: DataFrame) -> DataFrame:
         """The links among ``found``: whole sets are made of one text of each node in it."""
@@ -223,14 +239,14 @@ def links(docs: DataFrame, nodes: DataFrame, text: str, similarity: float, bucke
     return sure.unionByName(with_sets(pin(possible(others.distinct(), about, F.lit(True)))))
 
 
-def grouped(docs: DataFrame, key: str, text: str, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
-    """Per row: key, text_hash, node, root: the smallest node of the component."""
+def grouped(docs: DataFrame, key: str, text: str, meet: Callable, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
+    """Per row: key, text_hash, node, root: the smallest node of the component. ``meet``: as in ``links``."""
     last = crowded_last(docs, text, similarity, bucket)
     with scratch(docs.sparkSession) as keep:
         signs = told_apart(pin(signed(docs.select(key, text, text_name(text).alias("text_hash")), text, similarity, last)))
-        nodes = keep(signs.select("node", "n", *PARITIES, "shingles", "text_hash").dropDuplicates(["node"]))
+        nodes = keep(signs.select("node", "n", *PARITIES, "shingles", "fp", "text_hash").dropDuplicates(["node"]))
         rows = keep(signs.select(key, "text_hash", "node"))
     with scratch(docs.sparkSession) as keep:
-        found = keep(links(docs, nodes, text, similarity, bucket))
+        found = keep(links(docs, nodes, text, similarity, bucket, meet))
     roots = components(found)
     return attach(rows, roots.withColumnRenamed("fp", "node"), ["node"]).withColumn("root", F.coalesce("root", "node"))

@@ -160,6 +160,18 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return pairs.unionByName(met.select("a", "b")).distinct()
 
 
+def close_nodes(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """Pairs (a, b) of nodes, a < b, whose fingerprints are equal or linked by ``links``: enough for
+    the components of all nodes within two bits. ``nodes``: different nodes with their fp."""
+    first = pin(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    equal = attach(nodes.select("node", "fp"), first, ["fp"], "inner").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    met = links(first.select("fp"), bucket)
+    for side in "ab":
+        met = met.join(first.select(F.col("fp").alias(side), F.col("first").alias(f"_{side}")), side)
+    met = met.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+    return equal.where("a < b").unionByName(met)
+
+
 def grouped(docs: DataFrame, key: str, text: str, bucket: int) -> DataFrame:
     """Per row: key, text_hash, fp, root: the smallest fingerprint of the component."""
     rows = pin(fingerprints(docs.select(key, text, F.xxhash64(text).alias("text_hash")), text))
@@ -187,7 +199,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket
 def keep_one(docs: DataFrame, bucket: int = BUCKET, similarity: float | None = None) -> DataFrame:
     """One row of each near-duplicate group, with all its columns: that with the smallest
     doc_id. Groups are those of ``near_groups``, or with ``similarity`` those of five-word
-    shingle sets whose Jaccard similarity is at least that. A row without doc_id stays only if no row of its group has one; of rows equal in
+    shingle sets whose Jaccard similarity is at least that (``resemblance``). A row without doc_id stays only if no row of its group has one; of rows equal in
     doc_id and text one stays. An empty table gives no rows."""
     # one shuffle of the texts serves the choice and the removal of repeated rows
     place = ["_id", "_none", "_hash"]
@@ -199,7 +211,7 @@ def keep_one(docs: DataFrame, bucket: int = BUCKET, similarity: float | None = N
         if similarity is None:
             rows, named = grouped(docs, "doc_id", "text", bucket), F.xxhash64("text")
         else:
-            rows, named = resemblance.grouped(docs, "doc_id", "text", similarity, bucket), resemblance.text_name("text")
+            rows, named = resemblance.grouped(docs, "doc_id", "text", close_nodes, similarity, bucket), resemblance.text_name("text")
         first = rows.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("no"), "doc_id", "text_hash")).alias("k"))
         kept = keep(first.select(*placed(F.col("k.doc_id"), F.col("k.text_hash"))).distinct())
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
